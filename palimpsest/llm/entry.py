@@ -5,13 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, sentencepieces
+from . import decontaminate, language_id, line_dedup, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_language_id": language_id.op5_language_id,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
