@@ -5,17 +5,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, sentencepieces, toxicity
+from . import decontaminate, language_id, line_dedup, sentencepieces, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_language_id": language_id.op5_language_id,
+    "op6_warc": zip_archives.op6_warc,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_warc": zip_archives.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
