@@ -5,11 +5,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, sentencepieces, toxicity, zip_archives
+from . import decontaminate, jaccard_join, language_id, line_dedup, sentencepieces, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_language_id": language_id.op5_language_id,
     "op6_warc": zip_archives.op6_warc,
     "op7_decontaminate": decontaminate.op7_decontaminate,
