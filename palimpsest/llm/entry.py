@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, sentencepieces, toxicity, zip_archives
+from . import decontaminate, jaccard_join, language_id, line_dedup, pivot_index, sentencepieces, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": language_id.op5_language_id,
     "op6_warc": zip_archives.op6_warc,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op9_embedding_neardup": pivot_index.op9_embedding_neardup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
