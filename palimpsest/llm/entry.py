@@ -5,9 +5,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, pivot_index, sentencepieces, toxicity, zip_archives
+from . import decontaminate, jaccard_join, language_id, line_dedup, pivot_index, sentencepieces, suffix_dedup, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
