@@ -8,16 +8,24 @@ the feature domain into n parts, and a class enumerates the subsets of parts tha
 it may have to agree on with a partner.  With n parts of which more than
 (a + b) / 7 are not empty in a class, one non-empty part must hold the same
 features in both, so single parts are the subsets and a part's features, hashed
-together, are a signature.  A class whose parts are empty too often signs its
-empty parts as well; two such classes then agree on one of all n parts.  A class
-signs in the instance of its own band and, if a partner can be in the band below,
-in that one too.
+together, are a signature.  A class signs in the instance of its own band and, if
+a partner can be in the band below, in that one too.
+
+Shingles that very many documents hold would give groups of unrelated classes, so
+they are left out of the parts first; that never adds to a difference, and the
+argument above holds for every class with enough non-empty parts left.  A class
+without signs once more with all its features, and if parts are still empty too
+often, its empty parts as well; two such classes then agree on one of all n parts.
+Which shingles are left out (``MOST_COMMON`` at most) changes speed, not results.
 
 Signatures meet by a shuffle.  In each group of classes with one signature the
-smallest is compared with the others; links found are contracted to components,
-and pairs of a group that lie in different components after that are compared
-too, so every link between groups' members is either verified or implied.  All
-comparisons count shared features exactly, on whole texts.
+smallest is paired with the others, the pairs are compared, and links found are
+contracted to components.  Classes that chains of pairs connect may still hold
+links between different components; they are compared with each other, component
+against component, in blocks of bounded size.  Before texts are fetched, parities
+of feature counts by last bits give a lower bound on the symmetric difference and
+drop pairs that cannot link; what remains is counted exactly, on whole texts.  So
+every pair with a common signature is compared or already connected.
 
 Defined results: texts without words have no set and link with nothing; fewer
 than five words give one shingle; rows that repeat an id get the component of
@@ -37,11 +45,14 @@ from pyspark.sql import functions as F
 from .common import components, shuffle_width, table, written
 
 WORDS = 5
+SIZES = "least(na, nb) * 100 >= greatest(na, nb) * 75"
 TOP, BOTTOM = 75, 100  # two sets link when BOTTOM * intersection >= TOP * union
 UPPER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 CHUNK_FEATURES = 1 << 20
+BLOCK = 1024
+COMMON_SHARE, MOST_COMMON = 5_000, 200_000  # a shingle is common if one document in COMMON_SHARE holds it
 
 
 class WordHash(dict):
@@ -89,6 +100,58 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return BOTTOM * shared >= TOP * (len(a) + len(b) - shared)
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """Parities of the numbers of features by their last bits; two to four bits for a feature, 64 at least."""
+    q = 1 << max(6, (2 * len(features) - 1).bit_length())
+    odd = np.bincount((features & np.uint64(q - 1)).astype(np.int64), minlength=q) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: int, sa: bytes, b: int, sb: bytes) -> bool:
+    """False only if the sets, of sizes a and b, differ in more than (a + b) / 7 features."""
+    x, y, p, q = int.from_bytes(sa, "little"), int.from_bytes(sb, "little"), 8 * len(sa), 8 * len(sb)
+    while p > q:
+        p //= 2
+        x = (x >> p) ^ (x & ((1 << p) - 1))
+    while q > p:
+        q //= 2
+        y = (y >> q) ^ (y & ((1 << q) - 1))
+    return 7 * (x ^ y).bit_count() <= a + b
+
+
+def possible_pairs(size: np.ndarray, sketches: list[bytes], part: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i in left, j in right) of pairs of different parts that may link; each unordered pair at most once."""
+    level = np.array([len(x) for x in sketches])
+    words: dict[int, np.ndarray] = {}
+    for q in np.unique(level):  # the rows of level q and those of twice that, folded
+        m = np.zeros((len(size), q // 8), np.uint64)
+        for k in np.flatnonzero(level == q):
+            m[k] = np.frombuffer(sketches[k], np.uint64)
+        for k in np.flatnonzero(level == 2 * q):
+            x = np.frombuffer(sketches[k], np.uint64)
+            m[k] = x[: q // 8] ^ x[q // 8 :]
+        words[q] = m
+    inside = len(left) == len(right) and (left == right).all()
+    right = right[np.argsort(size[right], kind="stable")]
+    sizes = size[right]
+    out_i, out_j = [], []
+    for i in left:
+        # Partners at least as large (in one block, ties by place); smaller ones find i from their side, or below.
+        for lo, hi, larger in ((size[i], size[i] * BOTTOM // TOP, True), (-(-size[i] * TOP // BOTTOM), size[i] - 1, False)):
+            if inside and not larger:
+                continue
+            j = right[np.searchsorted(sizes, lo) : np.searchsorted(sizes, hi, "right")]
+            j = j[(part[j] != part[i]) & ((size[j] != size[i]) | (j > i) if inside else True)]
+            for q in np.unique(level[j]) if len(j) else ():
+                k = j[level[j] == q]
+                m = words[min(q, level[i])]
+                k = k[7 * np.bitwise_count(m[k] ^ m[i]).sum(1).astype(np.int64) <= size[i] + size[k]]
+                out_i.append(np.full(len(k), i))
+                out_j.append(k)
+    none = np.empty(0, np.int64)
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+
+
 # --- signatures ----------------------------------------------------------------------------------------------
 
 
@@ -113,30 +176,47 @@ def roles(size: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, number of the set) for every role of every set."""
+def signatures(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, number of the set) for every role of every set; ``common`` is sorted."""
     jobs = [(k, j, most) for k, s in enumerate(sets) if len(s) for j, most in roles(len(s))]
+    rare = sets
+    if len(common):
+        rare = []
+        for s in sets:
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            rare.append(s[common[at] != s])
+    sig, who, short = _signed([(rare[k], k, j, most) for k, j, most in jobs], M2, False)
+    sig2, who2, _ = _signed([(sets[jobs[i][0]], *jobs[i]) for i in short], M3, True)
+    return np.concatenate([sig, sig2]), np.concatenate([who, who2])
+
+
+def _signed(jobs: list[tuple[np.ndarray, int, int, int]], salt: np.uint64, with_empty: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of jobs (features, set, band, most differing), and the jobs with too few non-empty parts."""
     if not jobs:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    sizes = np.array([len(sets[k]) for k, _, _ in jobs])
-    features = np.concatenate([sets[k] for k, _, _ in jobs])
-    job = np.repeat(np.arange(len(jobs)), sizes)
-    n_parts = np.array([parts_of(j) for _, j, _ in jobs], np.uint64)
-    part = ((features >> np.uint64(32)) * n_parts[job]) >> np.uint64(32)  # does not fall within a sorted set
-    key = (job.astype(np.uint64) << np.uint64(32)) | part
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    content = np.add.reduceat(mix(features + M1), first)
-    owner, place = job[first], part[first]
-    bands = np.array([j for _, j, _ in jobs], np.uint64)
-    out = [mix(content ^ mix((bands[owner] << np.uint64(40)) + place + M2))]
-    who = [np.array([k for k, _, _ in jobs])[owner]]
-    filled = np.bincount(owner, minlength=len(jobs))
-    for i in np.flatnonzero(filled <= np.array([most for _, _, most in jobs])):
-        n = int(n_parts[i])
-        empty = np.setdiff1d(np.arange(n, dtype=np.uint64), place[owner == i])
-        out.append(mix(EMPTY ^ mix((bands[i] << np.uint64(40)) + empty + M3)))
-        who.append(np.full(len(empty), jobs[i][0]))
-    return np.concatenate(out), np.concatenate(who)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    most = np.array([m for *_, m in jobs])
+    number, bands = np.array([k for _, k, _, _ in jobs]), np.array([j for _, _, j, _ in jobs], np.uint64)
+    sizes = np.array([len(f) for f, *_ in jobs])
+    features = np.concatenate([f for f, *_ in jobs])
+    if not len(features):
+        filled = np.zeros(len(jobs), np.int64)
+        owner, place, content = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    else:
+        job = np.repeat(np.arange(len(jobs)), sizes)
+        n_parts = np.array([parts_of(int(j)) for j in bands], np.uint64)
+        part = ((features >> np.uint64(32)) * n_parts[job]) >> np.uint64(32)  # does not fall within a sorted set
+        key = (job.astype(np.uint64) << np.uint64(32)) | part
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        content = np.add.reduceat(mix(features + M1), first)
+        owner, place = job[first], part[first]
+        filled = np.bincount(owner, minlength=len(jobs))
+    out, who = [mix(content ^ mix((bands[owner] << np.uint64(40)) + place + salt))], [number[owner]]
+    short = np.flatnonzero(filled <= most)
+    for i in short if with_empty else ():
+        empty = np.setdiff1d(np.arange(parts_of(int(bands[i])), dtype=np.uint64), place[owner == i])
+        out.append(mix(EMPTY ^ mix((bands[i] << np.uint64(40)) + empty + salt)))
+        who.append(np.full(len(empty), number[i]))
+    return np.concatenate(out), np.concatenate(who), short
 
 
 def _texts(column: pa.Array) -> list[bytes | None]:
@@ -144,22 +224,51 @@ def _texts(column: pa.Array) -> list[bytes | None]:
 
 
 def document_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, class, n_shingles); class is null for empty sets."""
+    """Rows (doc_id, class, n_shingles, sketch, often); class is null for empty sets.
+
+    often, on the first row of a batch only, has the shingles that come again and again in the batch, with counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in _texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "class", "n_shingles"])
+            often: list = [None] * len(sets)
+            if sets:
+                often[0] = frequent_features(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                                               pa.array([sketch(s) for s in sets], pa.binary()), pa.array(often, pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))], names=["doc_id", "class", "n_shingles", "sketch", "often"])
+
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, class long, n_shingles long, sketch binary, often array<struct<f:long,n:long>>")
+
+
+def frequent_features(sets: list[np.ndarray]) -> list[dict]:
+    """Features of at least four sets and one in COMMON_SHARE, from parts of the domain one after the other."""
+    out, least = [], max(4, len(sets) // COMMON_SHARE)
+    for k in range(8):  # an eighth of the domain at a time bounds memory
+        lo, hi = np.uint64(k << 61), np.uint64((k << 61) + (1 << 61) - 1)
+        some = np.sort(np.concatenate([s[np.searchsorted(s, lo) : np.searchsorted(s, hi, "right")] for s in sets]))
+        if len(some) >= least:
+            again = np.unique(some[least - 1 :][some[least - 1 :] == some[: len(some) - least + 1]])
+            n = np.searchsorted(some, again, "right") - np.searchsorted(some, again)
+            out += [{"f": f, "n": c} for f, c in zip(again.view(np.int64).tolist(), n.tolist())]
+    return out
+
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, class long, n_shingles long")
+def common_features(owned: DataFrame) -> np.ndarray:
+    """The most common features, MOST_COMMON at most, sorted."""
+    total = owned.count()
+    rows = (owned.where("often IS NOT NULL").select(F.explode("often").alias("o")).groupBy("o.f").agg(F.sum("o.n").alias("n"))
+            .where(F.col("n") >= max(10, total / COMMON_SHARE)).orderBy(F.desc("n"), "f").limit(MOST_COMMON).select("f").toPandas())
+    return np.sort(rows["f"].to_numpy(np.int64).view(np.uint64))
 
 
-def class_signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def class_signatures(docs: DataFrame, doc_id: str, text: str, common: np.ndarray) -> DataFrame:
     """Rows (sig, class); a class that several texts of a batch have signs once."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(sets, ids):
-            sig, who = signatures(sets)
+            sig, who = signatures(sets, shared.value)
             return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.array(ids, np.int64)[who])], names=["sig", "class"])
 
         seen: set[int] = set()
@@ -183,62 +292,56 @@ def class_signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull()).select(text).mapInArrow(run, "sig long, class long")
 
 
-def candidate_groups(sigs: DataFrame) -> DataFrame:
-    """Rows (grp, a, b): of every group with one signature, its smallest class a with each other class b.
+def candidate_pairs(sigs: DataFrame) -> DataFrame:
+    """Rows (a, b): of every group with one signature, its smallest class a with each other class b."""
 
-    grp identifies the group's members if there are three or more, else it is null.
-    """
+    def closed(sig, cls):
+        """Pairs of complete groups; rows are sorted by signature, then class."""
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
+        sig, cls = sig[fresh], cls[fresh]
+        starts = np.concatenate([[True], sig[1:] != sig[:-1]])
+        first = cls[np.flatnonzero(starts)][np.cumsum(starts) - 1]
+        return pairs_once(first[~starts], cls[~starts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, cls = np.empty(0, np.int64), np.empty(0, np.int64)
-        known: set[int] = set()
-
-        def closed(sig, cls):
-            """Candidates of complete groups; rows are sorted by signature, then class."""
-            fresh = np.ones(len(sig), bool)
-            fresh[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-            sig, cls = sig[fresh], cls[fresh]
-            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            size = np.diff(np.append(first, len(sig)))
-            big = np.repeat(size > 1, size)
-            if not big.any():
-                return None
-            sig, cls, size = sig[big], cls[big], size[size > 1]
-            first = np.cumsum(size) - size
-            group = np.repeat(np.arange(len(size)), size)
-            ident = mix(np.add.reduceat(mix(cls.view(np.uint64)), first) + size.astype(np.uint64))
-            _, keep = np.unique(ident, return_index=True)  # groups of the same members count once
-            fresh = np.zeros(len(size), bool)
-            for k in keep:
-                if (x := int(ident[k])) not in known:
-                    known.add(x)
-                    fresh[k] = True
-            if len(known) > 2_000_000:
-                known.clear()
-            other = fresh[group]
-            other[first] = False
-            g = group[other]
-            grp = pa.array(ident.view(np.int64)[g], mask=(size < 3)[g])
-            return pa.RecordBatch.from_arrays([grp, pa.array(cls[first][g]), pa.array(cls[other])], names=["grp", "a", "b"])
-
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             sig = np.concatenate([sig, batch.column(0).to_numpy()])
             cls = np.concatenate([cls, batch.column(1).to_numpy()])
-            if len(sig) < 100_000:
-                continue
-            cut = np.searchsorted(sig, sig[-1])  # the last group may go on
+            cut = np.searchsorted(sig, sig[-1]) if len(sig) >= 100_000 else 0  # the last group may go on
             if cut:
-                out = closed(sig[:cut], cls[:cut])
+                x, y = closed(sig[:cut], cls[:cut])
                 sig, cls = sig[cut:], cls[cut:]
-                if out is not None and len(out):
-                    yield out
+                a, b = np.concatenate([a, x]), np.concatenate([b, y])
+                if len(a) >= 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_once(a, b)], names=["a", "b"])
+                    a, b = a[:0], b[:0]
         if len(sig):
-            out = closed(sig, cls)
-            if out is not None and len(out):
-                yield out
+            x, y = closed(sig, cls)
+            a, b = np.concatenate([a, x]), np.concatenate([b, y])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_once(a, b)], names=["a", "b"])
 
     dealt = sigs.repartition(shuffle_width(sigs.sparkSession), "sig").sortWithinPartitions("sig", "class")
-    return dealt.mapInArrow(run, "grp long, a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def pairs_once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(a):
+        return a, b
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[fresh], b[fresh]
+
+
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with sizes and sketches, those that may link."""
+    for batch in batches:
+        na, ka, nb, kb = (batch.column(c).to_pylist() for c in ("na", "ka", "nb", "kb"))
+        keep = [i for i in range(len(na)) if may_link(na[i], ka[i], nb[i], kb[i])]
+        yield batch.select(["a", "b", "ra", "rb"]).take(pa.array(keep, pa.int64()))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -276,42 +379,41 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataF
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``."""
     owned = written(document_classes(docs, doc_id, text), "classes")
-    reps = (owned.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
+    reps = (owned.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
     reps = written(reps, "representatives")
-    found = written(candidate_groups(class_signatures(docs, doc_id, text)), "candidates")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        ra = reps.select(F.col("class").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"))
-        rb = reps.select(F.col("class").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
-        sizes = F.least("na", "nb") * BOTTOM >= F.greatest("na", "nb") * TOP
-        return pairs.join(ra, "a").join(rb, "b").where(sizes).select("a", "b", "ra", "rb")
-
-    stars = named(found.select("a", "b").distinct())
+    found = written(candidate_pairs(class_signatures(docs, doc_id, text, common_features(owned))), "candidates")
+    ra = reps.select(F.col("class").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    rb = reps.select(F.col("class").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    stars = found.join(ra, "a").join(rb, "b").where(SIZES).mapInArrow(possible, "a long, b long, ra long, rb long")
     links = written(verified(stars, docs, doc_id, text), "links")
     parts = written(components(links, "ra", "rb"), "parts")
-    links2 = _across(found, links, parts, reps, named, docs, doc_id, text)
-    if links2 is not None:
-        parts = written(components(links.unionByName(links2), "ra", "rb"), "parts")
+    more = written(verified(_across(found, parts, reps), docs, doc_id, text), "links")
+    if not more.isEmpty():
+        parts = written(components(links.unionByName(more), "ra", "rb"), "parts")
     label = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("_c"), F.coalesce("component", "rep").alias("_component"))
     rows = owned.join(label, F.col("class") == F.col("_c"), "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
 
 
-def _across(found, links, parts, reps, named, docs, doc_id, text) -> DataFrame | None:
-    """Links between members of a group that the first comparisons left in different components."""
-    part = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("_c"), F.coalesce("component", "rep").alias("_p"), F.col("n").alias("_n"))
-    groups = found.where("grp IS NOT NULL")
-    members = groups.select("grp", F.col("b").alias("c")).unionByName(groups.select("grp", F.col("a").alias("c"))).distinct()
-    members = members.join(part, F.col("c") == F.col("_c")).select("grp", "c", "_p", "_n")
-    mixed = members.groupBy("grp").agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).where("lo <> hi").select("grp")
-    open_ = written(members.join(mixed, "grp", "left_semi"), "mixed-groups")
-    x = open_.select("grp", F.col("c").alias("a"), F.col("_p").alias("pa"), F.col("_n").alias("na"))
-    y = open_.select("grp", F.col("c").alias("b"), F.col("_p").alias("pb"), F.col("_n").alias("nb"))
-    sizes = F.least("na", "nb") * BOTTOM >= F.greatest("na", "nb") * TOP
-    pairs = x.join(y, "grp").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & sizes).select("a", "b").distinct()
-    pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")  # compared before
-    more = written(verified(named(pairs), docs, doc_id, text), "links")
-    return None if more.isEmpty() else more
+def _across(found: DataFrame, parts: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs that may link, of classes that candidate pairs connect and first links do not."""
+    chains = written(components(found, "a", "b").withColumnRenamed("node", "class"), "chains")
+    part = reps.join(parts, F.col("rep") == F.col("node"), "left").select("class", "rep", "n", "sketch", F.coalesce("component", "rep").alias("part")).alias("p")
+    members = chains.join(part.drop("component"), "class").select(F.col("component").alias("chain"), "class", "rep", "n", "sketch", "part")
+    mixed = (members.groupBy("chain").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+             .select("chain", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    members = members.join(mixed, "chain").withColumn("blk", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    members = members.withColumn("oth", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumn("lo", F.least("blk", "oth")).withColumn("hi", F.greatest("blk", "oth"))
+
+    def pairs(key, t):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        blk, size, part = (t[c].to_numpy() for c in ("blk", "n", "part"))
+        i, j = possible_pairs(size, t["sketch"].to_pylist(), part, np.flatnonzero(blk == lo), np.flatnonzero(blk == hi))
+        cls, rep = t["class"].to_numpy(), t["rep"].to_numpy()
+        return pa.table({"a": cls[i], "b": cls[j], "ra": rep[i], "rb": rep[j]})
+
+    return members.select("chain", "lo", "hi", "blk", "class", "rep", "n", "sketch", "part").groupBy("chain", "lo", "hi").applyInArrow(pairs, "a long, b long, ra long, rb long")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Language identification by prediction by partial matching over bytes.
 
 Training builds, for each language, a byte context tree up to ``depth`` bytes
-deep from a bounded sample (``per_language`` documents of each language, those
-with the smallest hash of their id).  A byte costs -log2 of its share in the
+deep from a bounded sample (``per_language`` documents of each language: ids fall into
+``SALTS`` groups by hash, and each group gives those with the smallest hash).  A byte costs -log2 of its share in the
 longest context that the tree knows, or an escape and its cost in the next
 shorter one; statistics stay frozen.  A text's exact code length is the sum over
 its bytes, and the language with the shortest code wins.  The score is the
@@ -30,7 +30,8 @@ from .common import fold_bucket, table
 
 LETTER = re.compile(r"[^\W\d_]").search
 DEPTH = 3
-PER_LANGUAGE = 400
+PER_LANGUAGE = 416
+SALTS = 32
 CHUNK = 1 << 19
 
 
@@ -78,9 +79,9 @@ def _symbols(values: list[bytes], symbol: np.ndarray, depth: int) -> tuple[np.nd
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, depth: int = DEPTH) -> ContextTrees | None:
     """Learn from the labelled documents given; leave held-out ones out before."""
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+    first = Window.partitionBy("_lang", F.pmod(F.xxhash64("_id"), F.lit(SALTS))).orderBy(F.xxhash64(F.lit(1), "_id"), "_id")
     ids = (docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
-           .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).drop("_n"))
+           .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= -(-per_language // SALTS)).drop("_n"))
     chosen = docs.where(F.col(lang).isNotNull()).join(F.broadcast(ids), (docs[doc_id] == F.col("_id")) & (docs[lang] == F.col("_lang"))).select("_lang", docs[text].alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 SPACE = "▁"
-REMEMBERED = 300_000  # parts kept by a Python worker
+REMEMBERED = 600_000  # parts kept by a Python worker
+ATOMS = 300_000  # the same for the atoms that parts are cut into
 LONGEST = 48  # longer parts are not remembered
 
 
@@ -53,7 +54,10 @@ class MergeCodec:
         # Parts are cut before a space that follows another symbol and around newlines, if no piece spans such a place.
         body = f"[^{SPACE}]" if newline else f"[^{SPACE}\n]"
         self.parts = re.compile("(?s).+" if crossing else f"{SPACE}*{body}+|{SPACE}+" + ("" if newline else "|\n")).findall
+        # No merge can join symbols that no piece holds side by side: parts are cut there into atoms.
+        self.side_by_side = {a + b for p in self.order for a, b in zip(p, p[1:])}
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.atoms: dict[str, list[int]] = {}
 
     def merge(self, part: str) -> list[int]:
         """Ids of one part, by the agenda."""
@@ -127,7 +131,7 @@ class MergeCodec:
 
     def part(self, part: str) -> tuple[int, str, str]:
         """(number of ids, their decimal text, decoded text) of one part."""
-        ids = self.merge(part)
+        ids = self.part_ids(part)
         entry = (len(ids), " ".join(map(str, ids)), self.decode_part(ids))
         if len(part) <= LONGEST:
             if len(self.known) >= REMEMBERED:
@@ -135,12 +139,30 @@ class MergeCodec:
             self.known[part] = entry
         return entry
 
+    def part_ids(self, part: str) -> list[int]:
+        """Ids of one part, atom by atom."""
+        out: list[int] = []
+        atoms, together, start = self.atoms, self.side_by_side, 0
+        for end in range(1, len(part) + 1):
+            if end == len(part) or part[end - 1 : end + 1] not in together:
+                atom = part[start:end]
+                start = end
+                ids = atoms.get(atom)
+                if ids is None:
+                    ids = self.merge(atom)
+                    if len(atom) <= LONGEST:
+                        if len(atoms) >= ATOMS:
+                            atoms.clear()
+                        atoms[atom] = ids
+                out += ids
+        return out
+
     def normalised(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, the end id last."""
-        return [i for part in self.parts(self.normalised(text)) for i in self.merge(part)] + [self.end]
+        return [i for part in self.parts(self.normalised(text)) for i in self.part_ids(part)] + [self.end]
 
     def decode(self, ids: list[int]) -> str:
         text = self.decode_part([i for i in ids if i in self.surface or i in self.bytes_of or i == self.unknown])

@@ -152,6 +152,8 @@ class SuffixLevels:
 
     def add(self, fp: np.ndarray, key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Add a batch; gives (doc, pos) of the entries, new or held, that turn out to be repeats."""
+        if not len(fp):
+            return doc, pos
         gone_doc, gone_pos = [], []
         o = np.lexsort((pos, doc, fp))
         fp, key, doc, pos = fp[o], key[o], doc[o], pos[o]

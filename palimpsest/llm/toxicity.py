@@ -35,7 +35,7 @@ from .common import fold_bucket, table
 
 WORD = re.compile(r"[^\W\d_]+").findall
 STEMS = (6, 5, 4)  # letters of a word's beginning that count as a token, longest first
-LIMIT = 12.0  # of the evidence, either way
+LIMIT = 8.0  # of the evidence, either way
 REMEMBERED = 500_000  # words whose score a Python worker keeps
 
 
@@ -85,10 +85,12 @@ class ToxicModel:
         return [s for s in segments if self.rate * s[2] > self.floor(n)]
 
     def evidence(self, n: int, scores: list[float]) -> float:
-        """Summed excess of the significant segments, or what the best one lacks; bounded for the logistic curve."""
+        """Summed excess of the significant segments, or what the best one lacks; -LIMIT without any segment."""
+        if not scores:
+            return -LIMIT
         floor = self.floor(n)
         beyond = [self.rate * s - floor for s in scores]
-        x = sum(b for b in beyond if b > 0) or max(beyond, default=-floor)
+        x = sum(b for b in beyond if b > 0) or max(beyond)
         return max(-LIMIT, min(LIMIT, x))
 
     def score(self, n: int, segments: list[tuple[int, int, float]]) -> float:
