@@ -20,9 +20,9 @@ Which shingles are left out (``MOST_COMMON`` at most) changes speed, not results
 
 Signatures meet by a shuffle.  In each group of classes with one signature the
 smallest is paired with the others, the pairs are compared, and links found are
-contracted to components.  Classes that chains of pairs connect may still hold
-links between different components; they are compared with each other, component
-against component, in blocks of bounded size.  Before texts are fetched, parities
+contracted to components.  Two others of a group may link as well; both are partners
+of its smallest, so the partners of each class are compared with each other,
+component against component, in blocks of bounded size.  Before texts are fetched, parities
 of feature counts by last bits give a lower bound on the symmetric difference and
 drop pairs that cannot link; what remains is counted exactly, on whole texts.  So
 every pair with a common signature is compared or already connected.
@@ -396,10 +396,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def _across(found: DataFrame, parts: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs that may link, of classes that candidate pairs connect and first links do not."""
-    chains = written(components(found, "a", "b").withColumnRenamed("node", "class"), "chains")
-    part = reps.join(parts, F.col("rep") == F.col("node"), "left").select("class", "rep", "n", "sketch", F.coalesce("component", "rep").alias("part")).alias("p")
-    members = chains.join(part.drop("component"), "class").select(F.col("component").alias("chain"), "class", "rep", "n", "sketch", "part")
+    """Pairs that may link, of partners of one class that first links do not connect."""
+    around = found.select(F.col("a").alias("chain"), F.col("b").alias("class")).unionByName(found.select(F.col("a").alias("chain"), F.col("a").alias("class")).distinct())
+    part = reps.join(parts, F.col("rep") == F.col("node"), "left").select("class", "rep", "n", "sketch", F.coalesce("component", "rep").alias("part"))
+    members = around.join(part, "class").select("chain", "class", "rep", "n", "sketch", "part")
     mixed = (members.groupBy("chain").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
              .select("chain", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
     members = members.join(mixed, "chain").withColumn("blk", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
