@@ -47,10 +47,9 @@ def salience(kind: Column, confidence: Column, uses: Column) -> Column:
     return F.least(F.lit(1.0), base + F.least(F.lit(0.2), 0.02 * F.coalesce(uses, F.lit(0))))
 
 
-def retention(salience_: Column, days: Column, access_days: Column, decay: float = 0.01, boost: float = 0.3) -> Column:
-    """``access_days``: array of days since each recent access; those of under a day's millionth count nothing."""
-    recent = F.aggregate(F.filter(access_days, lambda d: d > 0), F.lit(0.0), lambda s, d: s + 1.0 / d)
-    return F.least(F.lit(1.0), salience_ * F.exp(-decay * days) + boost * F.coalesce(recent, F.lit(0.0)))
+def retention(salience_: Column, days: Column, recent: Column, decay: float = 0.01, boost: float = 0.3) -> Column:
+    """``recent``: the sum of 1 / days since each recent access."""
+    return F.least(F.lit(1.0), salience_ * F.exp(-decay * days) + boost * recent)
 
 
 def tier(score: Column, hot: float = 0.7, warm: float = 0.4, cold: float = 0.15) -> Column:
