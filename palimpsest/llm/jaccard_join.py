@@ -22,7 +22,8 @@ Signatures meet by a shuffle.  In each group of classes with one signature the
 smallest is paired with the others, the pairs are compared, and links found are
 contracted to components.  Two others of a group may link as well; both are partners
 of its smallest, so the partners of each class are compared with each other,
-component against component, in blocks of bounded size.  Before texts are fetched, parities
+component against component, in blocks of bounded size: first the nearest few of
+every two components, and once those links are contracted, all.  Before texts are fetched, parities
 of feature counts by last bits give a lower bound on the symmetric difference and
 drop pairs that cannot link; what remains is counted exactly, on whole texts.  So
 every pair with a common signature is compared or already connected.
@@ -52,6 +53,7 @@ M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 CHUNK_FEATURES = 1 << 20
 BLOCK = 1024
+NEAREST = 4
 COMMON_SHARE, MOST_COMMON = 5_000, 200_000  # a shingle is common if one document in COMMON_SHARE holds it
 
 
@@ -119,8 +121,8 @@ def may_link(a: int, sa: bytes, b: int, sb: bytes) -> bool:
     return 7 * (x ^ y).bit_count() <= a + b
 
 
-def possible_pairs(size: np.ndarray, sketches: list[bytes], part: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i in left, j in right) of pairs of different parts that may link; each unordered pair at most once."""
+def possible_pairs(size: np.ndarray, sketches: list[bytes], part: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i in left, j in right) of pairs of different parts that may link, each unordered pair at most once, and how far apart they are at least."""
     level = np.array([len(x) for x in sketches])
     words: dict[int, np.ndarray] = {}
     for q in np.unique(level):  # the rows of level q and those of twice that, folded
@@ -134,7 +136,7 @@ def possible_pairs(size: np.ndarray, sketches: list[bytes], part: np.ndarray, le
     inside = len(left) == len(right) and (left == right).all()
     right = right[np.argsort(size[right], kind="stable")]
     sizes = size[right]
-    out_i, out_j = [], []
+    out_i, out_j, out_d = [], [], []
     for i in left:
         # Partners at least as large (in one block, ties by place); smaller ones find i from their side, or below.
         for lo, hi, larger in ((size[i], size[i] * BOTTOM // TOP, True), (-(-size[i] * TOP // BOTTOM), size[i] - 1, False)):
@@ -145,11 +147,26 @@ def possible_pairs(size: np.ndarray, sketches: list[bytes], part: np.ndarray, le
             for q in np.unique(level[j]) if len(j) else ():
                 k = j[level[j] == q]
                 m = words[min(q, level[i])]
-                k = k[7 * np.bitwise_count(m[k] ^ m[i]).sum(1).astype(np.int64) <= size[i] + size[k]]
-                out_i.append(np.full(len(k), i))
-                out_j.append(k)
+                far = np.bitwise_count(m[k] ^ m[i]).sum(1).astype(np.int64) / (size[i] + size[k])
+                near = 7 * far <= 1 + 1e-9
+                out_i.append(np.full(near.sum(), i))
+                out_j.append(k[near])
+                out_d.append(far[near])
     none = np.empty(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+    return (np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_d)) if out_i else (none, none, none)
+
+
+def nearest_of_parts(part: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j), the nearest of every two parts."""
+    if not len(i):
+        return i, j
+    x, y = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+    o = np.lexsort((far, y, x))
+    x, y = x[o], y[o]
+    start = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    rank = np.arange(len(o)) - np.repeat(start, np.diff(np.append(start, len(o))))
+    o = o[rank < most]
+    return i[o], j[o]
 
 
 # --- signatures ----------------------------------------------------------------------------------------------
@@ -387,16 +404,18 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     stars = found.join(ra, "a").join(rb, "b").where(SIZES).mapInArrow(possible, "a long, b long, ra long, rb long")
     links = written(verified(stars, docs, doc_id, text), "links")
     parts = written(components(links, "ra", "rb"), "parts")
-    more = written(verified(_across(found, parts, reps), docs, doc_id, text), "links")
-    if not more.isEmpty():
-        parts = written(components(links.unionByName(more), "ra", "rb"), "parts")
+    for nearest in (NEAREST, None):
+        more = written(verified(_across(found, parts, reps, nearest), docs, doc_id, text), "links")
+        if not more.isEmpty():
+            held = parts.select(F.col("node").alias("ra"), F.col("component").alias("rb"))
+            parts = written(components(held.unionByName(more), "ra", "rb"), "parts")
     label = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("_c"), F.coalesce("component", "rep").alias("_component"))
     rows = owned.join(label, F.col("class") == F.col("_c"), "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
 
 
-def _across(found: DataFrame, parts: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs that may link, of partners of one class that first links do not connect."""
+def _across(found: DataFrame, parts: DataFrame, reps: DataFrame, nearest: int | None, block: int = BLOCK) -> DataFrame:
+    """Pairs that may link, of partners of one class that links so far do not connect; with ``nearest`` only that many of two parts."""
     around = found.select(F.col("a").alias("chain"), F.col("b").alias("class")).unionByName(found.select(F.col("a").alias("chain"), F.col("a").alias("class")).distinct())
     part = reps.join(parts, F.col("rep") == F.col("node"), "left").select("class", "rep", "n", "sketch", F.coalesce("component", "rep").alias("part"))
     members = around.join(part, "class").select("chain", "class", "rep", "n", "sketch", "part")
@@ -409,7 +428,9 @@ def _across(found: DataFrame, parts: DataFrame, reps: DataFrame, block: int = BL
     def pairs(key, t):
         lo, hi = key[1].as_py(), key[2].as_py()
         blk, size, part = (t[c].to_numpy() for c in ("blk", "n", "part"))
-        i, j = possible_pairs(size, t["sketch"].to_pylist(), part, np.flatnonzero(blk == lo), np.flatnonzero(blk == hi))
+        i, j, far = possible_pairs(size, t["sketch"].to_pylist(), part, np.flatnonzero(blk == lo), np.flatnonzero(blk == hi))
+        if nearest:
+            i, j = nearest_of_parts(part, i, j, far, nearest)
         cls, rep = t["class"].to_numpy(), t["rep"].to_numpy()
         return pa.table({"a": cls[i], "b": cls[j], "ra": rep[i], "rb": rep[j]})
 

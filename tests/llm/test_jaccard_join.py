@@ -89,7 +89,7 @@ def test_possible_pairs_miss_no_link():
     links = {(a, b) for a, b in itertools.combinations(range(40), 2) if jj.similar(sets[a], sets[b])}
     everyone = np.arange(40)
     for left, right in ((everyone, everyone), (everyone[::2], everyone[1::2])):
-        i, j = jj.possible_pairs(size, sk, part, left, right)
+        i, j, _ = jj.possible_pairs(size, sk, part, left, right)
         got = [tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())]
         assert len(got) == len(set(got))
         want = links if left is right else {p for p in links if (p[0] + p[1]) % 2}
