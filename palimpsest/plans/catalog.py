@@ -1,5 +1,7 @@
 """Registered queries of the engine and the SQL that checks them."""
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from palimpsest.plans import activity, retrieval
+
+QUERIES: dict = retrieval.QUERIES | activity.QUERIES
+ORACLES: dict = retrieval.ORACLES | activity.ORACLES
