@@ -8,7 +8,8 @@ from palimpsest.functions import scoring
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*edges.columns))
+    swap = {"src": "dst", "dst": "src"}
+    return edges.unionByName(edges.select(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns]))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

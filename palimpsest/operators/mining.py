@@ -45,7 +45,7 @@ def facet_rollup(facets: DataFrame) -> DataFrame:
 
 def facet_match(facets: DataFrame, wanted: list[tuple[str, str]], every: bool) -> DataFrame:
     """Targets with every (or any) wanted (dimension, value), and the number that matched."""
-    hit = F.array(*[F.struct(F.lit(d), F.lit(v)) for d, v in wanted])
+    hit = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("value")) for d, v in wanted])
     found = facets.where(F.array_contains(hit, F.struct("dimension", "value"))).groupBy("target_id").agg(F.count_distinct("dimension", "value").alias("n_matched"))
     return found.where(F.col("n_matched") == len(set(wanted))) if every else found
 

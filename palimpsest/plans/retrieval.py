@@ -52,7 +52,7 @@ def bm25_prefix_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(80)).alias("title"), F.substring("text", 41, 10**9).alias("body"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("body"))
 
 
 def bm25_field_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ def near_twin_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("ts"), F.col("lang").alias("kind"), F.left("text", F.lit(400)).alias("body"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("ts"), F.col("lang").alias("kind"), F.col("text").alias("body"))
     return similarity.shadowing(bm25_topk(spark, sf_dir, 20).join(docs, "doc_id"))
 
 
@@ -169,7 +169,13 @@ WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, ''
 ALIKE = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN CASE WHEN trim(regexp_replace({2}, '\\s+', ' ', 'g')) = trim(regexp_replace({3}, '\\s+', ' ', 'g')) THEN 1.0 ELSE 0.0 END" \
         " ELSE len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_concat({0}, {1}))) END"
 DATES = r"regexp_extract_all(coalesce({0}, ''), '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1)"
-DIFFERENT = f"(len({DATES.format('{0}')}) > 0 AND len({DATES.format('{1}')}) > 0 AND NOT list_has_any({DATES.format('{0}')}, {DATES.format('{1}')}))"
+
+
+def different_sql(a: str, b: str) -> str:
+    x, y = DATES.format(a), DATES.format(b)
+    return f"(len({x}) > 0 AND len({y}) > 0 AND NOT list_has_any({x}, {y}))"
+
+
 
 QUERIES = {f.__name__: f for f in (
     doc_term_stats, corpus_size, bm25_topk, bm25_prefix_max, bm25_field_weighted, bm25_stemmed, vector_topk, vector_parent_collapse, vector_batch_topk,
@@ -188,8 +194,8 @@ a AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT query_id, doc_id
 {top_sql('a', 10)}""",
     "bm25_field_weighted": BASE.replace(
         f"WITH d AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)",
-        f"WITH d0 AS (SELECT doc_id, {TOKENS.format('left(text, 80)')} AS t1, {TOKENS.format('substring(text, 41)')} AS t2, "
-        "CASE WHEN starts_with(coalesce(substring(text, 41), ''), coalesce(left(text, 80), '')) THEN 1.0 ELSE 3.0 END AS w FROM documents), "
+        f"WITH d0 AS (SELECT doc_id, {TOKENS.format("concat_ws(' ', lang, source)")} AS t1, {TOKENS.format('text')} AS t2, "
+        "CASE WHEN starts_with(coalesce(text, ''), concat_ws(' ', lang, source)) THEN 1.0 ELSE 3.0 END AS w FROM documents), "
         "d AS (SELECT doc_id, list_concat(t1, t2) AS t FROM d0)").replace(
         "p AS (SELECT doc_id, len, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d) GROUP BY ALL)",
         "p AS (SELECT doc_id, len, term, sum(w)::DOUBLE AS tf FROM (SELECT doc_id, len(t1) + len(t2) AS len, w, unnest(t1) AS term FROM d0 "
@@ -216,12 +222,12 @@ b AS (SELECT *, CASE WHEN days <= 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE + 0.4::DOU
 SELECT o_orderkey, round(factor, 9) AS factor, round(o_totalprice * factor, 4) AS score FROM b""",
     "jaccard_contradictions": f"""WITH m AS (SELECT doc_id, text, lang, source, {WORDS.format('text')} AS words FROM documents ORDER BY doc_id DESC LIMIT 1000)
 SELECT id_a, id_b, similarity FROM (SELECT a.doc_id AS id_a, b.doc_id AS id_b, round({ALIKE.format('a.words', 'b.words', 'a.text', 'b.text')}, 6) AS similarity
-FROM m a JOIN m b ON a.doc_id < b.doc_id AND (a.lang = b.lang OR a.source = b.source) WHERE NOT {DIFFERENT.format('a.text', 'b.text')}) WHERE similarity > 0.9""",
+FROM m a JOIN m b ON a.doc_id < b.doc_id AND (a.lang = b.lang OR a.source = b.source) WHERE NOT {different_sql('a.text', 'b.text')}) WHERE similarity > 0.9""",
     "near_duplicate_supersede": f"""{BASE}, lt AS ({top_sql('e', 50)}),
 c AS (SELECT query_id AS id, doc_id AS other, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lt),
 j AS (SELECT c.id, c.other, c.rank, b.text AS mine, d.text AS theirs, round({ALIKE.format(WORDS.format('b.text'), WORDS.format('d.text'), 'b.text', 'd.text')}, 6) AS similarity
  FROM c JOIN benchmark b ON b.item_id = c.id JOIN documents d ON d.doc_id = c.other),
-k AS (SELECT *, similarity > 0.7 AND NOT {DIFFERENT.format('mine', 'theirs')} AS replaces FROM j),
+k AS (SELECT *, similarity > 0.7 AND NOT {different_sql('mine', 'theirs')} AS replaces FROM j),
 o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY replaces DESC, CASE WHEN replaces THEN rank ELSE 0 END, similarity DESC, rank) AS r FROM k WHERE replaces OR similarity > 0.4)
 SELECT b.item_id AS id, o.other, o.similarity, CASE WHEN o.replaces THEN 'supersede' WHEN o.other IS NOT NULL THEN 'advise' ELSE 'insert' END AS action
 FROM benchmark b LEFT JOIN o ON o.id = b.item_id AND o.r = 1""",
