@@ -254,6 +254,7 @@ def document_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 often[0] = frequent_features(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                                                pa.array([sketch(s) for s in sets], pa.binary()), pa.array(often, pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))], names=["doc_id", "class", "n_shingles", "sketch", "often"])
+        HASH.clear()  # workers live on after their task
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, class long, n_shingles long, sketch binary, often array<struct<f:long,n:long>>")
 
@@ -305,6 +306,7 @@ def class_signatures(docs: DataFrame, doc_id: str, text: str, common: np.ndarray
                         sets, ids, total = [], [], 0
             if sets:
                 yield packed(sets, ids)
+        HASH.clear()
 
     return docs.where(F.col(doc_id).isNotNull()).select(text).mapInArrow(run, "sig long, class long")
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 SPACE = "▁"
+SLICE = 2 << 20
 REMEMBERED = 600_000  # parts kept by a Python worker
 ATOMS = 300_000  # the same for the atoms that parts are cut into
 LONGEST = 48  # longer parts are not remembered
@@ -200,25 +201,32 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
         import pyarrow.compute as pc
 
         c = codec(model_file)
-        for batch in batches:
-            counts, ids_sha, dec_sha, all_ids, all_dec = [], [], [], [], []
-            column = batch.column(batch.num_columns - 1)
-            sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
-            longest = int(sizes.argmax()) if len(sizes) else -1
-            for n, value in enumerate(column):
-                value = value.as_py() or ""
-                k, ids, decoded = c.round_trip(value)
-                if n == 0 or n == longest:
-                    c.check(value, ids, decoded)
-                counts.append(k)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                dec_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+        for whole in batches:
+            sizes = np.asarray(pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0))
+            place = np.cumsum(sizes, dtype=np.int64) // SLICE  # results of about SLICE bytes of text are held at once
+            cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(sizes)] if len(sizes) else []
+            for start, end in zip(cuts, cuts[1:]):
+                batch = whole.slice(start, end - start)
+                counts, ids_sha, dec_sha, all_ids, all_dec = [], [], [], [], []
+                longest = int(sizes[start:end].argmax())
+                for n, value in enumerate(batch.column(batch.num_columns - 1)):
+                    value = value.as_py() or ""
+                    k, ids, decoded = c.round_trip(value)
+                    if start + n == 0 or n == longest and sizes[start + n] == sizes.max():
+                        c.check(value, ids, decoded)
+                    counts.append(k)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    dec_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if texts:
+                        all_ids.append(np.array(ids.split(" "), np.int32))
+                        all_dec.append(decoded)
+                more, names = [], []
                 if texts:
-                    all_ids.append([int(x) for x in ids.split(" ")])
-                    all_dec.append(decoded)
-            more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_dec, pa.string())] if texts else []
-            names = list(keep) + (["token_ids", "decoded"] if texts else []) + ["n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())], names=names)
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int32)
+                    more = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids))), pa.array(all_dec, pa.string())]
+                    names = ["token_ids", "decoded"]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())],
+                                                 names=[*keep, *names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, schema)
 
