@@ -25,8 +25,8 @@ from .common import table
 
 SPACE = "▁"
 SLICE = 2 << 20
-REMEMBERED = 600_000  # parts kept by a Python worker
-ATOMS = 300_000  # the same for the atoms that parts are cut into
+REMEMBERED = 200_000  # parts kept by a Python worker
+ATOMS = 100_000  # the same for the atoms that parts are cut into
 LONGEST = 48  # longer parts are not remembered
 
 

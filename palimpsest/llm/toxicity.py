@@ -36,7 +36,7 @@ from .common import fold_bucket, table
 WORD = re.compile(r"[^\W\d_]+").findall
 STEMS = (6, 5, 4)  # letters of a word's beginning that count as a token, longest first
 LIMIT = 8.0  # of the evidence, either way
-REMEMBERED = 500_000  # words whose score a Python worker keeps
+REMEMBERED = 100_000  # words whose score a Python worker keeps
 
 
 @dataclass(frozen=True)
