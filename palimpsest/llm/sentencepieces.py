@@ -25,15 +25,14 @@ from .common import table
 
 SPACE = "▁"
 SLICE = 2 << 20
-REMEMBERED = 200_000  # parts kept by a Python worker
-ATOMS = 100_000  # the same for the atoms that parts are cut into
+REMEMBERED = 600_000  # parts kept by a Python worker, some 350 bytes each, and half as many of the atoms that parts are cut into
 LONGEST = 48  # longer parts are not remembered
 
 
 class MergeCodec:
     """Encoder and decoder over one merge-type vocabulary file."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, remembered: int = REMEMBERED):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -59,6 +58,7 @@ class MergeCodec:
         self.side_by_side = {a + b for p in self.order for a, b in zip(p, p[1:])}
         self.known: dict[str, tuple[int, str, str]] = {}
         self.atoms: dict[str, list[int]] = {}
+        self.remembered = remembered
 
     def merge(self, part: str) -> list[int]:
         """Ids of one part, by the agenda."""
@@ -135,7 +135,7 @@ class MergeCodec:
         ids = self.part_ids(part)
         entry = (len(ids), " ".join(map(str, ids)), self.decode_part(ids))
         if len(part) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= self.remembered:
                 self.known.clear()
             self.known[part] = entry
         return entry
@@ -152,7 +152,7 @@ class MergeCodec:
                 if ids is None:
                     ids = self.merge(atom)
                     if len(atom) <= LONGEST:
-                        if len(atoms) >= ATOMS:
+                        if len(atoms) >= self.remembered // 2:
                             atoms.clear()
                         atoms[atom] = ids
                 out += ids
@@ -185,13 +185,17 @@ class MergeCodec:
 
 
 @lru_cache(maxsize=4)
-def codec(model_file: str) -> MergeCodec:
+def codec(model_file: str, remembered: int = REMEMBERED) -> MergeCodec:
     """One codec for each Python worker and vocabulary file."""
-    return MergeCodec(model_file)
+    return MergeCodec(model_file, remembered)
 
 
-def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), texts: bool = False) -> DataFrame:
-    """``keep`` columns with n_tokens and the digests of the ids and of the decoded text; with ``texts`` the ids and that text too."""
+def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), texts: bool = False,
+                     remembered: int = REMEMBERED) -> DataFrame:
+    """``keep`` columns with n_tokens and the digests of the ids and of the decoded text; with ``texts`` the ids and that text too.
+
+    ``remembered`` bounds a worker's cache of parts: memory against time, same results.
+    """
     extra = "token_ids array<int>, decoded string, " if texts else ""
     kept = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {extra}n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -200,7 +204,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
         import numpy as np
         import pyarrow.compute as pc
 
-        c = codec(model_file)
+        c = codec(model_file, remembered)
         for whole in batches:
             sizes = np.asarray(pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0))
             place = np.cumsum(sizes, dtype=np.int64) // SLICE  # results of about SLICE bytes of text are held at once
