@@ -25,14 +25,12 @@ def test_codec_equals_the_library():
         assert codec.round_trip(t) == (len(ids), " ".join(map(str, ids)), library.decode(ids))
 
 
-def test_bounded_memory_keeps_results(monkeypatch):
-    monkeypatch.setattr(sp, "REMEMBERED", 5)
-    monkeypatch.setattr(sp, "ATOMS", 3)
-    codec, library = sp.MergeCodec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+def test_bounded_memory_keeps_results():
+    codec, library = sp.MergeCodec(MODEL, 6), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for t in texts(200, 2):
         assert codec.encode(t) == library.encode(t, add_eos=True)
         codec.round_trip(t)
-    assert len(codec.known) <= 5 and len(codec.atoms) <= 3
+    assert len(codec.known) <= 6 and len(codec.atoms) <= 3
 
 
 def test_documents(docs_of):
