@@ -2,16 +2,22 @@
 
 Each vector is described by its ``prefix`` nearest reference points (pivots) in
 order.  Inverted lists hold, for each pivot, the vectors whose description names
-it.  Two vectors are candidates if they share at least ``shared`` pivots; a
-candidate pair is looked at in the list of its smallest shared pivot only, and
-its cosine is then computed in double precision.
-
-Pivots are a bounded sample: the 2^k distinct vectors with the smallest hash, k
-growing so that lists grow as the square root of the input; every vector is
-indexed.  Vectors that are equal count as one with a multiplicity.  A list longer
-than ``block`` is cut into blocks and each pair of blocks is a group of its own, so
-no task holds more than two blocks.  Groups return link counts and the edges of a
-spanning forest, never all pairs.
+it.  All pairs of a list are compared in double precision; a linked pair counts in
+the list of its smallest shared pivot only.  Linked vectors that share no pivot at
+all are not found.
+
+Pivots come from a bounded sample, the distinct vectors with the smallest hash, at
+most 2^k of them, k growing so that lists grow as the square root of the input;
+every vector is indexed.  A pivot is taken only if no earlier one lies within twice
+the link angle, so no vector has two pivots within its link angle and a dense group
+owns few of them, however many rows it has.  Pivots with long lists get the smallest
+numbers.  Vectors that are equal count as one with a multiplicity.
+
+A list longer than ``block`` is cut into blocks and each pair of blocks is a group of
+its own, so no task holds more than two blocks.  Rows of a list with the same
+smallest pivot have met in the list of that pivot; where they fill a block, they get
+blocks of their own, which are not paired with one another again.  Groups return
+link counts and the edges of a spanning forest, never all pairs.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and rows without an id, link with nothing and are their own
@@ -24,12 +30,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, shuffle_width, table, written
 
-PREFIX, SHARED, BLOCK = 16, 3, 1500
+PREFIX, BLOCK = 16, 1500
+SAMPLED = 4  # vectors looked at for each wanted pivot
 LEAST_PIVOTS, MOST_PIVOTS = 128, 8192
 COSINE = 0.9
 
@@ -61,18 +68,55 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return np.take_along_axis(top, order, 1)
 
 
-def group_links(pivot: int, perm: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, n_pivots: int, shared: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i in left, j in right) of linked pairs whose smallest shared pivot is ``pivot``."""
-    named = np.zeros((len(x), n_pivots), np.float32)
-    np.put_along_axis(named, perm, 1.0, 1)
-    a, b = named[left], named[right]
-    candidate = (a @ b.T >= shared) & (a[:, :pivot] @ b[:, :pivot].T == 0)
-    i, j = np.nonzero(candidate)
-    ok = np.zeros(len(i), bool)
-    for s in range(0, len(i), 1 << 16):
-        e = slice(s, s + (1 << 16))
-        ok[e] = (x[left[i[e]]] * x[right[j[e]]]).sum(1) >= cosine
-    return left[i[ok]], right[j[ok]]
+def pivots_apart(x: np.ndarray, most: int, cosine: float) -> np.ndarray:
+    """Up to ``most`` rows of ``x``, in order, no two within twice the angle of ``cosine``; those near most of ``x`` first."""
+    apart = 2 * cosine * cosine - 1 if cosine > 0 else -1.0
+    chosen = x[:1]
+    for s in range(1, len(x), 256):
+        part = x[s : s + 256]
+        part = part[(part @ chosen.T).max(1) < apart]
+        near, taken = part @ part.T, []
+        for i in range(len(part)):
+            if not (near[i, taken] >= apart).any():
+                taken.append(i)
+        chosen = np.concatenate([chosen, part[taken]])
+        if len(chosen) >= most:
+            break
+    chosen = chosen[:most]
+    length = np.zeros(len(chosen), np.int64)
+    for s in range(0, min(len(x), 4096), 1024):
+        length += np.bincount(nearest_pivots(x[s : s + 1024], chosen, PREFIX).ravel(), minlength=len(chosen))
+    return chosen[np.argsort(-length, kind="stable")]
+
+
+def meet_before(pivot: int, perm: np.ndarray, i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs (i of left, j of right) share a pivot below ``pivot``."""
+    if len(i) * 512 > len(left) * len(right) * pivot:  # many pairs: all of the two blocks at once
+        named = np.zeros((len(perm), pivot + 1), np.float32)
+        np.put_along_axis(named, np.minimum(perm, pivot), 1.0, 1)
+        return (named[left, :pivot] @ named[right, :pivot].T)[i, j] > 0
+    out = np.zeros(len(i), bool)
+    for s in range(0, len(i), 1 << 14):
+        e = slice(s, s + (1 << 14))
+        p, q = perm[left[i[e]]], perm[right[j[e]]]
+        out[e] = ((p[:, :, None] == q[:, None, :]) & (p[:, :, None] < pivot)).any((1, 2))
+    return out
+
+
+def group_links(pivot: int, perm: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i in left, j in right) of linked pairs whose smallest shared pivot is ``pivot``; with ``same``, left is right."""
+    near = x[left] @ x[right].T
+    i, j = np.nonzero(near >= cosine - 1e-9)
+    if same:
+        i, j = i[i < j], j[i < j]
+    ok = near[i, j] >= cosine + 1e-9
+    unsure = np.flatnonzero(~ok)
+    ok[unsure] = (x[left[i[unsure]]] * x[right[j[unsure]]]).sum(1) >= cosine
+    i, j = i[ok], j[ok]
+    if pivot and len(i):
+        new = ~meet_before(pivot, perm, i, j, left, right)
+        i, j = i[new], j[new]
+    return left[i], right[j]
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -91,7 +135,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE,
-                    prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+                    prefix: int = PREFIX, block: int = BLOCK) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of ``vectors``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"))
@@ -101,7 +145,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts, edges = [], []
     for dim, n in sorted(sizes.items()):
-        c, e = _index(spark, classes.where(F.col("dim") == dim), n, cosine, prefix, shared, block)
+        c, e = _index(spark, classes.where(F.col("dim") == dim), n, cosine, prefix, block)
         counts.append(c)
         edges.append(e)
     if not sizes:
@@ -123,11 +167,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _index(spark: SparkSession, classes: DataFrame, n: int, cosine: float, prefix: int, shared: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _index(spark: SparkSession, classes: DataFrame, n: int, cosine: float, prefix: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Link counts (id, n) and forest edges (a, b) among the classes of one dimension."""
-    chosen = classes.orderBy("h", "id").limit(pivots_for(n)).select("v").toPandas()["v"]
-    pivots = unit(pa.array([list(map(float, v)) for v in chosen], pa.list_(pa.float64())))
-    shared = min(shared, len(pivots))
+    sample = classes.orderBy("h", "id").limit(SAMPLED * pivots_for(n)).select("v").toArrow()["v"].combine_chunks()
+    pivots = pivots_apart(unit(sample), pivots_for(n), cosine)
     known = spark.sparkContext.broadcast(pivots)
 
     def describe(batches):
@@ -139,12 +182,20 @@ def _index(spark: SparkSession, classes: DataFrame, n: int, cosine: float, prefi
     described = written(classes.select("id", "copies", "v").mapInArrow(describe, "id long, copies long, v array<float>, perm array<int>")
                         if dict(classes.dtypes)["v"] == "array<float>" else
                         classes.select("id", "copies", F.col("v").cast("array<double>").alias("v")).mapInArrow(describe, "id long, copies long, v array<double>, perm array<int>"), "permutations")
-    lists = described.select("*", F.explode("perm").alias("pivot"))
-    length = lists.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))  # a row for each pivot
-    lists = lists.join(F.broadcast(length), "pivot").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    lists = described.select("*", F.array_min("perm").alias("first"), F.explode("perm").alias("pivot"))
+    sizes = lists.groupBy("pivot", "first").agg(F.count(F.lit(1)).alias("n"))
+    own = (F.col("n") > block) & (F.col("first") < F.col("pivot"))  # rows that have met and fill a block
+    parts = sizes.groupBy("pivot", F.when(own, F.col("first")).otherwise(-1).alias("part")).agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    by_pivot = Window.partitionBy("pivot")
+    parts = parts.select("pivot", "part", "blocks", (F.sum("blocks").over(by_pivot.orderBy("part")) - F.col("blocks")).cast("int").alias("start"), F.sum("blocks").over(by_pivot).cast("int").alias("total"))
+    parts = written(parts, "list-parts")
+    apart = parts.where("part >= 0").select("pivot", F.col("part").alias("first"), "part")
+    lists = lists.join(F.broadcast(apart), ["pivot", "first"], "left").withColumn("part", F.coalesce("part", F.lit(-1)))
+    lists = lists.join(F.broadcast(parts), ["pivot", "part"])
+    lists = lists.withColumn("blk", F.col("start") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = lambda b: (F.col("part") >= 0) & (b >= F.col("start")) & (b < F.col("start") + F.col("blocks"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda b: ~met(b)))
     groups = lists.select("*", other.alias("oth")).select("pivot", F.least("blk", "oth").alias("lo"), F.greatest("blk", "oth").alias("hi"), "blk", "id", "copies", "v", "perm")
-    n_pivots = len(pivots)
 
     def link(key, t):
         pivot, lo, hi = (k.as_py() for k in key)
@@ -152,9 +203,7 @@ def _index(spark: SparkSession, classes: DataFrame, n: int, cosine: float, prefi
         x = unit(t["v"].combine_chunks())
         perm = np.stack([np.asarray(p) for p in t["perm"].to_numpy()])
         left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
-        i, j = group_links(pivot, perm, x, left, right, n_pivots, shared, cosine)
-        if lo == hi:
-            i, j = i[i < j], j[i < j]
+        i, j = group_links(pivot, perm, x, left, right, lo == hi, cosine)
         total = np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))
         label = forest(len(ids), i, j)
         at = np.flatnonzero(total > 0)

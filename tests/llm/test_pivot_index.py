@@ -48,3 +48,26 @@ def test_edges(spark):
     assert got == {5: (2, 3, False), 3: (2, 3, True), 9: (2, 3, False), **{i: (0, i, True) for i in (1, 2, 4, 6, 7, 8, 10, 11)}, None: (0, None, True)}
     assert pv.near_duplicates(df.limit(0)).collect() == []
     assert [tuple(r) for r in pv.near_duplicates(df.where("vec_id = 1")).collect()] == [(1, 0, 1, True)]
+
+
+def hot_group(n, dim=64, seed=3, share=3):
+    """1/share of the rows near one vector, the others clustered."""
+    rng = np.random.default_rng(seed)
+    x = np.array([v for _, v in clustered(n, dim, seed)])
+    x[::share] = rng.normal(size=dim) + rng.normal(scale=0.25, size=(len(x[::share]), dim))
+    return x.astype(np.float32)
+
+
+def links_of(x):
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return np.concatenate([(u[s : s + 1000] @ u.T >= 0.9).sum(1) for s in range(0, len(u), 1000)]) - 1
+
+
+def test_recall_with_a_hot_group(spark):
+    x = hot_group(12_000)
+    want = links_of(x)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = {r.vec_id: r.n_links for r in pv.near_duplicates(rows).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.97 * want.sum() > 10_000_000
