@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WIDTH = 10
 BLOCK_WINDOWS = 200_000
@@ -149,20 +150,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
                        width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (the id by default) with n_words, spans of hit words, and the items whose windows occur."""
     keep = keep or [doc_id]
-    parts = []
-    for block in window_blocks(items, item_id, item_text, width, block_windows):
-        counts = word_counts(docs, {w for win, _ in block for w in win.split(b" ")}, text)
-        parts.append(_scan(docs, block, counts, keep, text))
-    if not parts:
-        return _scan(docs, [], {}, keep, text)
-    if len(parts) == 1:
-        return parts[0]
-    # Blocks of a large benchmark: the findings of a document meet by id.
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    return (both.groupBy(*keep, "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-            .withColumn("spans", _merged(F.col("spans"))))
+    blocks = window_blocks(items, item_id, item_text, width, block_windows)
+    first, second = next(blocks, []), next(blocks, None)
+    vocabulary = lambda block: {w for win, _ in block for w in win.split(b" ")}
+    if second is None:
+        return _scan(docs, first, word_counts(docs, vocabulary(first), text) if first else {}, keep, text)
+    # Blocks of a large benchmark: the findings of a row meet by a number that is written once.
+    rows = docs.select(F.struct(*keep).alias("kept"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "numbered-documents")
+    both = None
+    for block in chain([first, second], blocks):
+        part = _scan(rows, block, word_counts(rows, vocabulary(block), "text"), ["row"], "text")
+        both = part if both is None else both.unionByName(part)
+    found = both.groupBy("row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("row", "kept").join(found, "row").select("kept.*", "n_words", _merged(F.col("spans")).alias("spans"), "items")
 
 
 def _merged(spans):

@@ -47,3 +47,13 @@ def test_empty_tables(spark, docs_of):
     items = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert dc.find_contamination(docs.limit(0), items).collect() == []
     assert sorted(r.n_hit for r in dc.summarised(dc.find_contamination(docs, items)).collect()) == [0, 1, 1]
+
+
+@pytest.mark.parametrize("block", [100_000, 3])
+def test_repeated_and_null_ids(spark, block):
+    docs = [(1, "a b"), (1, "c d"), (1, "c d"), (None, "e f"), (None, "x y"), (None, "x y")]
+    items = [(i, w) for i, w in enumerate("a c e g h".split())]
+    df = spark.createDataFrame([(*d, {"k": 1}) for d in docs], "doc_id long, text string, extra map<string,int>").repartition(3)
+    found = dc.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), block_windows=block, keep=["doc_id", "text", "extra"])
+    assert sorted((tuple(r) for r in dc.summarised(found).collect()), key=repr) == brute(docs, items)
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) == sorted(docs, key=repr)
