@@ -25,20 +25,37 @@ def vector_search(vectors: DataFrame, query: Sequence[float], k: int = 20, key:
 
 
 def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", column: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """(query_id, doc_id, score) for a stated query set, at most MAX_QUERIES in one call.
+    """(query_id, doc_id, score) for a query set of any size.
 
-    The set is a parameter of the job and goes to every task; each Arrow batch
-    of vectors keeps its own best k per query (with all ties at the k-th score),
-    so little is shuffled.  Vectors of another length score 0 and are not listed.
+    Queries go to every task in blocks of one vector length and at most MAX_QUERIES;
+    each block reads all vectors.  Each Arrow batch of vectors keeps its own best k
+    per query (with all ties at the k-th score), so little is shuffled.  A query
+    meets vectors of its own length only.
     """
-    asked = queries.select(F.col(query_id).alias("q"), F.col(column).alias("v")).limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: call once for each block of them")
-    asked = [r for r in asked if r.v is not None]
+    blocks: dict[int, list] = {}
+    hits = None
+    asked = queries.select(F.col(query_id).alias("q"), F.col(column).alias("v")).where("v IS NOT NULL")
+
+    def add(block: list) -> None:
+        nonlocal hits
+        part = _block_hits(vectors, block, k, key, column)
+        hits = part if hits is None else hits.unionByName(part)
+
+    for r in asked.toLocalIterator():
+        block = blocks.setdefault(len(r.v), [])
+        block.append(r)
+        if len(block) == MAX_QUERIES:
+            add(blocks.pop(len(r.v)))
+    for block in blocks.values():
+        add(block)
+    return top(_block_hits(vectors, [], k, key, column) if hits is None else hits, k)
+
+
+def _block_hits(vectors: DataFrame, asked: list, k: int, key: str, column: str) -> DataFrame:
+    """At least the best k vectors for each query of a block; all of its vectors have one length."""
+    width = len(asked[0].v) if asked else 0
     ids = np.array([r.q for r in asked], dtype=np.int64)
-    width = max((len(r.v) for r in asked), default=0)
-    matrix = np.array([r.v for r in asked if len(r.v) == width], dtype=np.float64).reshape(-1, width)
-    ids = ids[[len(r.v) == width for r in asked]] if len(asked) else ids
+    matrix = np.array([r.v for r in asked], dtype=np.float64).reshape(len(asked), width)
     norms = np.linalg.norm(matrix, axis=1)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,8 +75,7 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 20, key:
             at, of = np.nonzero(scores >= edge[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found[of]), pa.array(scores[at, of])], ["query_id", "doc_id", "score"])
 
-    hits = vectors.select(F.col(key).cast("long"), column).mapInArrow(best, "query_id long, doc_id long, score double")
-    return top(hits, k)
+    return vectors.select(F.col(key).cast("long"), column).mapInArrow(best, "query_id long, doc_id long, score double")
 
 
 def dimension_audit(vectors: DataFrame, column: str = "embedding") -> DataFrame:

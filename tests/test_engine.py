@@ -195,3 +195,14 @@ def test_empty_tables(spark):
     asked = spark.createDataFrame([(1, "word")], "query_id int, text string")
     assert lexical.search(docs, asked).count() == 0 and lexical.search(docs, asked, prefix=True).count() == 0
     assert similarity.twins(spark.createDataFrame([], "id int, words array<string>")).count() == 0
+
+
+def test_vector_search_many_takes_any_queries(spark):
+    from palimpsest.operators import vector
+
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
+    asked = [(q, [1.0, 0.1] if q % 2 else [0.1, 1.0, 0.0]) for q in range(2 * vector.MAX_QUERIES + 5)] + [(-1, None)]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    got = vector.vector_search_many(docs, queries, k=1).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(q, 1 if q % 2 else 4) for q, v in asked if v]
+    assert vector.vector_search_many(docs, queries.limit(0), k=1).collect() == []
