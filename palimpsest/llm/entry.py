@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, pivot_index, sentencepieces, suffix_dedup, toxicity, zip_archives
+from . import decontaminate, jaccard_join, language_id, line_dedup, pivot_index, sentencepieces, suffix_dedup, surrogates, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": language_id.op5_language_id,
     "op6_warc": zip_archives.op6_warc,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_surrogates": surrogates.op8_surrogates,
     "op9_embedding_neardup": pivot_index.op9_embedding_neardup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
