@@ -8,16 +8,21 @@ times the corpus strong).  A word scores as its longest significant token; words
 without one are neutral and cost ``drift``.  One linear pass over a text finds
 all maximal scoring segments.  The best scores that clean texts of n words reach
 by chance follow an extreme-value law, whose two parameters are fitted on clean
-training documents; what segments score beyond that law is summed for a document
-and mapped to 0..1 by a logistic curve fitted on the same training documents.
+training documents by quartiles, which mislabelled ones hardly move; what segments
+score beyond that law is summed for a document, put on a logarithmic scale and
+mapped to 0..1 by a logistic curve fitted on the same training documents.
 
-Bounds: at most ``max_rows`` labelled rows are learned from (those with the
-smallest hash of their id) and ``max_terms`` tokens are kept.  Labels, language,
+Bound: at most ``max_rows`` labelled documents are learned from, those with the
+smallest hash of their id; the tokens kept are a part of theirs.  Labels, language,
 source and id never enter a score.
 
 Defined results: null or empty texts get the score of a text without segments;
-with no labelled row of a class every score is 0.5 at most; repeated labels of a
-document count once, toxic if any is.
+with no labelled row of a class every score is below 0.5; repeated labels of a
+document count once, toxic if any is; null labels and labels without an id are left
+out.  Of repeated document ids the smallest text is learned from; every document
+row, repeated or without an id, gets a row of its own.  Texts of any length are read
+whole, in time proportional to their length; of equal passages each one counts.  An
+empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -35,14 +40,14 @@ from .common import fold_bucket, table
 
 WORD = re.compile(r"[^\W\d_]+").findall
 STEMS = (6, 5, 4)  # letters of a word's beginning that count as a token, longest first
-LIMIT = 8.0  # of the evidence, either way
+ALPHA = 0.01
+NONE = 8.0  # what a text without segments lacks
 REMEMBERED = 100_000  # words whose score a Python worker keeps
 
 
 @dataclass(frozen=True)
 class Settings:
     max_rows: int = 20_000
-    max_terms: int = 20_000
     prior: float = 0.05
     min_z: float = 3.5
     drift: float = 0.05
@@ -82,16 +87,15 @@ class ToxicModel:
         return max(0.0, self.base + math.log(max(n, 1)))
 
     def significant(self, n: int, segments: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-        return [s for s in segments if self.rate * s[2] > self.floor(n)]
+        """Segments that a clean text of n words reaches by chance with a probability of about ALPHA at most."""
+        return [s for s in segments if self.rate * s[2] > self.floor(n) - math.log(ALPHA)]
 
     def evidence(self, n: int, scores: list[float]) -> float:
-        """Summed excess of the significant segments, or what the best one lacks; -LIMIT without any segment."""
-        if not scores:
-            return -LIMIT
+        """Summed excess of the significant segments, or what the best one lacks, on a logarithmic scale either way."""
         floor = self.floor(n)
-        beyond = [self.rate * s - floor for s in scores]
+        beyond = [self.rate * s - floor for s in scores] or [-NONE]
         x = sum(b for b in beyond if b > 0) or max(beyond)
-        return max(-LIMIT, min(LIMIT, x))
+        return math.copysign(math.log1p(abs(x)), x)
 
     def score(self, n: int, segments: list[tuple[int, int, float]]) -> float:
         x = self.intercept + self.slope * self.evidence(n, [s[2] for s in segments])
@@ -101,28 +105,30 @@ class ToxicModel:
 def maximal_segments(scored: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments in one pass; tokens between the scored ones cost ``drift`` each.
 
-    Candidates are kept with the running total before and after them.  A new one
-    joins back to the nearest earlier candidate that starts lower, if that one
-    ends lower too.
+    Candidates are kept with the running total before and after them and the place
+    of the nearest earlier candidate that starts lower.  A new one joins back to
+    that candidate if it ends lower too.  Whatever lies between a candidate and its
+    link starts no lower than the candidate, so a search steps along links and every
+    link is passed once.
     """
-    kept: list[list[float]] = []  # first, last, total before, total after
+    kept: list[tuple[int, int, float, float, int]] = []  # first, last, total before, total after, link
     total, last = 0.0, -1
     for i, w in scored:
         total -= drift * (i - last - 1)
         before, total, last = total, total + w, i
         if w <= 0:
             continue
-        new = [i, i, before, total]
+        first, low, k = i, before, len(kept) - 1
         while True:
-            k = len(kept) - 1
-            while k >= 0 and kept[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or kept[k][3] >= new[3]:
-                kept.append(new)
+            while k >= 0 and kept[k][2] >= low:
+                k = kept[k][4]
+            if k < 0 or kept[k][3] >= total:
                 break
-            new = [kept[k][0], new[1], kept[k][2], new[3]]
+            first, _, low, _, link = kept[k]
             del kept[k:]
-    return [(int(a), int(b), after - before) for a, b, before, after in kept]
+            k = link
+        kept.append((first, i, low, total, k))
+    return [(a, b, after - before) for a, b, before, after, _ in kept]
 
 
 def tokens_of(text: str | None) -> set[str]:
@@ -135,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
     spark = docs.sparkSession
     marks = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_toxic"))
              .orderBy(F.xxhash64("_id"), "_id").limit(settings.max_rows))
-    chosen = docs.join(F.broadcast(marks), docs[doc_id] == F.col("_id")).select("_toxic", docs[text].alias("_text"))
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    chosen = rows.join(F.broadcast(marks), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.max("_toxic").alias("_toxic"), F.min("_text").alias("_text")).select("_toxic", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -159,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
     delta = odds(F.col("toxic"), n1) - odds(F.col("clean"), n0)
     spread = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
     terms = (counts.select("term", delta.alias("w"), (delta / spread).alias("z")).where(F.abs("z") >= settings.min_z)
-             .orderBy(F.abs("z").desc(), "term").limit(settings.max_terms).collect())
+             .collect())
     model = ToxicModel({r["term"]: r["w"] for r in terms}, settings.drift, 1.0, 0.0, 0.0, 1.0)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,28 +182,45 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
 
 
 def fit_extreme(rows: list[tuple[int, float]]) -> tuple[float, float]:
-    """Rate and base of P(best > s) = 1 - exp(-e^base n e^(-rate s)) by moments, over texts with a segment."""
+    """Rate and base of P(best > s) = 1 - exp(-e^base n e^(-rate s)) by quartiles, over texts with a segment."""
     rows = [(n, s) for n, s in rows if n > 0 and s > 0]
     if len(rows) < 20:
         return 1.0, 0.0
     s = np.array([s for _, s in rows])
     logs = np.log([n for n, _ in rows])
-    sd = s.std()
-    rate = math.pi / (math.sqrt(6.0) * sd) if sd > 1e-6 else 1.0
+    width = float(np.subtract(*np.quantile(s, [0.75, 0.25])))
+    rate = (math.log(math.log(4)) - math.log(math.log(4 / 3))) / max(width, 1e-3)
     rate = min(max(rate, 0.2), 2.0)
-    return rate, float(np.mean(rate * s - logs) - 0.5772156649)
+    return rate, float(np.median(rate * s - logs)) + math.log(math.log(2))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope by damped Newton steps."""
-    d = np.stack([np.ones_like(x), x], axis=1)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 200) -> tuple[float, float]:
+    """Intercept and slope that minimise the ridge-penalised logistic loss, a convex function.
+
+    Newton steps on the standardised evidence, halved until the loss falls enough, end
+    when the gradient is as good as zero; anything else is an error, not a model.
+    """
+    mean, sd = float(x.mean()), max(float(x.std()), 1e-9)
+    d = np.stack([np.ones_like(x), (x - mean) / sd], axis=1)
+
+    def loss(b: np.ndarray) -> float:
+        z = d @ b
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge * b @ b / 2)
+
     b = np.zeros(2)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(d @ b, -30, 30)))
-        h = (d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(2)
-        step = np.linalg.solve(h, d.T @ (y - p) - ridge * b)
-        b = b + np.clip(step, -2, 2)
-    return float(b[0]), float(max(b[1], 0.0))
+        p = 1 / (1 + np.exp(-np.clip(d @ b, -500, 500)))
+        gradient = d.T @ (p - y) + ridge * b
+        if np.abs(gradient).max() <= 1e-6 * max(len(x), 1):
+            break
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(2), gradient)
+        size, now = 1.0, loss(b)
+        while loss(b - size * step) > now - 1e-4 * size * float(gradient @ step) and size > 1e-10:
+            size /= 2
+        b = b - size * step
+    else:
+        raise ArithmeticError("the logistic curve did not converge")
+    return float(b[0] - b[1] * mean / sd), float(b[1] / sd)
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
