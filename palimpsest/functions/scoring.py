@@ -79,3 +79,10 @@ def aged(confidence: Column, share: Column, days: Column) -> Column:
 
 def edge_cost(weight: Column) -> Column:
     return 1 / F.greatest(weight, F.lit(0.01))
+
+
+def relation_confidence(shared_sessions: Column, days: Column, other_days: Column, kind: Column) -> Column:
+    """Half, more for sessions in common and fresh pairs, less for old ones and contradictions; 0 to 1."""
+    age = F.when((days < 7) & (other_days < 7), 0.1).when((days > 90) & (other_days > 90), -0.1).otherwise(0.0)
+    kinds = F.when(kind == "supersedes", 0.1).when(kind == "contradicts", -0.05).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + F.least(0.1 * shared_sessions, F.lit(0.3)) + age + kinds))

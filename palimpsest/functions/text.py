@@ -100,8 +100,9 @@ NOT_TOKEN = r"[^\p{L}\p{N}/.\\\]^_]+"
 
 def tokens(text: Column) -> Column:
     """Lower-case search tokens of two characters or more; hyphens split, ``/ . \\ ] ^ _`` stay. Null: none."""
-    parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_TOKEN, " "), " ")
-    return F.filter(parts, lambda t: F.char_length(t) >= 2)
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_TOKEN, " ")
+    longer = F.regexp_replace(spaced, "(?<![^ ])[^ ](?![^ ])", "")  # tokens of one character go
+    return F.array_remove(F.split(longer, " +"), "")
 
 
 def cjk_tokens(text: Column) -> Column:
@@ -298,3 +299,99 @@ def chunks(text: str | None, most: int = 1200, overlap: int = 150) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def chunk_column(texts: pd.Series) -> pd.Series:
     return texts.map(chunks)
+
+
+# ---------------------------------------------------------------- pieces of records
+
+
+def one_line(value: Column) -> Column:
+    """Line breaks, with the white space around them, become single spaces; the ends are trimmed."""
+    return F.regexp_replace(F.regexp_replace(value, r"\s*\n+\s*", " "), r"^\s+|\s+$", "")
+
+
+def collapsed(value: Column) -> Column:
+    return F.trim(F.regexp_replace(value, r"\s+", " "))
+
+
+def shortened(value: Column, limit: int, mark: str = "...") -> Column:
+    """The head of a text, with a mark if something was cut."""
+    return F.when(F.char_length(value) <= limit, value).otherwise(F.concat(F.left(value, F.lit(limit)), F.lit(mark)))
+
+
+def xml_escaped(value: Column) -> Column:
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(plain), F.lit(escaped))
+    return value
+
+
+def tag_neutralised(value: Column, tag: str) -> Column:
+    """Closing tags of an element can't end it any more."""
+    return F.regexp_replace(value, rf"(?i)</(\s*{tag})", "&lt;/$1")
+
+
+def xml_values(value: Column, tag: str) -> Column:
+    """The contents of all elements of a name that hold no other of it."""
+    return F.transform(F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(rf"<{tag}(?:\s[^>]*)?>([\s\S]*?)</{tag}>"), F.lit(1)), F.trim)
+
+
+def has_leaked_arguments(value: Column) -> Column:
+    """Text that swallowed the arguments of a tool call after it: more than one piece of its markup, or the next key of a JSON list."""
+    kinds = "pattern|preference|architecture|bug|workflow|fact"
+    quote, open_quote = '["”]', '["“]'
+    json_leak = rf"{quote}\s*,\s*{open_quote}(?:concepts{quote}\s*:|type{quote}\s*:\s*{open_quote}(?:{kinds}){quote})"
+    markers = [r"(?i)</(?:[a-z]+:)?(?:parameter|invoke|function_calls)>", r"(?i)<parameter\s+name=", r"(?i)</content>"]
+    n = sum((F.regexp_count(value, F.lit(m)) for m in markers), F.lit(0))
+    return value.rlike(json_leak) | (n > 1)
+
+
+def lesson_sentences(value: Column, most: int = 20) -> Column:
+    """Distinct sentences of 20 to 220 characters that open with advice, in order; the first spelling of each stays."""
+    start = r"(?i)^(always|never|don['’]?t|do not|make sure|remember to|prefer|avoid|note:|caveat:|warning:)\s"
+    parts = F.split(F.coalesce(value, F.lit("")), r"\n+|(?<=[.!?])\s+")
+    clean = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"^(?:[-*+>]|\d+[.)])\s+", ""), r"\s+", " "))
+    count = lambda s, token: F.regexp_count(s, F.lit(token))
+    good = lambda s: (F.char_length(s).between(20, 220) & s.rlike(start) & (count(s, r"\*\*") % 2 == 0) & (count(s, "`") % 2 == 0)
+                      & (count(s, r"\[\[") == count(s, r"\]\]")))
+    kept = F.filter(clean, good)
+    lower = F.transform(kept, F.lower)
+    first = F.filter(kept, lambda s, i: F.array_position(lower, F.lower(s)) == i + 1)
+    return F.slice(first, 1, most)
+
+
+# Capitalised words that name no entity at the start of a question: fixed values.
+ENTITY_STOP = ("The This That These Those What When Where Which Who Whom Whose Why How Is Are Was Were Do Does Did Can Could Should Would Will Have Has Had "
+               "And Or But Not For With From").split()
+
+
+def query_entities(query: Column) -> Column:
+    """Distinct quoted phrases and runs of capitalised words of a query, without question words."""
+    quoted = F.transform(F.regexp_extract_all(query, F.lit("\"([^\"]+)\"|'([^']+)'"), F.lit(0)), lambda s: F.regexp_replace(s, "^.|.$", ""))
+    words = F.regexp_extract_all(query, F.lit(r"\b[A-Z][a-zA-Z0-9_.-]*[a-zA-Z0-9]"), F.lit(0))
+    return F.array_distinct(F.concat(quoted, F.array_except(words, F.array(*[F.lit(w) for w in ENTITY_STOP]))))
+
+
+def query_date_terms(query: Column, most: int = 5) -> Column:
+    """Terms ``@yyyy-mm-dd``, ``@mm-dd`` and ``@yyyy-mm`` for the dates that a query names, as ``date_terms`` has them for records.
+
+    ISO dates, "Month D[, Y]", "D Month [Y]" and "Month Y"; a month's name that is also a word (march, may)
+    counts only with an ordinal, a year or after "on".
+    """
+    names = "january february march april may june july august september october november december".split()
+    month = "(?:" + "|".join(rf"{n}|{n[:3]}" for n in names) + ")"
+    low = F.lower(F.coalesce(query, F.lit("")))
+    iso = F.transform(F.regexp_extract_all(low, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)), lambda d: F.concat(F.lit("@"), d))
+    found = F.regexp_extract_all(low, F.lit(rf"(?:\bon )?\b{month} \d{{1,2}}(?:st|nd|rd|th)?(?!\d)(?:,? \d{{4}}\b)?|(?:\bon )?\b\d{{1,2}}(?:st|nd|rd|th)? {month}\b(?:,? \d{{4}}\b)?|\b{month} \d{{4}}\b"), F.lit(0))
+
+    def term(s: Column) -> Column:
+        name = F.regexp_extract(s, month, 0)
+        mm = F.lit(None).cast("string")
+        for i, n in enumerate(names):
+            mm = F.when(F.startswith(name, F.lit(n[:3])), f"{i + 1:02d}").otherwise(mm)
+        year = F.regexp_extract(s, r"\b(\d{4})\b", 1)
+        day = F.regexp_extract(s, r"\b(\d{1,2})(?:st|nd|rd|th)?\b", 1)
+        sure = ~name.isin("march", "may", "mar") | s.rlike(r"^on |\d(?:st|nd|rd|th)|\b\d{4}\b")
+        full = F.when((day != "") & (year != ""), F.concat(F.lit("@"), year, F.lit("-"), mm, F.lit("-"), F.lpad(day, 2, "0")))
+        made = F.coalesce(full, F.when(day != "", F.concat(F.lit("@"), mm, F.lit("-"), F.lpad(day, 2, "0"))), F.concat(F.lit("@"), year, F.lit("-"), mm))
+        return F.when(sure & (F.coalesce(F.nullif(day, F.lit("")).cast("int"), F.lit(1)).between(1, 31)), made)
+
+    return F.slice(F.array_distinct(F.array_compact(F.concat(iso, F.transform(found, term)))), 1, most)

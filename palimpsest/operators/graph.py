@@ -84,3 +84,8 @@ def page_edges(edges: DataFrame, page: DataFrame) -> DataFrame:
 def changes(edges: DataFrame, since, until, commit: str) -> DataFrame:
     """Edges committed between two times, ends included."""
     return edges.where((F.col(commit) >= since) & (F.col(commit) <= until))
+
+
+def edge_stats(edges: DataFrame) -> DataFrame:
+    """(type, n_edges, n_sources) of edges (type, src)."""
+    return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("src").alias("n_sources"))

@@ -1,15 +1,19 @@
 """Field-weighted BM25 over documents, for any number of queries in one job.
 
-Postings are an exploded, pre-aggregated table; what a query set doesn't ask for
-is dropped before the shuffle.  Corpus statistics always cover all documents.
-Join sides are left to Spark's own size checks.
+An index is written once: postings laid out by term, the frequency of every term,
+and the corpus statistics, which always cover all documents.  A search reads the
+postings of its terms only and shuffles their hits.  Join sides are left to Spark's
+own size checks.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, text
+from palimpsest.sources.shared import written
 
 RAREST = 25
 
@@ -28,22 +32,44 @@ def title_weight(title: str, narrative: str, weight: float = 3.0) -> Column:
     return F.when(F.startswith(F.coalesce(F.col(narrative), F.lit("")), F.coalesce(F.col(title), F.lit(""))), 1.0).otherwise(weight)
 
 
-def postings(docs: DataFrame, doc_id: str, fields: dict[str, float | Column]) -> DataFrame:
-    """(doc_id, len, term, tf): weights scale tf only, len counts tokens."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), weighted_tokens(fields).alias("t"))
-    rows = rows.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("t")).select("doc_id", "len", "t.term", "t.w")
-    return rows.groupBy("doc_id", "len", "term").agg(F.sum("w").alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """Postings (doc_id, len, term, tf, hits), frequencies (term, df), number of documents and their average length."""
 
+    postings: DataFrame
+    frequency: DataFrame
+    n: int
+    average: float | None
 
-def corpus_stats(docs: DataFrame, fields: dict[str, float | Column]) -> DataFrame:
-    """One row: n documents and their average length."""
-    return docs.select(F.size(weighted_tokens(fields)).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average"))
+
+def postings(docs: DataFrame, doc_id: str, fields: dict[str, float | Column]) -> DataFrame:
+    """(doc_id, len, term, tf, hits): weights scale tf only, len and hits count tokens.
+
+    Tokens are dealt by term, which serves both the counts of a document's terms and
+    the layout of the index, so they are shuffled once.
+    """
+    plain = len(fields) == 1 and all(isinstance(w, (int, float)) for w in fields.values())
+    tokens = text.tokens(F.col(next(iter(fields)))) if plain else weighted_tokens(fields)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("t"))
+    if plain:
+        rows = rows.select("doc_id", "len", F.col("t").alias("term"), F.lit(float(next(iter(fields.values())))).alias("w"))
+    else:
+        rows = rows.select("doc_id", "len", "t.term", "t.w")
+    return rows.repartition("term").groupBy("doc_id", "len", "term").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("hits"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def build_index(docs: DataFrame, doc_id: str = "doc_id", fields: dict[str, float | Column] | None = None) -> Index:
+    """Writes the index of all documents; files are ordered by term, so that a reader can skip most of them."""
+    posts = written(postings(docs, doc_id, fields or {"text": 1.0}).sortWithinPartitions("term"), "postings")
+    n = docs.count()
+    total = posts.agg(F.sum("hits")).first()[0] or 0
+    return Index(posts, written(document_frequency(posts), "term-frequency"), n, total / n if n else None)
+
+
 def query_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
     """(query_id, term, w) with stop words gone."""
     terms = F.array_distinct(text.without_stop_words(text.tokens(F.col(query))))
@@ -68,30 +94,26 @@ def prefix_expansions(terms: DataFrame, frequency: DataFrame) -> DataFrame:
     return asked.join(longer, "query_term")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int | None = 20, doc_id: str = "doc_id", fields: dict[str, float | Column] | None = None,
+def search(index: Index | DataFrame, queries: DataFrame, k: int | None = 20, doc_id: str = "doc_id", fields: dict[str, float | Column] | None = None,
            query_id: str = "query_id", query: str = "text", prefix: bool = False, extra_terms: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score): the best k documents of each query, by score to 6 places, then id.
 
+    ``index`` may also be a table of documents, whose ``fields`` are indexed first.
     ``extra_terms`` (query_id, term, w) adds weighted terms such as synonyms or
     dates.  Documents without a token are counted in the statistics and never
     found; queries without a term find nothing.
     """
-    fields = fields or {"text": 1.0}
-    posts = postings(docs, doc_id, fields)
-    frequency = document_frequency(posts)
-    stats = corpus_stats(docs, fields)
-    n, average = stats.select("n").scalar(), stats.select("average").scalar()
-    asked = rarest(query_terms(queries, query_id, query), frequency)
-    weighted = asked.select("query_id", "term", "w").where("df IS NOT NULL")
+    index = index if isinstance(index, Index) else build_index(index, doc_id, fields)
+    n, average = F.lit(index.n), F.lit(index.average)
+    asked = rarest(query_terms(queries, query_id, query), index.frequency)
+    weighted = asked.select("query_id", "term", "w", "df").where("df IS NOT NULL")
     if extra_terms is not None:
-        weighted = weighted.unionByName(extra_terms.select("query_id", "term", "w")).groupBy("query_id", "term").agg(F.max("w").alias("w"))
-    seen = posts.join(weighted.select("term").distinct(), "term", "left_semi")
-    exact = seen.join(weighted.join(frequency, "term"), "term")
-    found = exact.select("query_id", "doc_id", "tf", "len", "df", "w").withColumn("score", scoring.bm25(F.col("tf"), F.col("len"), F.col("df"), n, average) * F.col("w"))
+        more = extra_terms.select("query_id", "term", "w").join(index.frequency, "term").select("query_id", "term", "w", "df")
+        weighted = weighted.unionByName(more).groupBy("query_id", "term", "df").agg(F.max("w").alias("w"))
+    found = index.postings.join(weighted, "term").withColumn("score", scoring.bm25(F.col("tf"), F.col("len"), F.col("df"), n, average) * F.col("w"))
     found = found.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     if prefix:
-        wide = prefix_expansions(asked, frequency)
-        hits = posts.join(wide, "term")
+        hits = index.postings.join(prefix_expansions(asked, index.frequency), "term")
         hits = hits.withColumn("score", 0.5 * scoring.bm25(F.col("tf"), F.col("len"), F.col("df"), n, average) * F.col("w"))
         hits = hits.groupBy("query_id", "doc_id", "query_term").agg(F.max("score").alias("score"))
         found = found.unionByName(hits.select("query_id", "doc_id", "score")).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
@@ -111,21 +133,22 @@ def stemmed_vocabulary(frequency: DataFrame) -> DataFrame:
     return frequency.select("term", text.stem_column(F.col("term")).alias("stem"))
 
 
-def stemmed_search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_id", column: str = "text",
+def stemmed_search(index: Index | DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_id", column: str = "text",
                    query_id: str = "query_id", query: str = "text", synonym_weight: float = 0.7) -> DataFrame:
-    """As ``search`` over stems, where synonyms of a query term count 0.7."""
-    spark = docs.sparkSession
-    fields = {column: 1.0}
-    posts = postings(docs, doc_id, fields)
-    stems = stemmed_vocabulary(document_frequency(posts))
-    posts = posts.join(stems, "term").groupBy("doc_id", "len", "stem").agg(F.sum("tf").alias("tf")).withColumnRenamed("stem", "term")
-    frequency = document_frequency(posts)
-    stats = corpus_stats(docs, fields)
-    n, average = stats.select("n").scalar(), stats.select("average").scalar()
-    asked = query_terms(queries, query_id, query).withColumn("term", text.stem_column(F.col("term"))).distinct()
-    asked = rarest(asked, frequency).select("query_id", "term", "w")
+    """As ``search`` over stems, where synonyms of a query term count 0.7.
+
+    Only the words of the vocabulary that have an asked stem are looked up in the postings.
+    """
+    spark = queries.sparkSession
+    index = index if isinstance(index, Index) else build_index(index, doc_id, {column: 1.0})
+    wanted = query_terms(queries, query_id, query).select("query_id", text.stem_column(F.col("term")).alias("term"), "w").distinct()
     pairs = spark.createDataFrame(text.synonym_pairs(), "term string, other string")
+    stems = wanted.select("term").unionByName(wanted.join(pairs, "term").select(F.col("other").alias("term"))).distinct().withColumnRenamed("term", "stem")
+    words = stemmed_vocabulary(index.frequency).join(stems, "stem")
+    posts = written(index.postings.join(words, "term").groupBy("doc_id", "len", "stem").agg(F.sum("tf").alias("tf")).withColumnRenamed("stem", "term"), "stem-postings")
+    frequency = document_frequency(posts)
+    asked = rarest(wanted, frequency).select("query_id", "term", "w")
     alike = asked.join(pairs, "term").select("query_id", F.col("other").alias("term"), F.lit(synonym_weight).alias("w"))
     weighted = asked.unionByName(alike).groupBy("query_id", "term").agg(F.max("w").alias("w")).join(frequency, "term")
-    hits = posts.join(weighted, "term").withColumn("score", scoring.bm25(F.col("tf"), F.col("len"), F.col("df"), n, average) * F.col("w"))
+    hits = posts.join(weighted, "term").withColumn("score", scoring.bm25(F.col("tf"), F.col("len"), F.col("df"), F.lit(index.n), F.lit(index.average)) * F.col("w"))
     return top(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")), k)

@@ -105,3 +105,16 @@ def ir_metrics(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
                        F.round(F.when(F.col("n") == 0, 0.0).otherwise(F.col("found") / F.col("n")), 6).alias("prec"),
                        F.round(F.when(F.col("relevant") == 0, 0.0).otherwise(F.col("dcg") / ideal), 6).alias("ndcg"),
                        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
+
+
+def call_metrics(calls: DataFrame, name: str, succeeded: Column, latency: str) -> DataFrame:
+    """(name, calls, succeeded, mean_latency) of the calls of each function."""
+    return calls.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(succeeded).alias("succeeded"), F.round(F.avg(latency), 6).alias("mean_latency"))
+
+
+def team_profile(rows: DataFrame, k: int = 10) -> DataFrame:
+    """(team, n_members, n_items, value, n): size of each team (team, member, values) and its k most frequent values."""
+    size = rows.groupBy("team").agg(F.count_distinct("member").alias("n_members"), F.count(F.lit(1)).alias("n_items"))
+    counts = rows.select("team", F.explode("values").alias("value")).groupBy("team", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("team").orderBy(F.desc("n"), "value"))).where(F.col("_r") <= k)
+    return ranked.alias("c").join(size.alias("s"), F.col("c.team").eqNullSafe(F.col("s.team"))).select("s.team", "n_members", "n_items", "value", "n")

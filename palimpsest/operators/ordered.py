@@ -149,3 +149,25 @@ def greedy_pack(ranked: DataFrame, key: str, rank: str, item: str, tokens: str,
 
     packed = lists.select(key, F.aggregate("items", start, step).alias("p"))
     return packed.select(key, F.explode("p.taken").alias("t")).select(key, F.col("t.item").alias(item), F.col("t.used").alias("used"))
+
+
+def playback(rows: DataFrame, session: str, ts: str, key: str, duration: Column) -> DataFrame:
+    """Adds offset_ms from the start of each session; where all its times are equal, the durations so far."""
+    whole = Window.partitionBy(session)
+    before = whole.orderBy(ts, key).rowsBetween(Window.unboundedPreceding, -1)
+    millis = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.min(ts).over(whole).cast("timestamp"))) / 1000)
+    return rows.withColumn("offset_ms", F.when(F.min(ts).over(whole) == F.max(ts).over(whole), F.coalesce(F.sum(duration).over(before), F.lit(0))).otherwise(millis).cast("long"))
+
+
+def after_covered(rows: DataFrame, covered: DataFrame, session: str, order: list[str], key: str) -> DataFrame:
+    """Rows of each session that come after the last one a summary covers (session, covered); all where it covers none."""
+    place = rows.withColumn("_n", F.row_number().over(Window.partitionBy(session).orderBy(*order)))
+    hit = covered.select(F.col(session).alias("_s"), F.col("covered").alias("_c"))
+    last = place.join(hit, (F.col(session) == F.col("_s")) & (F.col(key) == F.col("_c"))).groupBy(F.col(session).alias("_s")).agg(F.max("_n").alias("_last"))
+    return place.join(last, F.col(session) == F.col("_s"), "left").where(F.col("_n") > F.coalesce("_last", F.lit(0))).drop("_n", "_s", "_last")
+
+
+def within_budget(rows: DataFrame, group: str, order: list, tokens: str, budget: int) -> DataFrame:
+    """The first rows of each group whose tokens together fit; what comes after them goes."""
+    upto = F.sum(tokens).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_upto", upto).where(F.col("_upto") <= budget).drop("_upto")
