@@ -331,7 +331,7 @@ def tag_neutralised(value: Column, tag: str) -> Column:
 
 def xml_values(value: Column, tag: str) -> Column:
     """The contents of all elements of a name that hold no other of it."""
-    return F.transform(F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(rf"<{tag}(?:\s[^>]*)?>([\s\S]*?)</{tag}>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(rf"<{tag}(?:\s[^>]*)?>([\s\S]*?)</{tag}>"), F.lit(1)), lambda x: F.trim(x))
 
 
 def has_leaked_arguments(value: Column) -> Column:

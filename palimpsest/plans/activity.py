@@ -279,14 +279,14 @@ def graph_degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bfs(places(spark, sf_dir), spark.range(1).select(F.lit("region:0").alias("node")), 2)
+    return graph.bfs(places(spark, sf_dir), spark.createDataFrame([("region:0",)], "node string"), 2)
 
 
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and brands, joined by shares of line items; cheapest ways from supplier 0 within three steps."""
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     edges = items.groupBy(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("src"), F.col("p_brand").alias("dst")).agg((F.count(F.lit(1)) / 100).alias("weight"))
-    return graph.cheapest_paths(edges, spark.range(1).select(F.lit("supplier:0").alias("node")), 3)
+    return graph.cheapest_paths(edges, spark.createDataFrame([("supplier:0",)], "node string"), 3)
 
 
 def graph_heuristic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,10 +299,28 @@ def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provenance_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that only orders of status F or P hold."""
-    sources = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("source"))
-    live = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("source"))
-    return graph.orphans(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), sources, live)
+    """Customers that only orders of status F or O have."""
+    sources = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("source"))
+    live = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("source"))
+    return graph.orphans(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")), sources, live)
+
+
+def relation_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers of a nation and nations of a region are related; what is near the benchmark's first customers."""
+    links = places(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0.8).alias("confidence"))
+    starts = table(spark, sf_dir, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("start"))
+    return graph.related(links, starts, 2)
+
+
+def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers near the nations and regions that a name stands for."""
+    names = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"), F.col("n_name").alias("name")).unionByName(
+        table(spark, sf_dir, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_name").alias("name")))
+    ends = places(spark, sf_dir)
+    sources = ends.select(F.col("src").alias("node"), F.col("src").alias("id")).distinct()
+    asked = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.col("r_name").alias("entity")).unionByName(
+        table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).alias("query_id"), F.concat(F.lit("in "), F.lower("n_name")).alias("entity")))
+    return graph.search_entities(names, ends.withColumn("weight", F.lit(0.4)), asked, sources, 2, 20)
 
 
 # ---------------------------------------------------------------- texts
@@ -332,7 +350,7 @@ QUERIES = {f.__name__: f for f in (
     followup_rate, nearest_anchor_asof, latest_per_key, bitemporal_asof, differential_state, session_window, idle_close, dedup_ttl, chunk_pack, budget_pack,
     retention_score, retention_tiers, retention_evict, active_weeks_decay, evict_reasons, session_cap_evict, project_cap_evict, audit_newest, lww_merge, quota_sweep,
     missing_reference_anti, stale_latest_semi, summary_left_join, file_suffix_theta, diagnostics_counts, keyset_page, scope_bytes, key_probe_semi,
-    graph_degree_topk, graph_bfs, graph_shortest_path, graph_heuristic_edges, merge_edges, provenance_orphans, secret_scrub, text_chunks, token_sums, content_fingerprints)}
+    graph_degree_topk, graph_bfs, graph_shortest_path, graph_heuristic_edges, merge_edges, provenance_orphans, relation_walk, entity_search, secret_scrub, text_chunks, token_sums, content_fingerprints)}
 
 PAIRS = """WITH f AS (SELECT DISTINCT l_orderkey AS s, l_suppkey AS f FROM lineitem), c AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY f) AS r FROM f),
 pairs AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS n_sessions FROM c a JOIN c b ON a.s = b.s AND a.f < b.f WHERE a.r <= 50 AND b.r <= 50 GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -441,8 +459,39 @@ f AS (SELECT o, v, row_number() OVER (PARTITION BY o ORDER BY v) AS r FROM (SELE
 p AS (SELECT c.v AS src, f.v AS dst, row_number() OVER (PARTITION BY c.o ORDER BY c.v, f.v) AS r FROM c JOIN f ON c.o = f.o WHERE c.r <= 12 AND f.r <= 12)
 SELECT src, dst, count(*) AS n_observations, 0.4::DOUBLE AS weight FROM p WHERE r <= 12 GROUP BY 1, 2""",
     "merge_edges": "SELECT user_id AS src, props AS dst, event_type AS type, max(value) AS weight, count(*) AS n FROM events GROUP BY 1, 2, 3",
-    "provenance_orphans": """SELECT DISTINCT p_partkey AS node FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)
-AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O')""",
+    "provenance_orphans": """SELECT c_custkey AS node FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""",
+    "relation_walk": f"""WITH RECURSIVE {EDGES}, s AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)),
+w(start, id, hop) AS (SELECT 'region:' || r_regionkey, 'region:' || r_regionkey, 0 FROM region UNION SELECT start, dst, hop + 1 FROM w JOIN s ON src = id WHERE hop < 2)
+SELECT start, id, min(hop)::INT AS hop, 0.8::DOUBLE AS confidence FROM w GROUP BY start, id HAVING min(hop) > 0""",
+    "entity_search": f"""WITH {EDGES}, s AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)),
+n AS (SELECT 'nation:' || n_nationkey AS node, lower(n_name) AS name FROM nation UNION ALL SELECT 'region:' || r_regionkey, lower(r_name) FROM region),
+q AS (SELECT r_regionkey AS query_id, lower(r_name) AS entity FROM region UNION ALL SELECT n_nationkey + 100, 'in ' || lower(n_name) FROM nation),
+st AS (SELECT DISTINCT query_id, node AS start FROM q, n WHERE contains(name, entity) OR contains(entity, name)),
+pt AS (SELECT query_id, start, start AS node, 0 AS hops FROM st UNION ALL SELECT query_id, start, dst, 1 FROM st JOIN s ON src = start
+ UNION ALL SELECT query_id, start, y.dst, 2 FROM st JOIN s x ON x.src = start JOIN s y ON y.src = x.dst),
+best AS (SELECT query_id, start, node, min(hops) AS hops FROM pt GROUP BY ALL),
+hit AS (SELECT query_id, node AS id, arg_min(CASE WHEN hops = 0 THEN 1.0 ELSE 0.4::DOUBLE / (hops + 1) END, (start, hops = 0, hops)) AS score FROM best WHERE node IN (SELECT src FROM e) GROUP BY query_id, node)
+SELECT query_id, id, round(score, 9) AS score FROM hit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 20""",
+    "graph_shortest_path": """WITH RECURSIVE g AS (SELECT 'supplier:' || l_suppkey AS src, p_brand AS dst, 1 / greatest(count(*) / 100.0::DOUBLE, 0.01) AS step FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+s AS (SELECT * FROM g UNION ALL SELECT dst, src, step FROM g),
+w(node, cost, hops) AS (SELECT 'supplier:0', 0::DOUBLE, 0 UNION ALL SELECT dst, cost + step, hops + 1 FROM w JOIN s ON src = node WHERE hops < 3)
+SELECT node, arg_min(cost, (cost, hops)) AS cost, arg_min(hops, (cost, hops))::INT AS hops FROM w GROUP BY node""",
+    "dedup_ttl": """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT event_id, user_id, event_type, n, ts AS kept_at, true AS fresh FROM r WHERE n = 1
+ UNION ALL SELECT r.event_id, r.user_id, r.event_type, r.n, CASE WHEN r.ts - f.kept_at >= INTERVAL 3600 SECONDS THEN r.ts ELSE f.kept_at END, r.ts - f.kept_at >= INTERVAL 3600 SECONDS
+ FROM f JOIN r ON r.user_id = f.user_id AND r.event_type = f.event_type AND r.n = f.n + 1)
+SELECT events.* FROM events JOIN f USING (event_id) WHERE f.fresh""",
+    "chunk_pack": """WITH RECURSIVE r AS (SELECT conv_id, turn, ceil(length(coalesce(text, '')) / 3.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (SELECT conv_id, turn, tokens, n, tokens AS used, 0 AS chunk FROM r WHERE n = 1
+ UNION ALL SELECT r.conv_id, r.turn, r.tokens, r.n, CASE WHEN f.used + r.tokens > 200 THEN r.tokens ELSE f.used + r.tokens END, f.chunk + CASE WHEN f.used + r.tokens > 200 THEN 1 ELSE 0 END
+ FROM f JOIN r ON r.conv_id = f.conv_id AND r.n = f.n + 1)
+SELECT conv_id, turn, tokens, chunk FROM f""",
+    "budget_pack": f"""{retrieval.BASE.replace('WITH d', 'WITH RECURSIVE d')}, lt AS ({retrieval.top_sql('e', 20)}),
+h AS (SELECT query_id, lt.doc_id, ceil(length(coalesce(text, '')) / 3.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lt.doc_id) AS n FROM lt JOIN documents USING (doc_id)),
+c AS (SELECT query_id, doc_id, n, CASE WHEN n = 1 THEN least(tokens, 2000) ELSE tokens END AS tokens FROM h),
+k AS (SELECT query_id, doc_id, n, tokens AS used, tokens AS total, true AS took FROM c WHERE n = 1
+ UNION ALL SELECT c.query_id, c.doc_id, c.n, c.tokens, k.total + CASE WHEN k.total + c.tokens <= 2000 THEN c.tokens ELSE 0 END, k.total + c.tokens <= 2000 FROM k JOIN c ON c.query_id = k.query_id AND c.n = k.n + 1)
+SELECT query_id, doc_id, used FROM k WHERE took""",
     "token_sums": "SELECT lang, sum(ceil(length(coalesce(text, '')) / 3.0))::BIGINT AS n_tokens FROM documents GROUP BY lang",
     "content_fingerprints": "SELECT substring(sha256(text), 1, 16) AS fingerprint, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1",
 }

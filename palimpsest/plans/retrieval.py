@@ -229,6 +229,11 @@ SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id
 h AS (SELECT lt.*, coalesce(round({COSINE.format('v.embedding', 'm.embedding')}, 6), 0.0) AS cosine, max(score) OVER (PARTITION BY lt.query_id) AS best
  FROM lt LEFT JOIN embeddings v ON v.vec_id = lt.doc_id LEFT JOIN embeddings m ON m.vec_id = lt.query_id)
 SELECT query_id, doc_id, score, cosine FROM h WHERE score >= greatest(3.5, 0.5 * best) OR (score > 0 AND cosine >= 0.3)""",
+    "expanded_search": f"""{BASE}, lt AS ({top_sql('e', 20)}),
+q2 AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({TOKENS.format("string_split(text, '.')[1]")}, lambda t: NOT list_contains({STOP}, regexp_replace(t, {LEAD}, '', 'g')))) AS term FROM benchmark),
+q3 AS (SELECT query_id, term, df FROM (SELECT query_id, q2.term, df, row_number() OVER (PARTITION BY query_id ORDER BY df ASC NULLS LAST, q2.term) AS r FROM q2 LEFT JOIN f ON q2.term = f.term) WHERE r <= 25),
+e2 AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))) AS score FROM q3 JOIN p USING (term), s GROUP BY query_id, doc_id),
+l2 AS ({top_sql('e2', 20)}), mm AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM lt UNION ALL SELECT * FROM l2) GROUP BY query_id, doc_id) {top_sql('mm', 20)}""",
     "recency_decay": """WITH a AS (SELECT *, floor(epoch(TIMESTAMP '2002-01-01' - o_orderdate) / 86400.0) AS days FROM orders),
 b AS (SELECT *, CASE WHEN days <= 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE + 0.4::DOUBLE * pow(0.5::DOUBLE, days / 180.0) END AS factor FROM a)
 SELECT o_orderkey, round(factor, 9) AS factor, round(o_totalprice * factor, 4) AS score FROM b""",
