@@ -3,24 +3,26 @@
 Each benchmark item is cut into windows of ``width`` consecutive words (an item
 with fewer words is one window).  A document contains a window only if it holds
 every word of it, so one word of each window, its prefix, must occur; the rarest
-word in the corpus is taken.  Scanning a document, each place of a prefix word
-gives candidate windows; position and length bounds decide whether the window
-fits around that place, and all its words are then compared.
-
-Rarity is counted over all documents, for words of the benchmark only.  Windows
-reach the tasks in blocks of at most ``block_windows``; a larger benchmark means
-more passes, not a larger broadcast.
-
-Defined results: null or wordless texts have no words and are not contaminated;
-repeated document rows each give a row; repeated items each count; an empty
-benchmark marks nothing.
+word in the corpus is taken.  Each place of a prefix word in a document gives
+candidate windows; position and length bounds decide whether the window fits
+around that place, and all its words are then compared.
+
+Rarity is counted over all documents.  Up to ``sent_windows`` distinct windows are
+sent to the tasks, which then scan the documents.  More windows stay a table: places
+of prefix words, with the words around them, and windows are joined on the prefix
+word, salted, in one pass over the documents; nothing of the benchmark but the set of
+prefix words (``sent_words`` at most, else places of all words are joined) leaves the
+executors.  Both ways give the same rows.
+
+Defined results: null or wordless texts have no words and are not contaminated; rows
+with the same id, or none, and repeated document rows each give a row of their own;
+repeated items each count, an item without id as the empty text; an empty benchmark
+marks nothing; texts of any length are read whole; other columns never matter.
 """
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WIDTH = 10
-BLOCK_WINDOWS = 200_000
+SENT_WINDOWS, SENT_WORDS = 200_000, 2_000_000
+SALTS = 16
+FLUSH = 500_000  # words counted in a task before they are passed on
 # A-Z become a-z; bytes of [\x00-\x2F\x3A-\x60\x7B-\x7F] (after that) become spaces.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -60,21 +64,24 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     return items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(text)).mapInArrow(run, "item string, words binary")
 
 
-def word_counts(docs: DataFrame, vocabulary: set[bytes], text: str = "text") -> dict[bytes, int]:
-    """How often each word of ``vocabulary`` (bounded by a block) occurs in all documents."""
+def word_counts(docs: DataFrame, vocabulary: set[bytes] | None, text: str = "text") -> DataFrame:
+    """Rows (word, n): how often each word, of ``vocabulary`` if it is given, occurs in all documents."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        keep = known.value.__contains__
+        keep = None if known.value is None else known.value.__contains__
         for batch in batches:
             for value in _as_binary(batch.column(0)):
                 if value:
-                    total.update(filter(keep, value.translate(FOLD).split()))
+                    found = value.translate(FOLD).split()
+                    total.update(found if keep is None else filter(keep, found))
+            if len(total) > FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+                total.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r["word"]): r["n"] for r in rows}
+    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def prefix_index(windows: list[tuple[bytes, ...]], counts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int, int]]]:
@@ -133,38 +140,81 @@ def _scan(docs: DataFrame, block: list[tuple[bytes, tuple[str, ...]]], counts: d
     return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, schema + ", n_words long, spans array<array<int>>, items array<string>")
 
 
-def window_blocks(items: DataFrame, item_id: str, text: str, width: int, block_windows: int) -> Iterator[list[tuple[bytes, tuple[str, ...]]]]:
-    """Distinct windows with their items, ``block_windows`` at a time."""
-    grouped = item_windows(items, item_id, text, width).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    block: list[tuple[bytes, tuple[str, ...]]] = []
-    for row in grouped.toLocalIterator():
-        block.append((bytes(row["words"]), tuple(row["items"])))
-        if len(block) == block_windows:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
 def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                       width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
+                       width: int = WIDTH, sent_windows: int = SENT_WINDOWS, sent_words: int = SENT_WORDS, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (the id by default) with n_words, spans of hit words, and the items whose windows occur."""
     keep = keep or [doc_id]
-    blocks = window_blocks(items, item_id, item_text, width, block_windows)
-    first, second = next(blocks, []), next(blocks, None)
-    vocabulary = lambda block: {w for win, _ in block for w in win.split(b" ")}
-    if second is None:
-        return _scan(docs, first, word_counts(docs, vocabulary(first), text) if first else {}, keep, text)
-    # Blocks of a large benchmark: the findings of a row meet by a number that is written once.
-    rows = docs.select(F.struct(*keep).alias("kept"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"))
+    owned = written(item_windows(items, item_id, item_text, width).distinct(), "item-windows")
+    if owned.count() > sent_windows:
+        return _joined(docs, owned, keep, text, sent_words)
+    block = [(bytes(r["words"]), tuple(r["items"])) for r in owned.groupBy("words").agg(F.array_sort(F.collect_list("item")).alias("items")).collect()]
+    vocabulary = {w for win, _ in block for w in win.split(b" ")}
+    counts = {bytes(r["word"]): r["n"] for r in word_counts(docs, vocabulary, text).collect()} if block else {}
+    return _scan(docs, block, counts, keep, text)
+
+
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (words, word, at, m) for windows of m words that all occur: the rarest word and its place."""
+    each = windows.select("words", F.posexplode(F.split(F.col("words").cast("string"), " "))).select("words", F.col("pos").alias("at"), F.col("col").cast("binary").alias("word"))
+    known = each.join(counts, "word", "left")
+    rarest = known.groupBy("words").agg(F.min(F.struct("n", "word", "at")).alias("r"), F.count(F.lit(1)).cast("int").alias("m"), F.count("n").cast("int").alias("seen"))
+    return rarest.where("m = seen").select("words", "r.word", "r.at", "m")
+
+
+def _places(rows: DataFrame, wanted: set[bytes] | None, width: int) -> DataFrame:
+    """Rows (row, place, n_words, word, before, around): places of wanted words, with up to width - 1 words on either side."""
+    known = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = known.value
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for row, value in zip(batch.column(0).to_pylist(), _as_binary(batch.column(1))):
+                doc = value.translate(FOLD).split() if value else []
+                for i, w in enumerate(doc):
+                    if keep is None or w in keep:
+                        first = max(0, i - width + 1)
+                        for column, x in zip(out, (row, i, len(doc), w, i - first, b" ".join(doc[first : i + width]))):
+                            column.append(x)
+                if len(out[0]) > 50_000:
+                    yield _place_batch(out)
+                    out = [[] for _ in range(6)]
+            yield _place_batch(out)
+
+    return rows.select("row", "text").mapInArrow(run, "row long, place int, n_words int, word binary, before int, around binary")
+
+
+def _place_batch(out: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["row", "place", "n_words", "word", "before", "around"])
+
+
+def _joined(docs: DataFrame, owned: DataFrame, keep: list[str], text: str, sent_words: int) -> DataFrame:
+    """The same for a benchmark of any size, by joins; rows meet by a number that is written once."""
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(v.translate(FOLD).split()) if v else 0 for v in _as_binary(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["kept", "text", "n_words"])
+
+    plain = docs.select(F.struct(*keep).alias("kept"), docs[text].alias("text"))
+    rows = plain.mapInArrow(sized, f"kept {plain.schema['kept'].dataType.simpleString()}, text string, n_words long").withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "numbered-documents")
-    both = None
-    for block in chain([first, second], blocks):
-        part = _scan(rows, block, word_counts(rows, vocabulary(block), "text"), ["row"], "text")
-        both = part if both is None else both.unionByName(part)
-    found = both.groupBy("row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.select("row", "kept").join(found, "row").select("kept.*", "n_words", _merged(F.col("spans")).alias("spans"), "items")
+    first = written(prefixes(owned.select("words").distinct(), word_counts(rows, None)), "prefixes")
+    asked = first.select("word").distinct()
+    wanted = {bytes(r["word"]) for r in asked.collect()} if asked.count() <= sent_words else None
+    width = first.agg(F.max("m")).first()[0] or 1
+    places = _places(rows, wanted, width).withColumn("salt", F.pmod(F.xxhash64("row", "place"), F.lit(SALTS)).cast("int"))
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = places.join(salted, ["word", "salt"]).where("place >= at AND place - at + m <= n_words")
+    found = F.array_join(F.slice(F.split(F.col("around").cast("string"), " "), F.col("before") - F.col("at") + 1, F.col("m")), " ")
+    hits = written(pairs.where(found == F.col("words").cast("string")).select("row", (F.col("place") - F.col("at")).alias("start"), "m", "words"), "hits")
+    spans = hits.select("row", F.array(F.col("start"), F.col("start") + F.col("m")).alias("span")).distinct().groupBy("row").agg(F.collect_list("span").alias("spans"))
+    named = hits.select("row", "words").distinct().withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    owners = owned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    listed = named.join(owners, ["words", "salt"]).select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = rows.select("row", "kept", "n_words").join(spans, "row", "left").join(listed, "row", "left")
+    none = lambda kind: F.array().cast(kind)
+    return out.select("kept.*", "n_words", F.coalesce(_merged(F.col("spans")), none("array<array<int>>")).alias("spans"), F.coalesce("items", none("array<string>")).alias("items"))
 
 
 def _merged(spans):

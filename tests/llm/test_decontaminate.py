@@ -28,15 +28,15 @@ def brute(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_against_brute_force(spark, docs_of, block):
+@pytest.mark.parametrize("sent", [(100_000, 100_000), (3, 100_000), (3, 2)])
+def test_against_brute_force(spark, docs_of, sent):
     rng = random.Random(4)
     say = lambda n: " ".join(rng.choice(["a", "B", "c1", "é", "ÄB", "x-y", "the"]) for _ in range(n))
     items = [(i, say(rng.choice([0, 1, 3, 9, 10, 11, 14]))) for i in range(12)] + [(20, None), (21, "!!"), (2, "rare words only here now and then one two three"), (22, "a")]
     docs = [(i, " ".join([say(rng.randint(0, 12)), rng.choice(items)[1] or "", say(rng.randint(0, 12)), rng.choice(items)[1] or ""])) for i in range(30)]
     docs += [(100, None), (101, ""), (102, "..."), (103, "word " * 5000)]
     df = spark.createDataFrame(items, "item_id long, text string")
-    got = dc.summarised(dc.find_contamination(docs_of([(*d, 1) for d in docs], ", n_hit int"), df, block_windows=block))
+    got = dc.summarised(dc.find_contamination(docs_of([(*d, 1) for d in docs], ", n_hit int"), df, sent_windows=sent[0], sent_words=sent[1]))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items)
 
 
@@ -49,11 +49,11 @@ def test_empty_tables(spark, docs_of):
     assert sorted(r.n_hit for r in dc.summarised(dc.find_contamination(docs, items)).collect()) == [0, 1, 1]
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_repeated_and_null_ids(spark, block):
+@pytest.mark.parametrize("sent", [(100_000, 100_000), (3, 100_000), (3, 2)])
+def test_repeated_and_null_ids(spark, sent):
     docs = [(1, "a b"), (1, "c d"), (1, "c d"), (None, "e f"), (None, "x y"), (None, "x y")]
     items = [(i, w) for i, w in enumerate("a c e g h".split())]
     df = spark.createDataFrame([(*d, {"k": 1}) for d in docs], "doc_id long, text string, extra map<string,int>").repartition(3)
-    found = dc.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), block_windows=block, keep=["doc_id", "text", "extra"])
+    found = dc.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), sent_windows=sent[0], sent_words=sent[1], keep=["doc_id", "text", "extra"])
     assert sorted((tuple(r) for r in dc.summarised(found).collect()), key=repr) == brute(docs, items)
     assert sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) == sorted(docs, key=repr)
