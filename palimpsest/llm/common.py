@@ -1,35 +1,13 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.shared import shared_path, written
+from palimpsest.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that ``spark.checkpoint.dir`` names.
-
-    Where the setting is missing (one machine, tests) a folder under the local
-    temporary directory takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "palimpsest-shared")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends at files that outlive executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "fold_bucket", "shared_path", "shuffle_width", "table", "written"]
 
 
 def shuffle_width(spark: SparkSession) -> int:

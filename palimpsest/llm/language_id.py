@@ -80,9 +80,10 @@ def _symbols(values: list[bytes], symbol: np.ndarray, depth: int) -> tuple[np.nd
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, depth: int = DEPTH) -> ContextTrees | None:
     """Learn from the labelled documents given; leave held-out ones out before."""
     first = Window.partitionBy("_lang", F.pmod(F.xxhash64("_id"), F.lit(SALTS))).orderBy(F.xxhash64(F.lit(1), "_id"), "_id")
-    ids = (docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
+    ids = (docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).distinct()
            .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= -(-per_language // SALTS)).drop("_n"))
-    chosen = docs.where(F.col(lang).isNotNull()).join(F.broadcast(ids), (docs[doc_id] == F.col("_id")) & (docs[lang] == F.col("_lang"))).select("_lang", docs[text].alias("_text"))
+    chosen = docs.where(F.col(lang).isNotNull()).join(F.broadcast(ids), (docs[doc_id] == F.col("_id")) & (docs[lang] == F.col("_lang"))).select("_id", "_lang", docs[text].alias("_text"))
+    chosen = chosen.groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).select("_lang", "_text")  # of repeated rows one
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of byte grams of every order, packed as numbers of base 256."""

@@ -1,14 +1,16 @@
 """Line deduplication over levelled sorted runs (DataFrame functions only).
 
-Every distinct line key of a document is one 128-bit hash.  ``LineRuns`` keeps
-runs of (hash, number of documents), each sorted by hash and written to the
-shared folder.  A new batch is anti-joined with the keys that the runs already
-hold as frequent (nothing more need be known of those), and what is left becomes
-a run of level 0.  ``fanout`` runs of a level are compacted into one of the next.
+Every distinct line key of a document is one 128-bit hash; hashes are written once
+and texts are read again only to drop lines.  ``LineRuns`` keeps runs of (hash,
+number of documents), each sorted by hash and written to the shared folder.  A new
+batch is merge-anti-joined with the keys that the runs already hold as frequent
+(nothing more need be known of those), and what is left becomes a run of level 0.
+``fanout`` runs of a level are compacted into one of the next.
 
 Defined results: null or empty text is one empty line; empty keys never count;
-each row is a document, also where ids repeat or are null; an empty table gives
-an empty result; columns of the input are kept untouched by ``drop_lines``.
+each row is a document, also where ids repeat or are null; texts of any length are
+read whole; a key that exactly ``min_docs`` documents hold counts as frequent; an empty
+table gives an empty result; columns of the input are kept untouched by ``drop_lines``.
 """
 from __future__ import annotations
 
@@ -70,12 +72,13 @@ class LineRuns:
                 merged = merged.unionByName(run)
             self._put(level + 1, merged.groupBy("h1", "h2").agg(F.sum("n").alias("n")))
 
-    def add(self, docs: DataFrame, text: str = "text") -> None:
-        batch = document_keys(docs, text, []).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    def add(self, keys: DataFrame) -> None:
+        """Adds a batch: one row (h1, h2) for each distinct key of each of its documents."""
+        batch = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
         held = self._all()
         if held is not None:
             settled = held.where(F.col("n") >= self.min_docs).select("h1", "h2")
-            batch = batch.join(settled, ["h1", "h2"], "left_anti")
+            batch = batch.join(settled.hint("merge"), ["h1", "h2"], "left_anti")
         self._put(0, batch)
 
     def frequent(self) -> DataFrame:
@@ -84,9 +87,8 @@ class LineRuns:
         return held.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select("h1", "h2")
 
 
-def drop_lines(docs: DataFrame, frequent: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept_text added."""
-    mine = document_keys(docs, text, [F.col(doc_id).alias("_id")])
+def drop_lines(docs: DataFrame, mine: DataFrame, frequent: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with n_lines, n_dropped and kept_text added; ``mine`` has the keys (_id, h1, h2) of documents."""
     hits = (mine.join(frequent, ["h1", "h2"], "left_semi").groupBy("_id")
             .agg(F.collect_set(F.struct("h1", "h2")).alias("_drop")))
     rows = docs.join(hits.hint("shuffle_hash"), docs[doc_id].eqNullSafe(hits["_id"]), "left").drop("_id")
@@ -102,10 +104,10 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, doc_id: str = "doc_id", tex
 def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines whose key at least ``min_docs`` documents hold go from every document."""
     runs = LineRuns(docs.sparkSession, min_docs)
-    part = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(batches))
+    keys = written(document_keys(docs, text, [F.col(doc_id).alias("_id"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(batches)).cast("int").alias("_batch")]), "line-keys")
     for b in range(batches):
-        runs.add(docs.where(part == b), text)
-    return drop_lines(docs, written(runs.frequent(), "frequent-lines"), doc_id, text)
+        runs.add(keys.where(F.col("_batch") == b))
+    return drop_lines(docs, keys, written(runs.frequent(), "frequent-lines"), doc_id, text)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,12 +116,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
-k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT doc, doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc, doc_id
 """

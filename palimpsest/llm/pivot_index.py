@@ -8,7 +8,8 @@ all are not found.
 
 Pivots come from a bounded sample, the distinct vectors with the smallest hash, at
 most 2^k of them, k growing so that lists grow as the square root of the input;
-every vector is indexed.  A pivot is taken only if no earlier one lies within twice
+every vector is indexed.  MOST_PIVOTS bounds what is sent to the tasks; it is reached at
+some 268 million vectors, beyond which lists grow in proportion.  A pivot is taken only if no earlier one lies within twice
 the link angle, so no vector has two pivots within its link angle and a dense group
 owns few of them, however many rows it has.  Pivots with long lists get the smallest
 numbers.  Vectors that are equal count as one with a multiplicity.
@@ -37,7 +38,7 @@ from .common import components, shuffle_width, table, written
 
 PREFIX, BLOCK = 16, 1500
 SAMPLED = 4  # vectors looked at for each wanted pivot
-LEAST_PIVOTS, MOST_PIVOTS = 128, 8192
+LEAST_PIVOTS, MOST_PIVOTS = 128, 1 << 16
 COSINE = 0.9
 
 

@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
-A text is normalised as the vocabulary asks (spaces become U+2581, one is put in
-front), cut where no piece of the vocabulary can cross, and every part is merged
+A text is normalised (spaces become U+2581, one is put in front); a vocabulary whose
+file asks for anything else, or that isn't of the merge type, is refused.  It is cut
+where no piece of the vocabulary can cross, and every part is merged
 by an agenda of adjacent symbol pairs ordered by score, leftmost first on ties.
 Symbols outside the vocabulary fall back to byte pieces.  Parts are remembered in
 a bounded table, as most words come again.  In every Arrow batch the longest and
 the first text are encoded and decoded by the sentencepiece library as well; a
 difference stops the job.
 
-Defined results: null text counts as empty and gives the end id alone.
+Defined results: null text counts as empty and gives the end id alone; texts of any
+length are encoded whole; every row, repeated or without an id, gives a row of its
+own; pairs of equal score merge leftmost first; an empty table gives none; other
+columns never matter.
 """
 from __future__ import annotations
 
@@ -29,6 +33,48 @@ REMEMBERED = 600_000  # parts kept by a Python worker, some 350 bytes each, and
 LONGEST = 48  # longer parts are not remembered
 
 
+def message_fields(data: bytes) -> dict[int, list]:
+    """Values of a serialised message by field number: numbers or bytes."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            value = number()
+        else:
+            size = number() if kind == 2 else 8 if kind == 1 else 4
+            value, at = data[at : at + size], at + size
+        out.setdefault(tag >> 3, []).append(value)
+    return out
+
+
+def refuse_other_rules(model: bytes) -> None:
+    """An error unless a vocabulary file is of the merge type and only escapes spaces and puts one in front.
+
+    Fields of the file: 2 training (3: type, 2 is merging), 3 normaliser (2: character map, 3: space
+    in front, 4: extra spaces removed, 5: spaces escaped; the last three are true where not given).
+    """
+    fields = message_fields(model)
+    training, rules = ({k: v[-1] for k, v in message_fields(fields.get(n, [b""])[-1]).items()} for n in (2, 3))
+    if training.get(3, 1) != 2:
+        raise ValueError("not a vocabulary of the merge type")
+    if rules.get(2) or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1):
+        raise ValueError("the vocabulary asks for another normalisation")
+
+
 class MergeCodec:
     """Encoder and decoder over one merge-type vocabulary file."""
 
@@ -36,6 +82,7 @@ class MergeCodec:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        refuse_other_rules(sp.serialized_model_proto())
         self.ids, self.order, self.byte_id, self.surface = {}, {}, {}, {}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import shared_path, shuffle_width, table, written
 
 PACKAGE_BYTES = 64 << 20
+SALTS = 16
 READ_BYTES = 4 << 20
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -204,11 +205,18 @@ class BytesSource:
 
 
 def with_references(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """``pages`` with _first: the smallest id that has the same payload."""
+    """``pages`` with _first: the smallest id that has the same payload, null where no other page has it.
+
+    Ids meet on digests alone, salted, and pages then on digest and id, so a payload that very
+    many pages have doesn't bring them together.
+    """
     digest = F.sha1(F.coalesce(F.col(html), F.lit("")).cast("binary"))
-    keyed = pages.withColumn("_digest", digest)
-    firsts = pages.select(digest.alias("_digest"), F.col(page_id).alias("_id")).groupBy("_digest").agg(F.min("_id").alias("_first"))
-    return keyed.join(firsts, "_digest").drop("_digest")
+    ids = pages.select(digest.alias("_d"), F.col(page_id).alias("_id"))
+    firsts = ids.groupBy("_d").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = ids.distinct().withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    refs = salted.join(firsts, ["_d", "_s"]).where("_id IS NULL OR _id <> _first").select("_d", "_id", "_first")
+    rows = pages.withColumn("_digest", digest)
+    return rows.join(refs, (F.col("_digest") == F.col("_d")) & F.col(page_id).eqNullSafe(F.col("_id")), "left").drop("_digest", "_d", "_id")
 
 
 def write_packages(pages: DataFrame, uri: str, page_id: str = "page_id", url: str = "url", html: str = "html", package_bytes: int = PACKAGE_BYTES) -> DataFrame:

@@ -44,6 +44,6 @@ def test_batches_and_clashing_columns(docs_of):
 def test_runs_are_compacted(spark, docs_of):
     runs = ld.LineRuns(spark, min_docs=2)
     for k in range(4):
-        runs.add(docs_of([(k, "same"), (k + 10, f"only {k}")]))
+        runs.add(ld.document_keys(docs_of([(k, "same"), (k + 10, f"only {k}")]), "text", []))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert runs.frequent().count() == 1

@@ -53,3 +53,20 @@ def test_a_difference_stops_the_job():
     codec = sp.MergeCodec(MODEL)
     with pytest.raises(ValueError):
         codec.check("text", "1 2", "text")
+
+
+def test_other_rules_are_refused():
+    import public_tokenizers
+    import sentencepiece
+
+    from palimpsest.llm import sentencepieces as sp
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).serialized_model_proto()
+    sp.refuse_other_rules(model)
+    extra = lambda n, body: bytes([n << 3 | 2, len(body)]) + body  # noqa: E731  a later field replaces an earlier one
+    for bad in (extra(3, b"\x12\x02ab\x20\x00"), extra(3, b""), extra(3, b"\x18\x00\x20\x00"), extra(2, b"\x18\x01"), extra(2, b"")):
+        try:
+            sp.refuse_other_rules(model + bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
