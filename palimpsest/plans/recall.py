@@ -9,6 +9,7 @@ from palimpsest.operators import fusion, graph, lexical, lifecycle, mining, reca
 from palimpsest.plans import retrieval
 from palimpsest.plans.records import ctes, record
 from palimpsest.sources.tables import table
+from palimpsest.streaming import marks
 
 PROJECT = "BUILDING"
 QUERIES: dict = {}
@@ -379,6 +380,48 @@ def min_max_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_topk(spark, sf_dir, 100).withColumn("score", F.round(fusion.min_max(F.col("score")), 6))
 
 
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS first_at, count(*) AS n FROM events GROUP BY 1")
+def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marks.windows(table(spark, sf_dir, "events"), "ts", "1 hour")
+
+
+@query("""WITH m AS (SELECT user_id, max(ts) AS mark FROM events WHERE event_type = 'signup' GROUP BY user_id)
+SELECT event_id FROM events LEFT JOIN m USING (user_id) WHERE mark IS NULL OR ts > mark""")
+def beyond_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    held = marks.next_marks(events.where("event_type = 'signup'"), spark.createDataFrame([], "user_id long, mark timestamp_ntz"), "user_id", "ts")
+    return marks.beyond_mark(events, held, "user_id", "ts").select("event_id")
+
+
+@query("""WITH p AS (SELECT user_id, min(ts) AS oldest FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT event_id FROM events LEFT JOIN p USING (user_id) WHERE oldest IS NULL OR ts < oldest OR ts <= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 1 HOUR""")
+def held_for_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return marks.ready(events, events.where("event_type = 'error'"), "user_id", "ts", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id")
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS listed_at FROM events GROUP BY user_id), p AS (SELECT user_id, min(ts) AS oldest FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT user_id, least(listed_at, coalesce(oldest, listed_at)) AS covered_through FROM l LEFT JOIN p USING (user_id)""")
+def coverage_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return marks.coverage(events.groupBy("user_id").agg(F.max("ts").alias("listed_at")), events.where("event_type = 'error'"), "user_id", "ts")
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ts, CASE WHEN value > 30 THEN 'slow' ELSE 'healthy' END AS v FROM events),
+a AS (SELECT *, CASE WHEN lag(v) OVER w IS DISTINCT FROM v THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a),
+c AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) = 2 THEN v END AS switched FROM b)
+SELECT event_id, coalesce(last_value(switched IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'healthy') AS verdict FROM c""")
+def steady_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("value") > 30, "slow").otherwise("healthy"))
+    return marks.steady(samples, "user_id", ["ts", "event_id"], "v", 2).select("event_id", "verdict")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marks.running_counts(table(spark, sf_dir, "events"), "user_id")
+
+
 # ---------------------------------------------------------------- text
 
 

@@ -66,17 +66,32 @@ def session_windows(rows: DataFrame, gap: str = "6 hours", late: str = "1 hour")
     return found.select("session_id", F.col("w.start").alias("first_at"), F.col("w.end").alias("closes_at"), "n")
 
 
-def follow_ups(searches: DataFrame, seconds: float = 30) -> DataFrame:
-    """(session_id, ts, follow_up) of searches in a stream; the state of a session is its last time."""
+def follow_ups(searches: DataFrame, seconds: float = 30, late: str = "1 minute") -> DataFrame:
+    """(session_id, ts, follow_up) of searches in a stream.
+
+    The state of a session is its latest time.  It leaves the state store once the watermark has
+    passed the time within which a follow-up could come; a late search never moves it back.
+    """
+    wait = int(seconds * 1000)
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("ts")
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        gap = rows["ts"] - rows["ts"].shift(1, fill_value=last if last is not None else pd.NaT)
-        state.update((int(rows["ts"].iloc[-1].value // 1000),))
-        yield pd.DataFrame({"session_id": key[0], "ts": rows["ts"], "follow_up": (gap <= pd.Timedelta(seconds=seconds)).to_numpy()})
-
-    return searches.select("session_id", "ts").groupBy("session_id").applyInPandasWithState(
-        step, "session_id string, ts timestamp, follow_up boolean", "last_us long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"session_id": [], "ts": [], "follow_up": []}).astype({"session_id": str, "ts": "datetime64[us]", "follow_up": bool})
+            return
+        ts = pd.concat(list(frames))["ts"].sort_values()
+        before = ts.shift(1)
+        if state.exists:
+            before.iloc[0] = pd.Timestamp(state.get[0], unit="us")
+        gap = ts - before
+        latest = max(int(ts.iloc[-1].value // 1000), state.get[0] if state.exists else 0)
+        state.update((latest,))
+        state.setTimeoutTimestamp(max(latest // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        follow = (gap >= pd.Timedelta(0)) & (gap <= pd.Timedelta(seconds=seconds))
+        yield pd.DataFrame({"session_id": key[0], "ts": ts, "follow_up": follow.to_numpy()})
+
+    return searches.select("session_id", "ts").withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(
+        step, "session_id string, ts timestamp, follow_up boolean", "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def buffered(rows: DataFrame, most: int = 6, characters: int = 24_000, idle_ms: int = 5000) -> DataFrame:

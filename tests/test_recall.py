@@ -132,3 +132,21 @@ def test_index_counts_documents_without_tokens(spark):
     empty = lexical.build_index(docs.limit(0))
     asked = spark.createDataFrame([(1, "alpha")], "query_id long, text string")
     assert empty.n == 0 and lexical.search(empty, asked).collect() == []
+
+
+def test_read_once(spark):
+    from palimpsest.streaming import marks
+
+    now = F.lit(5)
+    rows = spark.createDataFrame([(1, "a", None, None), (2, "a", 3, None), (3, "a", None, 4), (4, "b", None, None), (5, None, None, None), (6, "a", None, 9)], "id long, reader string, read_at int, expires_at int")
+    fresh, after = marks.read_once(rows, "a", now)
+    assert [r.id for r in fresh.orderBy("id").collect()] == [1, 6]
+    assert {r.id: r.read_at for r in after.collect()} == {1: 5, 2: 3, 3: None, 4: None, 5: None, 6: 5}
+    assert marks.read_once(after, "a", now)[0].collect() == []
+
+
+def test_uncovered(spark):
+    from palimpsest.streaming import marks
+
+    rows = spark.createDataFrame([("s", 1), ("s", 2), ("t", 1)], "session_id string, id long")
+    assert sorted(tuple(r) for r in marks.uncovered(rows, rows.where("id = 2"), "session_id", "id").collect()) == [("s", 1), ("t", 1)]
