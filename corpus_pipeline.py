@@ -14,6 +14,13 @@ and read again between them:
 
 All but the last return the columns of documents; n_chars follows the text where
 lines went.  The whole cannot be expressed in SQL (a trained score, a tokenizer).
+
+Defined results: null and empty texts are clean, have no lines to drop, no links and no
+windows, and become the end id alone.  Rows without an id are judged like others, but
+never linked.  Repeated rows are rows like others; repeated ids go together in the third
+stage, which drops rows by id.  Texts of any length are read whole.  Of linked documents
+the smallest id stays, so ties cannot arise.  Columns that are not used pass unchanged,
+whatever their names.  An empty table gives an empty result at every stage.
 """
 from __future__ import annotations
 
