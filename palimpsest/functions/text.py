@@ -91,6 +91,9 @@ SECRET_PATTERNS = [
     r"dop_v1_[A-Za-z0-9]{64}",
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
 ]
+# Text that a match of the pattern in the same place must hold; looked for first, as most texts hold none.
+SECRET_HINTS = [("=", ":"), ("=", ":"), ("bearer",), ("sk-proj-",), ("sk-", "pk-", "rk-", "ak-"), ("sk-ant-",), ("ghp_", "ghu_", "ghs_"), ("github_pat_",), ("xoxb-",), ("AKIA",), ("AIza",), ("eyJ",),
+                ("npm_",), ("glpat-",), ("dop_v1_",), ("-----BEGIN ",)]
 PRIVATE_BLOCK = r"(?is)<private>.*?</private>"
 URL_CREDENTIAL = r"(?i)((?<![a-z0-9+.-])[a-z][a-z0-9+.-]*://[^\s:@/]+:)[^\s@/]+(@)"
 
@@ -144,10 +147,19 @@ def jaccard(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
 
 def scrub(text: Column) -> Column:
     """Private blocks, credentials and passwords in URLs replaced by a mark."""
-    out = F.regexp_replace(text, PRIVATE_BLOCK, "[REDACTED]")
-    for pattern in SECRET_PATTERNS:
-        out = F.regexp_replace(out, pattern, "[REDACTED_SECRET]")
-    return F.regexp_replace(out, URL_CREDENTIAL, "$1[REDACTED_SECRET]$2")
+    lower = F.lower(text)
+
+    def guarded(out: Column, hints: tuple[str, ...], pattern: str, mark: str) -> Column:
+        hit = F.lit(False)
+        for h in hints:
+            hit = hit | F.contains(lower if h in ("bearer", "<private>") else text, F.lit(h))
+        # A lambda's variable stands for the text so far, which would otherwise be written out twice at every step.
+        return F.transform(F.array(out), lambda x: F.when(hit, F.regexp_replace(x, pattern, mark)).otherwise(x))[0]
+
+    out = guarded(text, ("<private>",), PRIVATE_BLOCK, "[REDACTED]")
+    for hints, pattern in zip(SECRET_HINTS, SECRET_PATTERNS, strict=True):
+        out = guarded(out, hints, pattern, "[REDACTED_SECRET]")
+    return guarded(out, ("://",), URL_CREDENTIAL, "$1[REDACTED_SECRET]$2")
 
 
 def date_terms(ts: Column) -> Column:
