@@ -229,6 +229,12 @@ SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id
 h AS (SELECT lt.*, coalesce(round({COSINE.format('v.embedding', 'm.embedding')}, 6), 0.0) AS cosine, max(score) OVER (PARTITION BY lt.query_id) AS best
  FROM lt LEFT JOIN embeddings v ON v.vec_id = lt.doc_id LEFT JOIN embeddings m ON m.vec_id = lt.query_id)
 SELECT query_id, doc_id, score, cosine FROM h WHERE score >= greatest(3.5, 0.5 * best) OR (score > 0 AND cosine >= 0.3)""",
+    "memory_shadow": f"""{BASE}, lt AS ({top_sql('e', 20)}),
+r AS (SELECT query_id, doc_id, lang, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]{{3,}}'), lambda t: NOT list_contains({STOP}, t))) AS terms
+ FROM lt JOIN documents USING (doc_id)),
+sh AS (SELECT o.query_id, o.doc_id, n.doc_id AS newer_id, len(list_intersect(o.terms, n.terms)) AS n_shared, least(len(o.terms), len(n.terms)) AS least
+ FROM r o JOIN r n ON n.query_id = o.query_id AND n.lang = o.lang AND n.doc_id > o.doc_id)
+SELECT query_id, doc_id, newer_id, n_shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY newer_id DESC) AS k FROM sh WHERE n_shared >= 2 AND n_shared >= 0.3 * least) WHERE k = 1""",
     "expanded_search": f"""{BASE}, lt AS ({top_sql('e', 20)}),
 q2 AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({TOKENS.format("string_split(text, '.')[1]")}, lambda t: NOT list_contains({STOP}, regexp_replace(t, {LEAD}, '', 'g')))) AS term FROM benchmark),
 q3 AS (SELECT query_id, term, df FROM (SELECT query_id, q2.term, df, row_number() OVER (PARTITION BY query_id ORDER BY df ASC NULLS LAST, q2.term) AS r FROM q2 LEFT JOIN f ON q2.term = f.term) WHERE r <= 25),
