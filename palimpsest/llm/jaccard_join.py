@@ -3,20 +3,27 @@
 A document's set holds its distinct five-word shingles.  Sets that are equal form
 one class, which takes part once.  For two classes of sizes a <= b with Jaccard
 similarity of at least 3/4 the symmetric difference has at most (a + b) / 7
-features and b is at most 4a / 3.  Sizes fall into bands; a band's instance cuts
-the feature domain into n parts, and a class enumerates the subsets of parts that
-it may have to agree on with a partner.  With n parts of which more than
-(a + b) / 7 are not empty in a class, one non-empty part must hold the same
-features in both, so single parts are the subsets and a part's features, hashed
-together, are a signature.  A class signs in the instance of its own band and, if
-a partner can be in the band below, in that one too.
+features and b is at most 4a / 3.  Sizes fall into bands.  A band's instance cuts
+the feature domain into n parts on a first level and each part into SUBPARTS on a
+second.  All subsets of a part that leave one subpart out are enumerated; what a
+class holds in such a subset, hashed together, is a signature.  A class signs in the
+instance of its own band and, if a partner can be in the band below, in that one too.
+
+Two classes fail to share a signature of a part only if the part has two differing
+features at least, or one if all that a class holds of it is in one subpart (then the
+subset that leaves this one out is empty and not signed), or none if the class holds
+nothing of it.  So a class whose parts bear, by this count, more differences than a
+partner may have shares a signature with every partner.  The few classes that do not
+sign once more with all their features, and if these are still too few, their empty
+subsets as well; two such classes then share a signature in one of all n parts, as
+2n is more than they may differ in.
 
 Shingles that very many documents hold would give groups of unrelated classes, so
-they are left out of the parts first; that never adds to a difference, and the
-argument above holds for every class with enough non-empty parts left.  A class
-without signs once more with all its features, and if parts are still empty too
-often, its empty parts as well; two such classes then agree on one of all n parts.
-Which shingles are left out (``MOST_COMMON`` at most) changes speed, not results.
+they are left out of the parts first; that never adds to a difference, and the count
+above is made of what is left.  A shingle counts as such if at least COMMON_LEAST
+documents and one in COMMON_SHARE hold it, so there are never more than COMMON_SHARE
+times the shingles of a mean document, however large the corpus.  Which shingles are
+left out changes speed, not results.
 
 Signatures meet by a shuffle.  In each group of classes with one signature the
 smallest is paired with the others, the pairs are compared, and links found are
@@ -51,10 +58,13 @@ TOP, BOTTOM = 75, 100  # two sets link when BOTTOM * intersection >= TOP * union
 UPPER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 EMPTY = np.uint64(0x5851F42D4C957F2D)
-CHUNK_FEATURES = 1 << 20
+CHUNK_FEATURES = 1 << 19
 BLOCK = 1024
 NEAREST = 4
-COMMON_SHARE, MOST_COMMON = 5_000, 200_000  # a shingle is common if one document in COMMON_SHARE holds it
+SUBPARTS = 3
+COMMON_LEAST, COMMON_SHARE = 1_000, 2_500
+CENTRE = 1_000  # pairs that share one copy of their first document's text
+SALTS = 16
 
 
 class WordHash(dict):
@@ -122,38 +132,50 @@ def may_link(a: int, sa: bytes, b: int, sb: bytes) -> bool:
 
 
 def possible_pairs(size: np.ndarray, sketches: list[bytes], part: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (i in left, j in right) of pairs of different parts that may link, each unordered pair at most once, and how far apart they are at least."""
-    level = np.array([len(x) for x in sketches])
-    words: dict[int, np.ndarray] = {}
-    for q in np.unique(level):  # the rows of level q and those of twice that, folded
-        m = np.zeros((len(size), q // 8), np.uint64)
-        for k in np.flatnonzero(level == q):
-            m[k] = np.frombuffer(sketches[k], np.uint64)
-        for k in np.flatnonzero(level == 2 * q):
-            x = np.frombuffer(sketches[k], np.uint64)
-            m[k] = x[: q // 8] ^ x[q // 8 :]
-        words[q] = m
+    """Places (i in left, j in right) of pairs of different parts that may link, each unordered pair at most once, and how far apart they are at least.
+
+    Sketches of one length are rows of a matrix in the order of sizes; partners of a set are a
+    stretch of it, or of the next longer ones, folded, or of the next shorter ones.
+    """
+    def native(k: int) -> np.ndarray:
+        return np.frombuffer(sketches[k], np.uint64)
+
+    def folded(m: np.ndarray) -> np.ndarray:
+        half = m.shape[-1] // 2
+        return m[..., :half] ^ m[..., half:]
+
     inside = len(left) == len(right) and (left == right).all()
     right = right[np.argsort(size[right], kind="stable")]
-    sizes = size[right]
-    out_i, out_j, out_d = [], [], []
+    level = np.array([len(sketches[k]) for k in right], np.int64)
+    rows = {}
+    for q in np.unique(level):
+        at = right[level == q]
+        m = np.stack([native(k) for k in at])
+        rows[int(q)] = (at, size[at], part[at], m, folded(m) if q > 8 else None)
+    none = np.empty(0, np.int64)
+    out_i, out_j, out_d = [none], [none], [none.astype(float)]
     for i in left:
-        # Partners at least as large (in one block, ties by place); smaller ones find i from their side, or below.
-        for lo, hi, larger in ((size[i], size[i] * BOTTOM // TOP, True), (-(-size[i] * TOP // BOTTOM), size[i] - 1, False)):
-            if inside and not larger:
+        n, mine = int(size[i]), native(i)
+        # In one block only partners at least as large, ties by place; smaller ones find i from their side.
+        least, most = n if inside else -(-n * TOP // BOTTOM), n * BOTTOM // TOP
+        for q in (len(sketches[i]) // 2, len(sketches[i]), len(sketches[i]) * 2):
+            if q not in rows:
                 continue
-            j = right[np.searchsorted(sizes, lo) : np.searchsorted(sizes, hi, "right")]
-            j = j[(part[j] != part[i]) & ((size[j] != size[i]) | (j > i) if inside else True)]
-            for q in np.unique(level[j]) if len(j) else ():
-                k = j[level[j] == q]
-                m = words[min(q, level[i])]
-                far = np.bitwise_count(m[k] ^ m[i]).sum(1).astype(np.int64) / (size[i] + size[k])
-                near = 7 * far <= 1 + 1e-9
-                out_i.append(np.full(near.sum(), i))
-                out_j.append(k[near])
-                out_d.append(far[near])
-    none = np.empty(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_d)) if out_i else (none, none, none)
+            at, sizes, parts, m, half = rows[q]
+            a, b = np.searchsorted(sizes, least), np.searchsorted(sizes, most, "right")
+            if a >= b:
+                continue
+            x = (m[a:b] if q <= len(sketches[i]) else half[a:b]) ^ (mine if q >= len(sketches[i]) else folded(mine))
+            apart = np.bitwise_count(x).sum(1, dtype=np.int64)
+            near = (7 * apart <= n + sizes[a:b]) & (parts[a:b] != part[i])
+            if inside:
+                near &= (sizes[a:b] != n) | (at[a:b] > i)
+            k = np.flatnonzero(near)
+            if len(k):
+                out_i.append(np.full(len(k), i))
+                out_j.append(at[a:b][k])
+                out_d.append(apart[k] / (n + sizes[a:b][k]))
+    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_d)
 
 
 def nearest_of_parts(part: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +200,9 @@ def band(size: int) -> int:
 
 
 def parts_of(j: int) -> int:
-    """Parts in the instance of band j: enough for its largest sets, with room for chance."""
+    """First-level parts in the instance of band j: half the most that its sets may differ in, with room for chance."""
     largest = (2 << j) - 1
-    return int(np.ceil(0.36 * largest + 0.9 * np.sqrt(largest)))
+    return int(np.ceil(0.167 * largest + 0.3 * np.sqrt(largest)))
 
 
 def roles(size: int) -> list[tuple[int, int]]:
@@ -208,31 +230,50 @@ def signatures(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray,
 
 
 def _signed(jobs: list[tuple[np.ndarray, int, int, int]], salt: np.uint64, with_empty: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of jobs (features, set, band, most differing), and the jobs with too few non-empty parts."""
+    """Signatures of jobs (features, set, band, most differing), and the jobs whose parts bear too few differences."""
     if not jobs:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     most = np.array([m for *_, m in jobs])
     number, bands = np.array([k for _, k, _, _ in jobs]), np.array([j for _, _, j, _ in jobs], np.uint64)
     sizes = np.array([len(f) for f, *_ in jobs])
+    n_parts = np.array([parts_of(j) for j in range(int(bands.max()) + 1)], np.uint64)[bands.astype(np.int64)]
     features = np.concatenate([f for f, *_ in jobs])
-    if not len(features):
-        filled = np.zeros(len(jobs), np.int64)
-        owner, place, content = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    else:
-        job = np.repeat(np.arange(len(jobs)), sizes)
-        n_parts = np.array([parts_of(int(j)) for j in bands], np.uint64)
-        part = ((features >> np.uint64(32)) * n_parts[job]) >> np.uint64(32)  # does not fall within a sorted set
-        key = (job.astype(np.uint64) << np.uint64(32)) | part
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        content = np.add.reduceat(mix(features + M1), first)
-        owner, place = job[first], part[first]
-        filled = np.bincount(owner, minlength=len(jobs))
-    out, who = [mix(content ^ mix((bands[owner] << np.uint64(40)) + place + salt))], [number[owner]]
-    short = np.flatnonzero(filled <= most)
+    job = np.repeat(np.arange(len(jobs), dtype=np.int64), sizes)
+    part = ((features >> np.uint64(32)) * n_parts[job]) >> np.uint64(32)  # does not fall within a sorted set
+    key = (job.astype(np.uint64) << np.uint64(32)) | part
+    fresh = np.empty(len(key), bool)
+    fresh[:1] = True
+    np.not_equal(key[1:], key[:-1], out=fresh[1:])
+    first, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    owner, place = job[first], part[first]
+    # Contents of the subparts: sums of mixed features, and how many there are.
+    sub = (((features & np.uint64(0xFFFFFFFF)) * np.uint64(SUBPARTS)) >> np.uint64(32)).astype(np.int64)
+    cell = group * SUBPARTS + sub
+    held = np.bincount(cell, minlength=len(first) * SUBPARTS).reshape(-1, SUBPARTS)
+    content = np.zeros((len(first), SUBPARTS), np.uint64)
+    mixed = mix(features + M1)
+    for q in range(SUBPARTS):
+        here = np.flatnonzero(sub == q)
+        if len(here):
+            g = group[here]
+            start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            content[g[start], q] = np.add.reduceat(mixed[here], start)
+    total, n = content.sum(1, dtype=np.uint64), held.sum(1)
+    borne = np.where((n[:, None] > held).all(1), 2, 1)
+    short = np.flatnonzero(np.bincount(owner, borne, len(jobs)) <= most)
+    where = (bands[owner] << np.uint64(40)) + place * np.uint64(SUBPARTS) + salt
+    out, who = [], []
+    for q in range(SUBPARTS):
+        full = n > held[:, q]
+        out.append(mix((total[full] - content[full, q]) ^ mix(where[full] + np.uint64(q))))
+        who.append(number[owner[full]])
     for i in short if with_empty else ():
-        empty = np.setdiff1d(np.arange(parts_of(int(bands[i])), dtype=np.uint64), place[owner == i])
-        out.append(mix(EMPTY ^ mix((bands[i] << np.uint64(40)) + empty + salt)))
-        who.append(np.full(len(empty), number[i]))
+        mine = owner == i
+        empty = np.ones((int(n_parts[i]), SUBPARTS), bool)
+        empty[place[mine].astype(np.int64)] = n[mine, None] == held[mine]
+        at = np.flatnonzero(empty.ravel()).astype(np.uint64)
+        out.append(mix(EMPTY ^ mix((bands[i] << np.uint64(40)) + at + salt)))
+        who.append(np.full(len(at), number[i]))
     return np.concatenate(out), np.concatenate(who), short
 
 
@@ -273,10 +314,10 @@ def frequent_features(sets: list[np.ndarray]) -> list[dict]:
 
 
 def common_features(owned: DataFrame) -> np.ndarray:
-    """The most common features, MOST_COMMON at most, sorted."""
-    total = owned.count()
+    """The features that very many documents hold, sorted; COMMON_SHARE times the mean size of a set at most."""
+    least = max(COMMON_LEAST, owned.count() / COMMON_SHARE)
     rows = (owned.where("often IS NOT NULL").select(F.explode("often").alias("o")).groupBy("o.f").agg(F.sum("o.n").alias("n"))
-            .where(F.col("n") >= max(10, total / COMMON_SHARE)).orderBy(F.desc("n"), "f").limit(MOST_COMMON).select("f").toPandas())
+            .where(F.col("n") >= least).select("f").toPandas())
     return np.sort(rows["f"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -363,7 +404,15 @@ def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b", "ra", "rb"]).take(pa.array(keep, pa.int64()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def candidate_texts(found: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (_id, _text) of the documents that stand for a candidate class, written once for all comparisons."""
+    classes = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    ids = written(reps.join(classes, "class", "left_semi").select(F.col("rep").alias("_need")), "candidate-ids")
+    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    return written(texts.join(ids, F.col("_id") == F.col("_need"), "left_semi"), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b, ra, rb), classes with the id of a document of each, those that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,9 +438,19 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataF
                     keep.append(i)
             yield batch.select(["ra", "rb"]).take(pa.array(keep, pa.int64()))
 
-    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    right = pairs.join(texts.withColumnRenamed("_text", "tb"), F.col("rb") == F.col("_id")).drop("_id")
-    both = right.join(texts.withColumnRenamed("_text", "ta"), F.col("ra") == F.col("_id")).select("a", "b", "ra", "rb", "ta", "tb")
+    ids = written(pairs.select(F.explode(F.array("ra", "rb")).alias("_need")).distinct(), "compared-ids")
+    texts = written(texts.join(ids, F.col("_id") == F.col("_need"), "left_semi"), "compared-texts")
+    # A document with very many pairs gets a copy of its text for every CENTRE of them.
+    blocks = pairs.groupBy(F.col("ra").alias("_ra")).agg(F.ceil(F.count(F.lit(1)) / CENTRE).cast("int").alias("_n")).where("_n > 1")
+    blocks = written(blocks, "centres")
+    salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = pairs.withColumn("_s", F.pmod("rb", F.lit(SALTS)).cast("int"))
+    dealt = dealt.join(salted, (F.col("ra") == F.col("_ra")) & (F.col("_s") == F.col("_salt")), "left")
+    dealt = dealt.select("a", "b", "ra", "rb", F.pmod(F.xxhash64("rb"), F.coalesce("_n", F.lit(1))).cast("int").alias("_blk"))
+    dealt = written(dealt, "dealt-pairs")  # as a file of known size it may be broadcast, and texts stay where they are
+    left = texts.join(blocks, F.col("_id") == F.col("_ra"), "left").select("_id", F.col("_text").alias("ta"), F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_b"))
+    right = dealt.join(texts.withColumnRenamed("_text", "tb"), F.col("rb") == F.col("_id")).drop("_id")
+    both = right.join(left, (F.col("ra") == F.col("_id")) & (F.col("_blk") == F.col("_b"))).select("a", "b", "ra", "rb", "ta", "tb")
     return both.mapInArrow(run, "ra long, rb long")
 
 
@@ -403,11 +462,12 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = written(candidate_pairs(class_signatures(docs, doc_id, text, common_features(owned))), "candidates")
     ra = reps.select(F.col("class").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     rb = reps.select(F.col("class").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    stars = found.join(ra, "a").join(rb, "b").where(SIZES).mapInArrow(possible, "a long, b long, ra long, rb long")
-    links = written(verified(stars, docs, doc_id, text), "links")
+    stars = written(found.join(ra, "a").join(rb, "b").where(SIZES).mapInArrow(possible, "a long, b long, ra long, rb long"), "stars")
+    texts = candidate_texts(found, reps, docs, doc_id, text)
+    links = written(verified(stars, texts), "links")
     parts = written(components(links, "ra", "rb"), "parts")
     for nearest in (NEAREST, None):
-        more = written(verified(_across(found, parts, reps, nearest), docs, doc_id, text), "links")
+        more = written(verified(written(_across(found, parts, reps, nearest), "across"), texts), "links")
         if not more.isEmpty():
             held = parts.select(F.col("node").alias("ra"), F.col("component").alias("rb"))
             parts = written(components(held.unionByName(more), "ra", "rb"), "parts")
@@ -417,26 +477,43 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def _across(found: DataFrame, parts: DataFrame, reps: DataFrame, nearest: int | None, block: int = BLOCK) -> DataFrame:
-    """Pairs that may link, of partners of one class that links so far do not connect; with ``nearest`` only that many of two parts."""
+    """Pairs that may link, of partners of one class that links so far do not connect; with ``nearest`` only that many of two parts.
+
+    Of the partners of a class, a chain, a part with more than ``block`` members gets blocks of its
+    own, which are not compared with each other; smaller parts share blocks.
+    """
     around = found.select(F.col("a").alias("chain"), F.col("b").alias("class")).unionByName(found.select(F.col("a").alias("chain"), F.col("a").alias("class")).distinct())
     part = reps.join(parts, F.col("rep") == F.col("node"), "left").select("class", "rep", "n", "sketch", F.coalesce("component", "rep").alias("part"))
     members = around.join(part, "class").select("chain", "class", "rep", "n", "sketch", "part")
-    mixed = (members.groupBy("chain").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-             .select("chain", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
-    members = members.join(mixed, "chain").withColumn("blk", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    members = members.withColumn("oth", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.withColumn("lo", F.least("blk", "oth")).withColumn("hi", F.greatest("blk", "oth"))
+    count = members.groupBy("chain", "part").agg(F.count(F.lit(1)).alias("size"))
+    large = F.col("size") > block
+    chains = count.groupBy("chain").agg(
+        F.count(F.lit(1)).alias("n_parts"), F.ceil(F.sum(F.when(large, 0).otherwise(F.col("size"))) / block).cast("int").alias("pool"),
+        F.collect_list(F.when(large, F.struct(F.col("part").alias("p"), F.ceil(F.col("size") / block).cast("int").alias("blocks")))).alias("large")).where("n_parts > 1")
+    chains = chains.select(F.col("chain").alias("_chain"), "pool", "large", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    members = members.withColumn("_s", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
+    members = members.join(chains, (F.col("chain") == F.col("_chain")) & (F.col("_s") == F.col("_salt")))
+    own = F.filter("large", lambda x: x.p == F.col("part"))
+    blk = lambda n: F.pmod(F.xxhash64("class", F.lit(1)), n).cast("int")
+    block_of = lambda p, k: F.struct(p.alias("p"), k.alias("k"))
+    pool = F.lit(None).cast("long")
+    members = members.withColumn("me", F.when(F.size(own) > 0, block_of(F.col("part"), blk(own[0].blocks))).otherwise(block_of(pool, blk(F.col("pool")))))
+    pooled = F.transform(F.expr("sequence(0, greatest(pool, 1) - 1)"), lambda k: block_of(pool, k))
+    others = F.flatten(F.transform(F.filter("large", lambda x: x.p != F.col("part")), lambda x: F.transform(F.sequence(F.lit(0), x.blocks - 1), lambda k: block_of(x.p, k))))
+    members = members.withColumn("other", F.explode(F.concat(F.when(F.col("pool") > 0, pooled).otherwise(F.filter(pooled, lambda x: F.lit(False))), others)))
+    members = members.withColumn("lo", F.least("me", "other")).withColumn("hi", F.greatest("me", "other"))
+    members = members.select("chain", F.col("lo.p").alias("lp"), F.col("lo.k").alias("lk"), F.col("hi.p").alias("hp"), F.col("hi.k").alias("hk"),
+                             (F.col("me") == F.col("lo")).alias("low"), (F.col("me") == F.col("hi")).alias("high"), "class", "rep", "n", "sketch", "part")
 
     def pairs(key, t):
-        lo, hi = key[1].as_py(), key[2].as_py()
-        blk, size, part = (t[c].to_numpy() for c in ("blk", "n", "part"))
-        i, j, far = possible_pairs(size, t["sketch"].to_pylist(), part, np.flatnonzero(blk == lo), np.flatnonzero(blk == hi))
+        size, part = t["n"].to_numpy(), t["part"].to_numpy()
+        i, j, far = possible_pairs(size, t["sketch"].to_pylist(), part, np.flatnonzero(t["low"].to_numpy()), np.flatnonzero(t["high"].to_numpy()))
         if nearest:
             i, j = nearest_of_parts(part, i, j, far, nearest)
         cls, rep = t["class"].to_numpy(), t["rep"].to_numpy()
         return pa.table({"a": cls[i], "b": cls[j], "ra": rep[i], "rb": rep[j]})
 
-    return members.select("chain", "lo", "hi", "blk", "class", "rep", "n", "sketch", "part").groupBy("chain", "lo", "hi").applyInArrow(pairs, "a long, b long, ra long, rb long")
+    return members.groupBy("chain", "lp", "lk", "hp", "hk").applyInArrow(pairs, "a long, b long, ra long, rb long").distinct()
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
