@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, pivot_index, sentencepieces, suffix_dedup, surrogates, toxicity, zip_archives
+from . import chat_templates, decontaminate, jaccard_join, language_id, line_dedup, pivot_index, sentencepieces, suffix_dedup, surrogates, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -18,10 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_surrogates": surrogates.op8_surrogates,
     "op9_embedding_neardup": pivot_index.op9_embedding_neardup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op12_chat_format": chat_templates.op12_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op6_warc": zip_archives.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_chat_format": chat_templates.ORACLE,
 }
