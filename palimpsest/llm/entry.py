@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_templates, decontaminate, jaccard_join, language_id, line_dedup, pivot_index, sentencepieces, suffix_dedup, surrogates, toxicity, zip_archives
+from . import chat_templates, decontaminate, jaccard_join, language_id, line_dedup, pivot_index, ranked_search, sentencepieces, suffix_dedup, surrogates, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_neardup": pivot_index.op9_embedding_neardup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op12_chat_format": chat_templates.op12_chat_format,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op12_chat_format": chat_templates.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
