@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, text
 from palimpsest.operators import fusion, lexical, similarity, vector
-from palimpsest.sources.tables import table
+from palimpsest.sources.tables import files_of, table
 
 TOKENS = r"list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}/.\\\]^_]+', ' ', 'g'), ' '), lambda t: length(t) >= 2)"
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
@@ -35,19 +35,23 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-INDEXES: dict[tuple[str, str], lexical.Index] = {}
+INDEXES: dict[tuple, lexical.Index] = {}
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    """The index of all documents of a directory, written by the first query of an application that needs it."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in INDEXES:
-        INDEXES[key] = lexical.build_index(table(spark, sf_dir, "documents"))
-    return INDEXES[key]
+    """The index of all documents of a directory, written by the first query of an application that needs it.
+
+    It is written anew when the files of ``documents`` change or its own are gone.
+    """
+    key = spark.sparkContext.applicationId, files_of(spark, f"{sf_dir}/documents.parquet")
+    index = INDEXES.get(key)
+    if index is None or not all(files_of(spark, df.inputFiles()[0]) for df in (index.postings, index.frequency)):
+        index = INDEXES[key] = lexical.build_index(table(spark, sf_dir, "documents"))
+    return index
 
 
 def doc_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_index(spark, sf_dir).frequency
+    return document_index(spark, sf_dir).frequency.select("term", "df")
 
 
 def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +67,18 @@ def bm25_prefix_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(document_index(spark, sf_dir), asked(spark, sf_dir), 10, prefix=True)
 
 
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search after batches: each language in its turn, all Spanish documents under another text first and French ones removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    index = lexical.MutableIndex(spark, fanout=3)
+    index.add(docs.where("lang = 'es'").withColumn("text", F.col("lang")))
+    for lang in ("en", "fr", "de", "es"):
+        index.add(docs.where(F.col("lang") == lang))
+    index.add(docs.where("lang NOT IN ('en', 'fr', 'de', 'es')"))
+    index.remove(docs.where("lang = 'fr'"))
+    return lexical.search(lexical.MutableIndex.restore(spark, index.path).index(), asked(spark, sf_dir), 10)
+
+
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("body"))
 
@@ -190,7 +206,7 @@ def different_sql(a: str, b: str) -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    doc_term_stats, corpus_size, bm25_topk, bm25_prefix_max, bm25_field_weighted, bm25_stemmed, vector_topk, vector_parent_collapse, vector_batch_topk,
+    doc_term_stats, corpus_size, index_changes, bm25_topk, bm25_prefix_max, bm25_field_weighted, bm25_stemmed, vector_topk, vector_parent_collapse, vector_batch_topk,
     dimension_audit, vector_fill_diff, rrf_fusion, session_diversified, relevance_floor, recency_decay, near_twin_cap, memory_shadow,
     jaccard_contradictions, near_duplicate_supersede, expanded_search)}
 
@@ -198,6 +214,7 @@ ORACLES = {
     "doc_term_stats": f"{BASE} SELECT term, df FROM f",
     "corpus_size": f"{BASE} SELECT n, round(average, 6) AS average FROM s",
     "bm25_topk": f"{BASE} {top_sql('e', 10)}",
+    "index_changes": BASE.replace("FROM documents)", "FROM documents WHERE coalesce(lang, '') <> 'fr')") + top_sql("e", 10),
     "bm25_prefix_max": f"""{BASE},
 x AS (SELECT q.query_id, q.term AS query_term, f.term, f.df FROM q JOIN f ON starts_with(f.term, q.term) AND length(f.term) > length(q.term)),
 w AS (SELECT query_id, doc_id, query_term, max(0.5 * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))) AS score
