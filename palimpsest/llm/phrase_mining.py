@@ -30,7 +30,9 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,50 +40,43 @@ from .common import shuffle_width, table, written
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 SEEN_AS = bytes(10 if c in BREAKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
-PIECE = re.compile(rb"[^\n]+")
-BLANK = re.compile(rb"[ \t]")
-LONG_PIECE = 1 << 20
-MOST_COUNTS = 400_000  # counts that a task holds before it hands them on
-MOST_KNOWN = 300_000  # answers of a bitmap that a task remembers
+BREAK = b"\xff"  # stands between pieces; no UTF-8 text holds it
+BLANK = re.compile(rb"[ \t\n]")
+SEGMENT = 1 << 20  # bytes of a text that are cut into words at a time
+MOST_WORDS = 1 << 22  # words that a task gathers before it counts
+MOST_KNOWN = 500_000  # words that a task remembers
 BITS = 26  # a bitmap has 2 ** BITS bits, 8 MB
 WALK = 3  # words of the prefixes that tasks share out
+SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 
 
-def runs(text: str | None, longest: int) -> Iterator[tuple[list[bytes], int]]:
-    """(words, starts) of the pieces of a text: phrases open at the first ``starts`` words; long pieces come in parts that overlap."""
-    for m in PIECE.finditer((text or "").encode().translate(SEEN_AS)):
-        piece = m[0]
-        if len(piece) <= LONG_PIECE:
-            words = piece.split()
-            if words:
-                yield words, len(words)
-            continue
-        held, at = [], 0
-        while at < len(piece):
-            blank = BLANK.search(piece, at + LONG_PIECE) if at + LONG_PIECE < len(piece) else None
-            end = blank.start() if blank else len(piece)
-            words = held + piece[at:end].split()
-            starts = max(0, len(words) - longest + 1) if blank else len(words)
-            if words:
-                yield words, starts
-            held, at = words[starts:], end
-
-
-class Bitmap:
-    """Bits of the checksums of frequent phrases, with the answers for phrases seen so far."""
-
-    def __init__(self, bits: bytes):
-        self.bits, self.known = bits, {}
-
-    def __call__(self, lang: str, phrase: bytes) -> bool:
-        known = self.known.get(lang)
-        if known is None or len(known) > MOST_KNOWN:
-            known = self.known[lang] = {}
-        flag = known.get(phrase)
-        if flag is None:
-            at = crc32(phrase, crc32(lang.encode())) & ((1 << BITS) - 1)
-            flag = known[phrase] = bool(self.bits[at >> 3] >> (at & 7) & 1)
-        return flag
+def segments(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in order, with ``BREAK`` between pieces, in lists of bounded size."""
+    data, at = (text or "").encode().translate(SEEN_AS), 0
+    while at < len(data):
+        blank = BLANK.search(data, at + SEGMENT) if at + SEGMENT < len(data) else None
+        end = blank.start() if blank else len(data)
+        yield data[at:end].replace(b"\n", b" \xff ").split()
+        at = end
+
+
+def set_in(bits: bytes, lang: str, phrase: bytes) -> bool:
+    at = crc32(phrase, crc32(lang.encode())) & ((1 << BITS) - 1)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+class Places(dict):
+    """Numbers of the words of a language that may be frequent, in order of appearance; -1 for others and for breaks."""
+
+    def __init__(self, lang: str, bits: bytes):
+        super().__init__({BREAK: -1})
+        self.lang, self.bits, self.names = lang, bits, []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self.names) if set_in(self.bits, self.lang, word) else -1
+        if place >= 0:
+            self.names.append(word)
+        return place
 
 
 def bitmap_of(phrases: DataFrame) -> bytes:
@@ -95,65 +90,132 @@ def bitmap_of(phrases: DataFrame) -> bytes:
     return bytes(out)
 
 
-def tally_words(held: Counter, lang: str, words: list[bytes], starts: int) -> None:
-    held.update(words if starts == len(words) else words[:starts])
-    held[b""] += starts  # stands for all words of the language
+def rows_of(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(n), 50_000):
+        part = phrases.slice(at, 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part, pa.array(n[at:at + 50_000], pa.int64())], schema=SCHEMA)
 
 
-def pair_tally(word: Bitmap) -> Callable:
-    def tally(held: Counter, lang: str, words: list[bytes], starts: int) -> None:
-        before = None
-        for i, w in enumerate(words):
-            if i > starts:
-                break
-            if not word(lang, w):
-                before = None
-                continue
-            if before is not None:
-                held[before + b" " + w] += 1
-            before = w
+def joined(names: list[bytes], columns: list[np.ndarray], ending: bool = False) -> pa.Array:
+    """Phrases of the words with these numbers (-1: none), with a blank behind each if ``ending``."""
+    words = pa.array(names, pa.binary())
+    parts = [words.take(pa.array(c, pa.int64(), mask=c < 0)) for c in columns]
+    parts += [pa.array([b""] * len(columns[0]), pa.binary())] if ending else []
+    return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()), null_handling="skip")
 
-    return tally
 
+def counted_words(held: dict[str, Counter]) -> Callable:
+    """Counts words; an empty one stands for all words of the language."""
 
-def pointer_tally(word: Bitmap, pair: Bitmap, longest: int) -> Callable:
-    def tally(held: Counter, lang: str, words: list[bytes], starts: int) -> None:
-        begin = 0
-        good = [word(lang, w) for w in words]
-        for end in range(1, len(words) + 1):
-            if end < len(words) and good[end] and good[end - 1] and pair(lang, words[end - 1] + b" " + words[end]):
-                continue
-            for i in range(begin, min(end - WALK + 1, starts)):  # words begin..end-1 follow each other in frequent pairs
-                held[b" ".join(words[i:min(end, i + longest)]) + b" "] += 1
-            begin = end
+    def add(lang: str, text: str | None) -> int:
+        mine, before = held.setdefault(lang, Counter()), 0
+        for words in segments(text):
+            mine.update(words)
+            before += len(words)
+        breaks = mine.pop(BREAK, 0)
+        mine[b""] += before - breaks
+        return len(mine)
 
-    return tally
+    return add
 
 
-def tallied(docs: DataFrame, longest: int, tally_of: Callable[[], Callable]) -> DataFrame:
-    """(lang, phrase, n): what a tally counts in all texts, summed; ``tally_of`` is called once in every task."""
-    schema, most = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())]), MOST_COUNTS
+def word_counts(docs: DataFrame) -> DataFrame:
+    most = MOST_KNOWN
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, held = tally_of(), {}
+        held: dict[str, Counter] = {}
+        add = counted_words(held)
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for lang, found in held.items():
+                yield from rows_of(lang, pa.array(list(found), pa.binary()), np.array(list(found.values()), np.int64))
+            held.clear()
 
-        def handed_on(lang: str) -> Iterator[pa.RecordBatch]:
-            found = held.pop(lang)
-            keys, values = list(found), list(found.values())
-            for at in range(0, len(keys), 50_000):
-                part = keys[at:at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.binary()), pa.array(values[at:at + 50_000], pa.int64())], schema=schema)
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                if add(lang.as_py(), text.as_py()) > most:
+                    yield from handed_on()
+        yield from handed_on()
+
+    rows = docs.mapInArrow(count, "lang string, phrase binary, n long")
+    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def pairs_in(lang: str, names: list[bytes], at: np.ndarray, starts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs that open at the first ``starts`` places of a row of words."""
+    a, b = at[:-1][:starts].astype(np.int64), at[1:][:starts].astype(np.int64)
+    good = (a >= 0) & (b >= 0)
+    key, n = np.unique(a[good] * len(names) + b[good], return_counts=True)
+    if len(key):
+        yield from rows_of(lang, joined(names, [key // len(names), key % len(names)]), n)
+
+
+def pointers_in(lang: str, names: list[bytes], at: np.ndarray, starts: int, bits: bytes, longest: int) -> Iterator[pa.RecordBatch]:
+    """Counts of pointers that open at the first ``starts`` places: words as far as each pair of them may be frequent."""
+    a, b = at[:-1].astype(np.int64), at[1:].astype(np.int64)
+    good = np.flatnonzero((a >= 0) & (b >= 0))
+    key, place = np.unique(a[good] * len(names) + b[good], return_inverse=True)
+    if not len(key):
+        return
+    flags = np.array([set_in(bits, lang, p) for p in joined(names, [key // len(names), key % len(names)]).to_pylist()])
+    follows = np.zeros(len(at) + longest, bool)  # word i is followed by i + 1 in a frequent pair
+    follows[good] = flags[place]
+    open_at = np.flatnonzero(follows[:-1] & follows[1:])
+    open_at = open_at[open_at < starts]
+    if not len(open_at):
+        return
+    columns, alive, rank = [at[open_at].astype(np.int64)], np.ones(len(open_at), bool), at[open_at].astype(np.int64)
+    for d in range(1, longest):
+        alive = alive & follows[open_at + d - 1]
+        word = np.where(alive, at[np.minimum(open_at + d, len(at) - 1)], -1).astype(np.int64)
+        columns.append(word)
+        _, rank = np.unique(rank * (len(names) + 1) + word + 1, return_inverse=True)  # equal so far, equal rank
+    _, first, n = np.unique(rank, return_index=True, return_counts=True)
+    yield from rows_of(lang, joined(names, [c[first] for c in columns], ending=True), n)
+
+
+def tallied(docs: DataFrame, longest: int, word_bits, counts: Callable) -> DataFrame:
+    """(lang, phrase, n): ``counts(lang, names, words, starts)`` over all texts, summed.
+
+    A task gathers the numbers of the words of each language; of a text that is longer than
+    what it gathers, the last words are carried over, as phrases open in them.
+    """
+    most, most_known, carry = MOST_WORDS, MOST_KNOWN, longest - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, Places] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def handed_on(going: str | None) -> Iterator[pa.RecordBatch]:
+            for lang in list(held):
+                at = np.concatenate(held.pop(lang))
+                starts = len(at) - carry if lang == going else len(at)
+                if starts > 0:
+                    yield from counts(lang, places[lang].names, at, starts)
+                if lang == going:
+                    held[lang] = [at[max(0, starts):]]
+            if sum(map(len, places.values())) > most_known:
+                going_words = {lang: [places[lang].names[i] if i >= 0 else BREAK for i in held[lang][0]] for lang in held}
+                places.clear()
+                for lang, words in going_words.items():
+                    places[lang] = Places(lang, word_bits.value)
+                    held[lang] = [np.array([places[lang][w] for w in words], np.int32)]
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 lang = lang.as_py()
-                for words, starts in runs(text.as_py(), longest):
-                    mine = held.setdefault(lang, Counter())
-                    tally(mine, lang, words, starts)
-                    if len(mine) > most:
+                for words in segments(text.as_py()):
+                    if lang not in places:
+                        places[lang] = Places(lang, word_bits.value)
+                    held.setdefault(lang, []).append(np.fromiter(map(places[lang].__getitem__, words), np.int32, len(words)))
+                    size += len(words)
+                    if size > most:
                         yield from handed_on(lang)
-        for lang in list(held):
-            yield from handed_on(lang)
+                        size = 0
+                if lang in held:
+                    held[lang].append(np.array([-1], np.int32))
+        yield from handed_on(None)
 
     rows = docs.mapInArrow(count, "lang string, phrase binary, n long")
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -189,7 +251,6 @@ def grown_phrases(pointers: DataFrame, min_count: int) -> DataFrame:
     """(lang, phrase, n) of frequent phrases of ``WALK`` words and more, from (lang, phrase, n) of pointers."""
     prefix = F.slice(F.split(F.col("phrase").cast("string"), " "), 1, WALK)
     dealt = pointers.repartition(shuffle_width(pointers.sparkSession), F.col("lang"), prefix).sortWithinPartitions("lang", "phrase")
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
@@ -197,10 +258,10 @@ def grown_phrases(pointers: DataFrame, min_count: int) -> DataFrame:
         for r in grown(rows, min_count):
             held.append(r)
             if len(held) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
     return dealt.mapInArrow(walk, "lang string, phrase binary, n long")
 
@@ -209,13 +270,14 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, la
     """(lang, phrase, n): all phrases of 1 to ``longest`` words with their occurrences, and the number of all words under an empty phrase."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    words = written(tallied(docs, longest, lambda: tally_words).where((F.col("n") >= min_count) | (F.col("phrase") == F.lit(b""))), "words")
+    words = written(word_counts(docs).where((F.col("n") >= min_count) | (F.col("phrase") == F.lit(b""))), "words")
     word = spark.sparkContext.broadcast(bitmap_of(words))
-    pairs = written(tallied(docs, longest, lambda: pair_tally(Bitmap(word.value))).where(F.col("n") >= min_count), "word-pairs")
+    pairs = written(tallied(docs, longest, word, pairs_in).where(F.col("n") >= min_count), "word-pairs")
     out = words.unionByName(pairs)
     if longest >= WALK:
         pair = spark.sparkContext.broadcast(bitmap_of(pairs))
-        out = out.unionByName(grown_phrases(tallied(docs, longest, lambda: pointer_tally(Bitmap(word.value), Bitmap(pair.value), longest)), min_count))
+        pointers = tallied(docs, longest, word, lambda lang, names, at, starts: pointers_in(lang, names, at, starts, pair.value, longest))
+        out = out.unionByName(grown_phrases(pointers, min_count))
     return written(out.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
 
 

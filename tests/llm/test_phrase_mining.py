@@ -54,31 +54,22 @@ def test_against_brute_force(spark, seed, more):
     assert results(spark, rows, 6, **more) == want and len(want) > 10
 
 
-def test_bounds_of_tasks_change_nothing(monkeypatch):
-    """Small bounds on long pieces, counts and memories give the counts of large ones (called in the driver: bounds are read in the tasks)."""
-    rows = prose(6)
-
-    def counts(tally):
-        held = Counter()
-        for lang, text in rows:
-            for words, starts in pm.runs(text, 5):
-                tally(held, lang or "und", words, starts)
-        return held
-
-    every = pm.Bitmap(bytes([255]) * (1 << (pm.BITS - 3)))
-    tallies = (pm.tally_words, pm.pair_tally(every), pm.pointer_tally(every, every, 5))
-    whole = [counts(t) for t in tallies]
-    monkeypatch.setattr(pm, "LONG_PIECE", 7)
-    monkeypatch.setattr(pm, "MOST_KNOWN", 3)
-    assert [counts(t) for t in tallies] == whole
-
-
-def test_more_counts_than_a_task_holds(spark, monkeypatch):
-    rows = prose(7)
-    monkeypatch.setattr(pm, "MOST_COUNTS", 20)
+@pytest.mark.parametrize("bound", ["MOST_WORDS", "MOST_KNOWN"])
+def test_bounds_of_tasks_change_nothing(spark, monkeypatch, bound):
+    """Words that are gathered and remembered in small lots give the same counts (the bounds are read where the job is made)."""
+    rows = prose(6) + [("en", " ".join(t for _, t in prose(8)))]
+    monkeypatch.setattr(pm, bound, 40)
     assert results(spark, rows, 6) == brute(rows, 6)
 
 
+def test_segments(monkeypatch):
+    monkeypatch.setattr(pm, "SEGMENT", 40)
+    text = "".join(random.Random(9).choices("ab É,.\n\t\x0b", k=3000))
+    whole = [w for words in pm.segments(text) for w in words]
+    assert sum(1 for _ in pm.segments(text)) > 50
+    assert [p.split() for p in b" ".join(whole).split(pm.BREAK)] == [p.split() for p in text.encode().translate(pm.SEEN_AS).split(b"\n")]
+
+
 def test_walk_keeps_prefixes_apart():
     """Words that sort before the blank must not part the pointers of a prefix."""
     pointers = Counter({b"a b c ": 2, b"a b\x01 c ": 3, b"a b c d ": 4, b"a b c\x01 d ": 5, b"a b cc ": 1})
