@@ -15,6 +15,28 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns]))
 
 
+def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component) of every node with an edge (src, dst): the smallest node that it can reach.
+
+    Each round, a node's neighbours all get its smallest one in its place, in both directions in turn, until
+    every component is a star.  Rounds are written to the shared folder; the driver sees counts and checksums.
+    """
+    down = lambda e: e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
+    links, before = written(down(edges.select("src", "dst")), "edges"), None
+    for _ in range(most_rounds):
+        least = both_ways(links).groupBy("src").agg(F.min("dst").alias("dst")).select("src", F.least("src", "dst").alias("least"))
+        wide = down(both_ways(links).join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")))
+        least = wide.groupBy("src").agg(F.min("dst").alias("least"))
+        close = wide.join(least, "src")
+        links = written(down(close.select(F.col("dst").alias("src"), F.col("least").alias("dst")).unionByName(least.withColumnRenamed("least", "dst"))), "edges")
+        now = links.agg(F.count(F.lit(1)), F.sum(F.hash("src", "dst").cast("decimal(38, 0)")), F.sum(F.xxhash64("src", "dst").cast("decimal(38, 0)"))).first()
+        if now == before:
+            stars = links.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+            return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+        before = now
+    raise RuntimeError("components did not settle")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
