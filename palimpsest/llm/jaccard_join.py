@@ -36,8 +36,10 @@ drop pairs that cannot link; what remains is counted exactly, on whole texts.  S
 every pair with a common signature is compared or already connected.
 
 Defined results: texts without words have no set and link with nothing; fewer
-than five words give one shingle; rows that repeat an id get the component of
-their own text; rows without an id never link and have no component.
+than five words give one shingle; components are made of texts, so rows that repeat an id
+get that of their own text, the smallest id of any row of it; rows without an id never link
+and have no component; an empty table gives an empty result; texts of any length are read
+whole; other columns are not read.
 """
 from __future__ import annotations
 
@@ -436,7 +438,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     sets.append(s)
                 if sets[0] is not None and sets[1] is not None and similar(*sets):
                     keep.append(i)
-            yield batch.select(["ra", "rb"]).take(pa.array(keep, pa.int64()))
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     ids = written(pairs.select(F.explode(F.array("ra", "rb")).alias("_need")).distinct(), "compared-ids")
     texts = written(texts.join(ids, F.col("_id") == F.col("_need"), "left_semi"), "compared-texts")
@@ -451,7 +453,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.join(blocks, F.col("_id") == F.col("_ra"), "left").select("_id", F.col("_text").alias("ta"), F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_b"))
     right = dealt.join(texts.withColumnRenamed("_text", "tb"), F.col("rb") == F.col("_id")).drop("_id")
     both = right.join(left, (F.col("ra") == F.col("_id")) & (F.col("_blk") == F.col("_b"))).select("a", "b", "ra", "rb", "ta", "tb")
-    return both.mapInArrow(run, "ra long, rb long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -465,13 +467,15 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     stars = written(found.join(ra, "a").join(rb, "b").where(SIZES).mapInArrow(possible, "a long, b long, ra long, rb long"), "stars")
     texts = candidate_texts(found, reps, docs, doc_id, text)
     links = written(verified(stars, texts), "links")
-    parts = written(components(links, "ra", "rb"), "parts")
+    parts = written(components(links), "parts")
     for nearest in (NEAREST, None):
         more = written(verified(written(_across(found, parts, reps, nearest), "across"), texts), "links")
         if not more.isEmpty():
-            held = parts.select(F.col("node").alias("ra"), F.col("component").alias("rb"))
-            parts = written(components(held.unionByName(more), "ra", "rb"), "parts")
-    label = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("_c"), F.coalesce("component", "rep").alias("_component"))
+            held = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            parts = written(components(held.unionByName(more)), "parts")
+    grouped = reps.join(parts, F.col("class") == F.col("node"), "left").select(F.col("class").alias("_c"), "rep", F.coalesce("component", "class").alias("_part"))
+    least = grouped.groupBy(F.col("_part").alias("_p")).agg(F.min("rep").alias("_component"))
+    label = grouped.join(least, F.col("_part") == F.col("_p")).select("_c", "_component")
     rows = owned.join(label, F.col("class") == F.col("_c"), "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
 
@@ -483,7 +487,7 @@ def _across(found: DataFrame, parts: DataFrame, reps: DataFrame, nearest: int |
     own, which are not compared with each other; smaller parts share blocks.
     """
     around = found.select(F.col("a").alias("chain"), F.col("b").alias("class")).unionByName(found.select(F.col("a").alias("chain"), F.col("a").alias("class")).distinct())
-    part = reps.join(parts, F.col("rep") == F.col("node"), "left").select("class", "rep", "n", "sketch", F.coalesce("component", "rep").alias("part"))
+    part = reps.join(parts, F.col("class") == F.col("node"), "left").select("class", "rep", "n", "sketch", F.coalesce("component", "class").alias("part"))
     members = around.join(part, "class").select("chain", "class", "rep", "n", "sketch", "part")
     count = members.groupBy("chain", "part").agg(F.count(F.lit(1)).alias("size"))
     large = F.col("size") > block

@@ -28,8 +28,9 @@ lexicographic: matches of one fixed length need equal prefixes side by side, not
 an order.  Fingerprints are 64 bits and compared within one task's share only.
 
 Defined results: null text is empty; texts shorter than LENGTH keep all bytes;
-rows without an id come last in the order; rows that repeat an id are ordered by
-a hash of their text, and rows equal in both count as one and get its result.
+rows without an id come last in the order, by a hash of their text; rows that repeat an
+id are ordered by a 64-bit hash of their text, and rows equal in both count as one and get
+its result; an empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, table, written
@@ -352,10 +353,28 @@ def window_matches(texts: DataFrame, doubtful: DataFrame) -> DataFrame:
     return pieces.repartition(shuffle_width(texts.sparkSession), "key").mapInArrow(match, "d long, th long, start long, n long")
 
 
+def keyed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(d, th, text, doc_id): ``d`` is the place of a row in the order, ``th`` tells apart different texts in one place.
+
+    Of an id that stands for several texts, ``th`` is the rank of a text's 64-bit hash.  Rows
+    without an id are spread over the last places by 39 bits of one hash, with 24 of another in ``th``.
+    """
+    mine = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    texts = mine.where("_id IS NOT NULL").select("_id", "_h").distinct()
+    several = texts.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id")
+    ranked = texts.join(several, "_id").withColumn("_rank", F.row_number().over(Window.partitionBy("_id").orderBy("_h")))
+    ranked = written(ranked.select(F.col("_id").alias("_i"), F.col("_h").alias("_t"), "_rank"), "repeated-ids")
+    rows = mine.join(ranked, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_t")), "left")
+    last = F.lit(LAST_ID) - F.xxhash64(F.lit(1), "text").bitwiseAND((1 << 39) - 1)
+    most = F.assert_true(F.coalesce("_rank", F.lit(0)) < 1 << 24, F.lit("an id stands for more than 16 million texts"))
+    th = F.when(F.col("_id").isNull(), F.col("_h").bitwiseAND(0xFFFFFF)).otherwise(F.coalesce("_rank", F.lit(0)).cast("long"))
+    return rows.where(most.isNull()).select(F.coalesce("_id", last).alias("d"), th.alias("th"), "text", "doc_id")
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, spans; with ``kept`` the remaining bytes."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"), (F.xxhash64(text).bitwiseAND(0xFFFFFF)).alias("th"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    rows = keyed_rows(docs, doc_id, text)
     bare = rows.select("d", "th", "text")
     found = written(first_matches(bare, hot_anchors(bare)), "suffix-matches")
     texts = rows.repartition(shuffle_width(spark), "d", "th")

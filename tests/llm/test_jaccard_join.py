@@ -94,3 +94,14 @@ def test_possible_pairs_miss_no_link():
         assert len(got) == len(set(got))
         want = links if left is right else {p for p in links if (p[0] + p[1]) % 2}
         assert want <= set(got)
+
+
+def test_repeated_ids_get_the_component_of_their_own_text(docs_of):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near_a, near_b = a + " more", "more " + b
+    for rows, want in (
+        ([(5, a), (5, b), (7, near_a), (3, b)], [(3, 3), (5, 3), (5, 5), (7, 5)]),
+        ([(5, a), (5, b), (3, near_a), (7, near_b)], [(3, 3), (5, 3), (5, 5), (7, 5)]),
+    ):
+        for order in (rows, rows[::-1]):
+            assert sorted((r.doc_id, r.component_id) for r in jj.similar_documents(docs_of(order)).collect()) == want

@@ -88,3 +88,18 @@ def test_levels_merge_geometrically():
     fp, _, doc, _ = levels.entries()
     assert len(fp) + gone == 2000 and len(np.unique(fp)) == len(fp)
     assert all(doc[fp == v][0] == 5000 - np.flatnonzero(values == v).max() for v in np.unique(values))
+
+
+def test_rows_of_one_id_or_none_are_told_apart(docs_of, spark):
+    """Rows whose hashes agree in their last 24 bits, without an id or with the same: each keeps its own spans."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(20_000).select(F.concat(F.sha2(F.col("id").cast("string"), 256), F.repeat(F.lit("q"), (150 * (F.col("id") % 2)).cast("int")), F.sha2(F.concat(F.lit("x"), "id"), 256)).alias("text"))
+    clash = texts.groupBy(F.xxhash64("text").bitwiseAND(0xFFFFFF).alias("th")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").collect()
+    assert len(clash) > 3
+    for doc_id in (None, 4):
+        rows = texts.select(F.lit(doc_id).cast("long").alias("doc_id"), "text")
+        placed = [r.text for r in sd.keyed_rows(rows, "doc_id", "text").orderBy("d", "th").collect()]
+        want = brute(list(enumerate(placed)))
+        got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(rows).collect()]
+        assert sorted(got) == sorted(want.values())
