@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 def timeline(rows: DataFrame, anchor: Column, ts: str, key: str, before: int = 5, after: int = 5) -> DataFrame:
@@ -83,29 +85,28 @@ def sessions(rows: DataFrame, key: str, ts: str, gap: str = "6 hours") -> DataFr
     return found.drop("w")
 
 
-def fold(rows: DataFrame, key: list[str], order: list[str], step: Callable[[tuple | None, dict], tuple[tuple, object]], out: str, kind: str, uses: list[str]) -> DataFrame:
+def fold(rows: DataFrame, key: list[str], order: list[str], step: Callable[[tuple | None, tuple], tuple[tuple, object]], out: str, kind: str, uses: list[str]) -> DataFrame:
     """Adds a column computed by a fold over each key's rows in order.
 
-    ``step(state, row) -> (state, value)`` starts with state None at each key.
+    ``step(state, values of uses) -> (state, value)`` starts with state None at each key.
     Rows stream through a task in order, and only one state is held, so a key of
-    any size needs no more memory than a small one.
+    any size needs no more memory than a small one.  Columns that are not used stay in Arrow.
     """
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{out}` {kind}"
-    need = list(dict.fromkeys([*key, *uses]))
+    schema = StructType([*rows.schema.fields, StructField(out, _parse_datatype_string(kind))])
+    arrow = to_arrow_type(schema[out].dataType)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
-        for frame in frames:
-            values = []
-            for record in frame[need].to_dict("records"):
-                mine = tuple(record[k] for k in key)
-                if mine != now:
-                    now, state = mine, None
-                state, value = step(state, record)
+        for batch in batches:
+            values, n = [], len(key)
+            for record in zip(*[batch.column(c).to_pylist() for c in [*key, *uses]], strict=True):
+                if record[:n] != now:
+                    now, state = record[:n], None
+                state, value = step(state, record[n:])
                 values.append(value)
-            yield frame.assign(**{out: values})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, out])
 
-    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
 
 def dedup_ttl(rows: DataFrame, key: list[str], ts: str, tie: str, seconds: float = 300) -> DataFrame:
@@ -113,8 +114,8 @@ def dedup_ttl(rows: DataFrame, key: list[str], ts: str, tie: str, seconds: float
     micros = rows.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
 
     def step(state, row):
-        fresh = state is None or row["_t"] - state[0] >= seconds * 1e6
-        return ((row["_t"],) if fresh else state), fresh
+        fresh = state is None or row[0] - state[0] >= seconds * 1e6
+        return ((row[0],) if fresh else state), fresh
 
     return fold(micros, key, ["_t", tie], step, "fresh", "boolean", ["_t"]).where("fresh").drop("fresh", "_t")
 
@@ -123,7 +124,7 @@ def chunk_pack(rows: DataFrame, key: str, order: str, tokens: str, budget: int)
     """Numbers runs of consecutive rows so that no run but one of a single row exceeds the budget."""
     def step(state, row):
         number, used = state or (0, 0)
-        cost = int(row[tokens])
+        cost = int(row[0])
         if state and used + cost > budget:
             number, used = number + 1, 0
         return (number, used + cost), number
@@ -151,6 +152,24 @@ def greedy_pack(ranked: DataFrame, key: str, rank: str, item: str, tokens: str,
     return packed.select(key, F.explode("p.taken").alias("t")).select(key, F.col("t.item").alias(item), F.col("t.used").alias("used"))
 
 
+def budget_fold(rows: DataFrame, key: str, order: list[str], tokens: str, cap: str, always: str | None = None, start: str | None = None) -> DataFrame:
+    """Adds ``taken`` and ``used`` up to the row: in order, a row is taken if it fits under its own cap with what is taken so far, or ``always``.
+
+    What doesn't fit is skipped and later rows are tried.  ``cap`` may differ from row to row, as for sections that share
+    a budget; ``start`` is what is used before the first row.
+    """
+    def step(state, row):
+        used = state[0] if state else row[3] or 0
+        fits = row[0] is not None and (bool(row[2]) or row[1] is None or used + row[0] <= row[1])
+        used = used + row[0] if fits else used
+        return (used,), {"taken": fits, "used": used}
+
+    flat = rows.withColumns({"_always": F.col(always) if always else F.lit(False), "_start": F.col(start).cast("long") if start else F.lit(0).cast("long"),
+                             "_cost": F.col(tokens).cast("long"), "_cap": F.col(cap).cast("long")})
+    out = fold(flat, [key], order, step, "_f", "struct<taken: boolean, used: long>", ["_cost", "_cap", "_always", "_start"])
+    return out.select(*rows.columns, F.col("_f.taken").alias("taken"), F.col("_f.used").alias("used"))
+
+
 def playback(rows: DataFrame, session: str, ts: str, key: str, duration: Column) -> DataFrame:
     """Adds offset_ms from the start of each session; where all its times are equal, the durations so far."""
     whole = Window.partitionBy(session)
