@@ -61,7 +61,14 @@ def shadowing(pool: DataFrame, shared: int = 2, share: float = 0.3) -> DataFrame
 
 
 def twins(rows: DataFrame, alike: float = 0.5, key: str = "id", words: str = "words") -> DataFrame:
-    """(id_a, id_b, similarity) of rows whose token sets are alike, by a prefix filter.
+    """(id_a, id_b, similarity) of rows whose token sets are alike, by a prefix filter."""
+    found = shared_counts(rows, alike, key, words)
+    score = F.round(F.col("shared") / F.col("total"), 6)
+    return found.select("id_a", "id_b", score.alias("similarity")).where(F.col("similarity") >= alike)
+
+
+def shared_counts(rows: DataFrame, alike: float, key: str = "id", words: str = "words") -> DataFrame:
+    """(id_a, id_b, shared, total) for pairs of rows that may be alike: sizes of intersection and union.
 
     Words are ordered by rarity; sets that are alike share one of the first
     n - ceil(alike * n) + 1 words, so only those are joined.
@@ -76,5 +83,4 @@ def twins(rows: DataFrame, alike: float = 0.5, key: str = "id", words: str = "wo
     near = (F.col("id_a") < F.col("id_b")) & (F.least("size_a", "size_b") >= alike * F.greatest("size_a", "size_b"))
     pairs = a.join(b, "word").where(near).select("id_a", "id_b").distinct()
     full = pairs.join(rows.toDF("id_a", "words_a"), "id_a").join(rows.toDF("id_b", "words_b"), "id_b")
-    score = F.round(F.size(F.array_intersect("words_a", "words_b")) / F.size(F.array_union("words_a", "words_b")), 6)
-    return full.select("id_a", "id_b", score.alias("similarity")).where(F.col("similarity") >= alike)
+    return full.select("id_a", "id_b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), F.size(F.array_union("words_a", "words_b")).alias("total"))
