@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, text
-from palimpsest.operators import fusion, graph, lexical, lifecycle, mining, recall, scope, store
+from palimpsest.operators import fusion, graph, hybrid, lexical, lifecycle, mining, recall, scope, store
 from palimpsest.plans import retrieval
 from palimpsest.plans.records import ctes, record
+from palimpsest.sources.shared import written
 from palimpsest.sources.tables import table
 from palimpsest.streaming import marks
 
@@ -451,13 +452,13 @@ def xml_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- recalls
 
 
-@query(f"""{retrieval.BASE}, {ctes('lessons')}, lt AS ({retrieval.top_sql('e', 100)}),
+@query(f"""{retrieval.BASE}, {ctes('lessons')}, lt AS (SELECT query_id, doc_id, round(score, 6) AS score FROM e),
 sc AS (SELECT query_id, l.id, round(confidence * (score / max(score) OVER (PARTITION BY query_id)) / (1 + 0.01 * days), 3) AS score, confidence, project FROM lt LEFT JOIN lessons l ON l.id = lt.doc_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc WHERE id IS NOT NULL AND confidence >= 0.2 AND (project IS NULL OR project = 'PROMO'))
 SELECT query_id, id, score FROM t WHERE r <= 10""")
 def lesson_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by id are the lessons' texts."""
-    hits = retrieval.bm25_topk(spark, sf_dir, 100).withColumnRenamed("doc_id", "id")
+    hits = retrieval.bm25_topk(spark, sf_dir, None).withColumnRenamed("doc_id", "id")
     return recall.lesson_recall(hits, record(spark, sf_dir, "lessons").select("id", "project", "confidence", "days"), "PROMO", 0.2)
 
 
@@ -565,20 +566,64 @@ def search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.page(floor, None, 10, None)
 
 
-def smart_search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """Hybrid search in a project: fused legs, scope, floor, newer records above those they repeat, limit."""
-    sessions, summaries, memories = sources(spark, sf_dir)
+HYBRID_NOW = "2024-01-01 00:00:00"
+
+
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: a day for each of the ids of its last thousand."""
     docs = table(spark, sf_dir, "documents")
-    hits = retrieval.legs(spark, sf_dir).withColumnRenamed("doc_id", "id").join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("session_id")), "id")
-    scoped = scope.in_project(hits, "en", memories, sessions, summaries)
-    mine = retrieval.item_vectors(spark, sf_dir).withColumnRenamed("embedding", "asked")
-    theirs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    lexical_score = retrieval.bm25_topk(spark, sf_dir, 100).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("bm25"))
-    rows = scoped.join(lexical_score, ["query_id", "id"], "left").join(theirs, "id", "left").join(mine, "query_id", "left")
-    rows = rows.withColumn("cosine", F.round(scoring.cosine(F.col("embedding"), F.col("asked")), 6)).withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    above = fusion.relevance_floor(rows, bm25="bm25").select("query_id", "id", "score")
-    records = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ts"), F.col("lang").alias("kind"), F.col("text").alias("body"))
-    return recall.page(above, records, k)
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("session_id"), F.timestamp_seconds(F.lit(1_704_067_200) - F.pmod(F.col("doc_id"), F.lit(1000)) * 86_400).cast("timestamp_ntz").alias("ts"),
+                       F.col("lang").alias("kind"), F.col("text").alias("body"))
+
+
+def in_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id) of the documents of the project ``en``."""
+    sessions, summaries, memories = sources(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("session_id"))
+    return scope.in_project(docs, "en", memories, sessions, summaries).select("id")
+
+
+def scoped_legs(spark: SparkSession, sf_dir: str, tied: bool) -> dict[str, DataFrame]:
+    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    source = lambda: F.concat(F.lit("source:"), "source")
+    graph_parts = None
+    if tied:  # sources and languages are the nodes, and a query names the source with its own number
+        nodes = docs.select(source().alias("node"), F.col("source").alias("name")).distinct()
+        edges = docs.select(source().alias("src"), F.concat(F.lit("lang:"), "lang").alias("dst"), F.lit(0.5).alias("weight")).distinct()
+        names = docs.select("source").distinct().select("source", F.regexp_extract("source", r"(\d+)$", 1).alias("_n"))
+        entities = retrieval.asked(spark, sf_dir).join(names, F.col("query_id").cast("string") == F.col("_n")).select("query_id", F.col("source").alias("entity"))
+        graph_parts = nodes, edges, entities, docs.select(source().alias("node"), F.col("doc_id").alias("id"))
+    return hybrid.legs(retrieval.document_index(spark, sf_dir), retrieval.asked(spark, sf_dir), 100, 20, written(in_english(spark, sf_dir), "in-scope"), table(spark, sf_dir, "embeddings"), retrieval.item_vectors(spark, sf_dir), graph_parts)
+
+
+@query(f"""{retrieval.BASE}, {retrieval.VECTOR_LEG}, {SOURCES}, e1 AS (SELECT * FROM e WHERE doc_id IN (SELECT doc_id FROM ok)), v1 AS (SELECT * FROM vl WHERE doc_id IN (SELECT doc_id FROM ok)),
+lt AS ({retrieval.top_sql('e1', 100)}), vt AS ({retrieval.top_sql('v1', 100)}),
+parts AS (SELECT query_id, doc_id, 0.4 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)) AS part, 0.0 AS w FROM lt
+ UNION ALL SELECT query_id, doc_id, 0.6 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)), 0.6 FROM vt),
+tot AS (SELECT query_id, 0.4 + max(w) AS total FROM parts GROUP BY query_id),
+fused AS (SELECT query_id, doc_id, source, round(sum(part) / any_value(total), 9) AS score FROM parts JOIN tot USING (query_id) JOIN documents USING (doc_id) GROUP BY query_id, doc_id, source),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) > 3 AS over FROM fused),
+hp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over, score DESC, doc_id) AS n FROM o) WHERE n <= 20),
+g AS (SELECT query_id, doc_id AS id, round(score * CASE WHEN doc_id % 1000 = 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE + 0.4::DOUBLE * pow(0.5::DOUBLE, (doc_id % 1000) / 180.0) END, 9) AS score FROM hp),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM g)
+SELECT query_id, id, rank::INT AS rank, score FROM r WHERE rank <= 10""")
+def hybrid_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two legs in a project, fused, spread over sources and aged."""
+    found = scoped_legs(spark, sf_dir, False)
+    return hybrid.hybrid_search(found, document_records(spark, sf_dir), F.lit(HYBRID_NOW).cast("timestamp_ntz"), 10, twins=False).select("query_id", "id", "rank", "score")
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three legs in a project, fused, spread over sources, aged and capped behind newer twins."""
+    return hybrid.hybrid_search(scoped_legs(spark, sf_dir, True), document_records(spark, sf_dir), F.lit(HYBRID_NOW).cast("timestamp_ntz"), 10)
+
+
+QUERIES["hybrid_search"] = hybrid_search
+
+
+def smart_search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """Three legs in a project, above the floor, newer records above those they repeat, with lessons."""
+    return hybrid.smart_search(scoped_legs(spark, sf_dir, True), document_records(spark, sf_dir), F.lit(HYBRID_NOW).cast("timestamp_ntz"), k, {"lesson": lesson_recall(spark, sf_dir)})
 
 
 QUERIES["smart_search"] = smart_search

@@ -59,7 +59,7 @@ def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(index.n).cast("long").alias("n"), F.round(F.lit(index.average), 6).alias("average"))
 
 
-def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+def bm25_topk(spark: SparkSession, sf_dir: str, k: int | None = 10) -> DataFrame:
     return lexical.search(document_index(spark, sf_dir), asked(spark, sf_dir), k)
 
 
