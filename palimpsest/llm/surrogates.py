@@ -1,26 +1,28 @@
 """Keyed surrogates for personal data, consistent in type and distinct over a corpus.
 
-Mentions are found in every whole text: e-mail addresses, telephone numbers, IPv4
-addresses, payment cards (Luhn), IBANs (mod 97), social security numbers, secrets
-given to a name such as token or password, and persons (a title or a known given
-name before capitalised words).  A name found so is looked for again in the same
-text, so that later mentions by surname alone are replaced as well.
+Mentions are found in every whole text: e-mail addresses, telephone numbers, IPv4 and
+IPv6 addresses, payment cards (Luhn), IBANs (mod 97), social security numbers, secrets
+given to a name such as token or password, and persons (a title, a greeting or farewell, a
+phrase such as "my name is", or a known given name before capitalised words).  A name found so is
+looked for again in the same text, so that later mentions by surname alone are replaced as
+well.  Names that nothing introduces are not found.
 
 A mention stands for one or two entities, each a kind and a normalised value: digits
 without separators, lower-cased addresses, domain and whole address of an e-mail,
-given and family names by themselves.  An entity's surrogate comes from a keyed hash
+each name by itself with its script.  An entity's surrogate comes from a keyed hash
 of kind, value and the number of the attempt.  It keeps length, character classes,
 separators and upper case of the mention, the country of telephone numbers and IBANs,
-the first digit of cards, check digits, top-level domains, and the script of names
-and the gender of given names.  The same entity thus has the same surrogate wherever
-it occurs, in every format.
+the first digit of cards, check digits, top-level domains, and the script of names.
+A name is a male or female given name or a family name for the whole corpus, as most of its mentions are used (ties: family, then
+female), and its surrogate is of that kind.  The same entity thus has the same surrogate
+wherever it occurs, in every format and setting.
 
 Collision checks work on the table of distinct entities: of entities of a kind with
-the same surrogate the one with the fewest attempts, then the smallest value, keeps
+the same surrogate, as it is written, the one with the fewest attempts, then the smallest value, keeps
 it, and one whose surrogate occurs in the corpus as an original never does; the
 others go on to their next attempt, until none is left.  From attempt ``WIDEN`` on a
 surrogate gets longer, so a format with few values cannot run out.  Scans of texts
-then only need the entities beyond their first attempt.  These are sent to the tasks
+then only need the entities beyond their first attempt, and names used otherwise than they look by themselves.  These are sent to the tasks
 if there are ``most_sent`` at most, else they are joined to the texts that hold them.
 
 Defined results: null stays null and empty stays empty, without entities; texts of any
@@ -36,6 +38,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,20 +46,24 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-KINDS = ("email", "secret", "iban", "ip", "phone", "card", "ssn", "person")
+KINDS = ("email", "secret", "iban", "ip", "ip6", "phone", "card", "ssn", "person")
 WIDEN = 16
 SALTS = 16
-ENTITY = "kind string, value string"
+ENTITY = "kind string, value string, use string"
 
 # --- mentions ------------------------------------------------------------------------------------------------
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-])?(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,200})(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-])?(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,200}|(?=[A-Za-z]*[0-9])[A-Za-z0-9]{6,7})(?![A-Za-z0-9+/_=-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 IP = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])")
+IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:.])")
+# Country calling codes of one and two digits; all others have three.
+ONE_DIGIT, TWO_DIGITS = "17", set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 PHONE = re.compile(r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
-                   r"|(?<![\w(+])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.+-])[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}(?![0-9-])")
+                   r"|(?<![\w(+])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.+-])[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}(?![0-9-])"
+                   r"|(?<![\w.+/-])0[1-9][0-9]{1,4}[ /-][0-9]{5,9}(?![\w-])")
 CARD = re.compile(r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 WORD = re.compile(r"[^\W\d_]+")
@@ -74,6 +81,9 @@ GIVEN = {
          "sophie maría carmen ana laura елена ольга наталья анна мария μαρία ελένη κατερίνα",
 }
 LOWER_TITLES = set("monsieur madame mademoiselle señor señora señorita don doña господин госпожа κύριος κύριο κυρία".split())  # written without a capital too
+# Words after which a capitalised run is a person: greetings, farewells and introductions, fixed values.
+CUES = re.compile(r"(?i)(?<![^\W\d_])(?:dear|hi|hello|regards|sincerely|cheers|my name is|i am called|liebe|lieber|grüße|ich heiße|mein name ist|cher|chère|cordialement|je m'appelle|querido|querida|estimado|estimada|saludos|me llamo|mi nombre es)"
+                  r"[ ,\n]{1,3}(?=([^\W\d_]))")
 TITLE_OF = {w: g for g, words in TITLES.items() for w in words.split()}
 GIVEN_OF = {w: g for g, words in GIVEN.items() for w in words.split()}
 
@@ -91,6 +101,14 @@ def iban_rest(country: str, check: str, body: str) -> int:
     return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
 
 
+def ip_address_6(text: str) -> str:
+    """All eight groups of an address, four digits each; an address that is none stays as it is."""
+    try:
+        return IPv6Address(text).exploded.lower()
+    except ValueError:
+        return text.lower()
+
+
 def script_of(word: str) -> str:
     return unicodedata.name(word[0], "OTHER").split()[0].lower()
 
@@ -112,11 +130,15 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in IP.finditer(text):
         if all(int(o) < 256 for o in m.group().split(".")):
             yield *m.span(), "ip", ".".join(str(int(o)) for o in m.group().split("."))
+    for m in IP6.finditer(text):
+        groups = [g for g in m.group().split(":") if g]
+        if len(groups) >= 3 and ("::" in m.group() or len(groups) == 8) and m.group().count("::") < 2:
+            yield *m.span(), "ip6", ip_address_6(m.group())
     for m in PHONE.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
         if 8 <= len(digits) <= 15:
-            code = 0 if m.group()[0] != "+" else 1 if digits[0] in "17" else 2
-            yield *m.span(), "phone", f"{digits[:code] or '1'}|{digits[code:]}"
+            code = 0 if m.group()[0] != "+" else 1 if digits[0] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
+            yield *m.span(), "phone", f"{digits[:code] or ('0' if digits[0] == '0' else '1')}|{digits[code:]}"
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
         if luhn_digit(digits[:-1]) == digits[-1] and digits[0] != "0":
@@ -130,9 +152,15 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield *m.span(), "iban", value
 
 
-def _persons(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """One mention for each name: value is "given:<gender>:<script>:<name>" or "family::<script>:<name>"."""
+def usual(name: str) -> str:
+    """What a name looks like by itself: m or f for a known given name, else family."""
+    return GIVEN_OF.get(name, "family")
+
+
+def _persons(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """One mention for each name: value is "<script>:<name>", with how it is used there (m, f or family)."""
     words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+    cued = {m.end() for m in CUES.finditer(text) if m.group(1).isupper()}
     known: dict[str, str] = {}
 
     def gap(i: int) -> str:
@@ -143,49 +171,54 @@ def _persons(text: str) -> Iterator[tuple[int, int, str, str]]:
         low = words[i][2].lower()
         title = TITLE_OF.get(low) if words[i][2][0].isupper() or low in LOWER_TITLES else None
         given = GIVEN_OF.get(low) if capitalised(words[i][2]) else None
+        cue = words[i][0] in cued and not title
         first = i + 1 if title else i
-        if title and i + 1 < len(words) and gap(i) not in (" ", ". ") or not (title or given):
+        if title and i + 1 < len(words) and gap(i) not in (" ", ". ") or not (title or given or cue):
             i += 1
             continue
         last = first
         while last < len(words) and last - first < 4 and capitalised(words[last][2]) and len(words[last][2]) > 1 and (last == first or gap(last - 1) in (" ", "-")):
             last += 1
         names = [words[k][2] for k in range(first, last)]
-        if names and (title or len(names) > 1):
+        if names and (title or cue or len(names) > 1):
             for k, name in enumerate(names):
                 low = name.lower()
                 before_family = k < len(names) - 1 and gap(first + k) == " "
-                gender = GIVEN_OF.get(low) or (title if title != "x" and before_family else None)
-                known.setdefault(low, f"given:{gender}:{script_of(low)}:{low}" if gender and (before_family or low in GIVEN_OF) else f"family::{script_of(low)}:{low}")
+                gender = GIVEN_OF.get(low) or (title if title not in (None, "x") and before_family else None)
+                known.setdefault(low, gender if gender and (before_family or low in GIVEN_OF) else "family")
         i = max(last, i + 1)
     if known:
         for start, end, word in words:
-            if capitalised(word) and (value := known.get(word.lower())):
-                yield start, end, "person", value
+            if capitalised(word) and (use := known.get(word.lower())):
+                yield start, end, "person", f"{script_of(word.lower())}:{word.lower()}", use
 
 
-def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value) of all mentions, in order, without overlaps."""
+def used_mentions(text: str | None) -> list[tuple]:
+    """(start, end, kind, value) of all mentions, in order, without overlaps; behind a name stands how it is used."""
     if not text:
         return []
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple] = []
     if "@" in text:
         found += _emails(text)
     if any(d in text for d in "0123456789"):
         found += _numbers(text)
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret", m.group(1)) for m in SECRET.finditer(text)]
-    if PERSON_HINT.search(text):
+    if PERSON_HINT.search(text) or CUES.search(text):
         found += _persons(text)
     if len(found) < 2:
         return found
-    out: list[tuple[int, int, str, str]] = []
+    out: list[tuple] = []
     for m in sorted(found, key=lambda m: (m[0], -m[1], KINDS.index(m[2]))):
         if not out or m[0] >= out[-1][1]:
             out.append(m)
     return out
 
 
+def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
+    return [m[:4] for m in used_mentions(text)]
+
+
 PERSON_HINT = re.compile("(?<![^\\W\\d_])(?:" + "|".join(sorted({form for w in (*TITLE_OF, *GIVEN_OF) for form in (w.capitalize(), w.upper(), *({w} & LOWER_TITLES))})) + ")(?![^\\W\\d_])")
 
 
@@ -223,32 +256,31 @@ SOUNDS = {
 }
 
 
-def like(s: Stream, text: str) -> str:
-    """Letters and digits replaced by others of their class."""
-    hexadecimal = len(text) >= 16 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", text)
+def like(s: Stream, text: str, by_place: bool = False) -> str:
+    """Letters and digits replaced by others of their class; hexadecimal digits of both classes by any, unless ``by_place``."""
+    hexadecimal = not by_place and len(text) >= 16 and re.fullmatch("(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)", text)
     if hexadecimal:
         return "".join(s.of("0123456789abcdef") for _ in text) if text == text.lower() else "".join(s.of("0123456789ABCDEF") for _ in text)
     return "".join(s.of(DIGITS) if c in DIGITS else s.of(LOWER) if c in LOWER else s.of(UPPER_CASE) if c in UPPER_CASE else c for c in text)
 
 
-def made_name(s: Stream, value: str, more: int) -> str:
-    part, gender, script, name = value.split(":", 3)
+def made_name(s: Stream, script: str, name: str, use: str, more: int) -> str:
     sounds = SOUNDS.get(script)
     if sounds is None:  # letters of the same class from the same stretch of the character table
         near = lambda c: [x for x in map(chr, range(ord(c) & ~31, (ord(c) | 31) + 1)) if unicodedata.category(x) == unicodedata.category(c)]
         return "".join(s.of("".join(near(c))) for c in name + name[-1] * more)
     consonants, vowels, female, male = sounds
     syllables = "".join(s.of(consonants) + s.of(vowels) for _ in range(2 + s.below(2) + more))
-    if part == "given":
-        return syllables[:-1] + s.of(female) if gender == "f" else syllables + s.of(male)
+    if use != "family":
+        return syllables[:-1] + s.of(female) if use == "f" else syllables + s.of(male)
     if script == "cyrillic":
         return syllables[:-1] + ("ова" if name.endswith(("ова", "ева", "ина", "ая")) else "ов")
     return syllables + s.of(male)
 
 
 @lru_cache(maxsize=50_000)
-def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The surrogate, as a normalised value, that an attempt gives an entity."""
+def surrogate(key: bytes, kind: str, value: str, attempt: int, use: str | None = None) -> str:
+    """The surrogate, as a normalised value, that an attempt gives an entity; ``use`` of a name: m, f or family."""
     s = Stream(key, kind, value, attempt)
     more = max(0, attempt - WIDEN + 1)
     tail = lambda chars: "".join(s.of(chars) for _ in range(more))
@@ -264,9 +296,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         least, most = {1: 1, 2: 10, 3: 100}, {1: 9, 2: 99, 3: 255}
         octets = [s.below(256) if more else least[len(o)] + s.below(most[len(o)] - least[len(o)] + 1) for o in value.split(".")]
         return ".".join(map(str, octets + [attempt] * (more > WIDEN)))
+    if kind == "ip6":
+        return ":".join(f"{(0 if int(g, 16) == 0 and not more else s.below(65536)):04x}" for g in value.split(":")) if value.count(":") == 7 and "::" not in value else like(s, value, True) + tail(LOWER)
     if kind == "phone":
         code, rest = value.split("|")
-        return code + "|" + s.of("23456789") + "".join(s.of(DIGITS) for _ in rest[1:]) + tail(DIGITS)
+        return code + "|" + ("0" if rest[:1] == "0" else "") + s.of("23456789") + "".join(s.of(DIGITS) for _ in rest[2 if rest[:1] == "0" else 1:]) + tail(DIGITS)
     if kind == "card":
         body = value[0] + "".join(s.of(DIGITS) for _ in value[1:-1]) + tail(DIGITS)
         return body + luhn_digit(body)
@@ -274,10 +308,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         area = 1 + s.below(898)
         return f"{area + (area >= 666):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}" + tail(DIGITS)
     if kind == "iban":
-        body = like(s, value[4:]) + tail(DIGITS)
+        body = like(s, value[4:], True) + tail(DIGITS)
         return value[:2] + f"{98 - iban_rest(value[:2], '00', body):02d}" + body
-    name = made_name(s, value, more)
-    return value[: len(value) - len(value.split(":", 3)[3])] + name
+    script, name = value.split(":", 1)
+    return script + ":" + made_name(s, script, name, use or usual(name), more)
 
 
 def cased(made: str, mention: str) -> str:
@@ -294,9 +328,9 @@ def in_format(digits: str, mention: str) -> str:
     return "".join(next(left, "") if c.isalnum() else c for c in mention) + "".join(left)
 
 
-def replaced(kind: str, value: str, mention: str, key: bytes, attempts: dict[tuple[str, str], int]) -> str:
+def replaced(kind: str, value: str, mention: str, key: bytes, attempts: dict[tuple[str, str], tuple[int, str | None]]) -> str:
     """What takes the place of a mention."""
-    get = lambda k, v: surrogate(key, k, v, attempts.get((k, v), 0))
+    get = lambda k, v: surrogate(key, k, v, *attempts.get((k, v), (0, None)))
     if kind == "email":
         local, domain = value.split("@")
         at = mention.index("@")
@@ -306,10 +340,21 @@ def replaced(kind: str, value: str, mention: str, key: bytes, attempts: dict[tup
         return in_format((new.split("|")[0] if mention[0] == "+" else "") + new.split("|")[1], mention)
     if kind in ("card", "ssn", "iban"):
         return in_format(new, mention)
-    return cased(new.split(":", 3)[3], mention) if kind == "person" else new
+    if kind == "ip6":
+        return as_written(new, mention)
+    return cased(new.split(":", 1)[1], mention) if kind == "person" else new
+
 
+def as_written(address: str, mention: str) -> str:
+    """An address in full, or short as the mention is, in its case."""
+    try:
+        out = IPv6Address(address).compressed if "::" in mention or len(mention) < 39 else address
+    except ValueError:
+        out = address
+    return out.upper() if mention.isupper() else out
 
-def rewritten(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[dict]]:
+
+def rewritten(text: str, key: bytes, attempts: dict[tuple[str, str], tuple[int, str | None]]) -> tuple[str, list[dict]]:
     """The text with surrogates, and its mentions (kind, first place and length in the text given)."""
     out, done, found = [], 0, []
     for start, end, kind, value in mentions(text):
@@ -323,31 +368,38 @@ def rewritten(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tu
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row columns, kind, value) of the distinct entities of every text, the last column."""
+    """(row columns, kind, value, use) of the distinct entities of every text, the last column; use only for names."""
     for batch in batches:
-        at, kinds, values = [], [], []
+        at, rows = [], []
         for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-            for k, v in sorted({e for m in mentions(text) for e in entities_of(m[2], m[3])}):
-                at.append(i)
-                kinds.append(k)
-                values.append(v)
+            mine = sorted({(*e, m[4] if m[2] == "person" else "") for m in used_mentions(text) for e in entities_of(m[2], m[3])})
+            at += [i] * len(mine)
+            rows += mine
         kept = batch.select(range(batch.num_columns - 1)).take(pa.array(at, pa.int32())).columns if batch.num_columns > 1 else []
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=[*batch.schema.names[:-1], "kind", "value"])
+        yield pa.RecordBatch.from_arrays([*kept, *(pa.array([r[k] for r in rows], pa.string()) for k in range(3))], names=[*batch.schema.names[:-1], "kind", "value", "use"])
+
+
+def one_use(found: DataFrame) -> DataFrame:
+    """Distinct entities (kind, value, use) with the use that most texts make of a name (ties: family, then f); none for other kinds."""
+    counts = found.groupBy("kind", "value", "use").agg(F.count(F.lit(1)).alias("n"))
+    order = F.when(F.col("use") == "family", 2).when(F.col("use") == "f", 1).otherwise(0)
+    return counts.groupBy("kind", "value").agg(F.max_by("use", F.struct("n", order)).alias("use")).select("kind", "value", F.nullif("use", F.lit("")).alias("use"))
 
 
 def with_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """``entities`` (kind, value, attempt) with the surrogate of the attempt."""
+    """``entities`` (kind, value, use, attempt) with the surrogate of the attempt."""
+    names = ("kind", "value", "attempt", "use")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [surrogate(key, k, v, a) for k, v, a in zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "value", "attempt")), pa.array(made, pa.string())], names=["kind", "value", "attempt", "made"])
+            made = [surrogate(key, *row) for row in zip(*(batch.column(c).to_pylist() for c in names))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, pa.string())], names=[*names, "made"])
 
-    return entities.select("kind", "value", "attempt").mapInArrow(run, ENTITY + ", attempt int, made string")
+    return entities.select(*names).mapInArrow(run, "kind string, value string, attempt int, use string, made string")
 
 
 def settled(entities: DataFrame, key: bytes) -> DataFrame:
-    """Rows (kind, value, attempt, made) for distinct entities (kind, value): surrogates are distinct and no originals."""
+    """Rows (kind, value, attempt, use, made) for distinct entities (kind, value, use): surrogates are distinct and no originals."""
     state = written(with_surrogates(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
     while True:
         originals = state.select(F.col("kind").alias("k"), F.col("value").alias("m"))
@@ -369,8 +421,9 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[s
     n = len(keep)
     names = [f"_{i}" for i in range(n)]
     rows = docs.select(*(docs[c].alias(a) for c, a in zip(keep, names)), docs[text].alias("_text"))
-    found = rows.select("_text").mapInArrow(_entities, ENTITY).distinct()
-    later = settled(found, key).where("attempt > 0").select("kind", "value", "attempt")
+    found = one_use(rows.select("_text").mapInArrow(_entities, ENTITY))
+    looks = F.pandas_udf(lambda v: v.map(lambda x: usual(x.split(":", 1)[-1])), "string")
+    later = settled(found, key).where((F.col("attempt") > 0) | (F.col("use").isNotNull() & (F.col("use") != looks("value")))).select("kind", "value", "attempt", "use")
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
     schema = (kept_schema + ", " if names else "") + "surrogate_text string, mentions array<struct<kind:string,start:int,length:int>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
@@ -380,7 +433,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[s
         return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([t for t, _ in done], pa.string()), pa.array([m for _, m in done], kind)], names=[*names, "surrogate_text", "mentions"])
 
     if later.count() <= most_sent:
-        sent = spark.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in later.collect()})
+        sent = spark.sparkContext.broadcast({(r.kind, r.value): (r.attempt, r.use) for r in later.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             attempts = sent.value
@@ -391,14 +444,14 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[s
         return rows.mapInArrow(run, schema).toDF(*keep, "surrogate_text", "mentions")
 
     numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
-    held = numbered.select("_row", "_text").mapInArrow(_entities, "_row long, " + ENTITY).withColumn("salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int"))
+    held = numbered.select("_row", "_text").mapInArrow(_entities, "_row long, " + ENTITY).drop("use").withColumn("salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int"))
     salted = later.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    of_row = held.join(salted, ["kind", "value", "salt"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_later"))
+    of_row = held.join(salted, ["kind", "value", "salt"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "value", "attempt", "use")).alias("_later"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             later_of = batch.column(n + 1).to_pylist()
-            yield answer(batch, batch.column(n).to_pylist(), ({(e["kind"], e["value"]): e["attempt"] for e in x or ()} for x in later_of))
+            yield answer(batch, batch.column(n).to_pylist(), ({(e["kind"], e["value"]): (e["attempt"], e["use"]) for e in x or ()} for x in later_of))
 
     both = numbered.join(of_row, "_row", "left").select(*names, "_text", "_later")
     return both.mapInArrow(joined, schema).toDF(*keep, "surrogate_text", "mentions")
