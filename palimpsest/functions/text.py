@@ -195,10 +195,16 @@ def middle_out(text: Column, limit: int = 2000, mark: str = "\n...\n") -> Column
 # ---------------------------------------------------------------- stems
 
 # Suffix and replacement; the first that matches ends its step.
-STEP_2 = [pair.split(">") for pair in (
-    "ational>ate tional>tion enci>ence anci>ance izer>ize iser>ise abli>able alli>al entli>ent eli>e ousli>ous "
-    "ization>ize isation>ise ation>ate ator>ate alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble").split()]
-STEP_3 = [pair.split(">") for pair in "icate>ic ative> alize>al alise>al iciti>ic ical>ic ful> ness>".split()]
+STEP_2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("iser", "ise"),
+    ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"),
+    ("isation", "ise"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
+    ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+STEP_3 = [
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("alise", "al"), ("iciti", "ic"), ("ical", "ic"),
+    ("ful", ""), ("ness", ""),
+]
 # Endings that go after a long enough stem.
 STEP_4 = "ement ment tion sion ance ence able ible ism ate iti ous ive ize ise ant ent al er ic ou".split()
 
@@ -234,7 +240,7 @@ def _past(word: str) -> str:
     return rest + "e" if silent else rest
 
 
-def _mapped(word: str, table: list[list[str]]) -> str:
+def _mapped(word: str, table: list[tuple[str, str]]) -> str:
     for suffix, to in table:
         if word.endswith(suffix):
             base = word[:-len(suffix)]
@@ -370,15 +376,16 @@ def lesson_sentences(value: Column, most: int = 20) -> Column:
     return F.slice(first, 1, most)
 
 
-# Capitalised words that name no entity at the start of a question: fixed values.
-ENTITY_STOP = ("The This That These Those What When Where Which Who Whom Whose Why How Is Are Was Were Do Does Did Can Could Should Would Will Have Has Had "
-               "And Or But Not For With From").split()
+# Capitalised words that name no entity of a question: fixed values.
+ENTITY_STOP = ("The This That What When Where How Why Who Which Did Does Do Is Are Was Were Has Have Had Can Could Would Should Will May Might "
+               "If And But Or Not For From With About After Before Between").split()
 
 
 def query_entities(query: Column) -> Column:
-    """Distinct quoted phrases and runs of capitalised words of a query, without question words."""
-    quoted = F.transform(F.regexp_extract_all(query, F.lit("\"([^\"]+)\"|'([^']+)'"), F.lit(0)), lambda s: F.regexp_replace(s, "^.|.$", ""))
-    words = F.regexp_extract_all(query, F.lit(r"\b[A-Z][a-zA-Z0-9_.-]*[a-zA-Z0-9]"), F.lit(0))
+    """Distinct phrases in double quotes and words with a capital of a query, without question words; null: none."""
+    asked = F.coalesce(query, F.lit(""))
+    quoted = F.regexp_extract_all(asked, F.lit('"([^"]+)"'), F.lit(1))
+    words = F.regexp_extract_all(asked, F.lit(r"\b[A-Z][a-zA-Z0-9_.-]+\b"), F.lit(0))
     return F.array_distinct(F.concat(quoted, F.array_except(words, F.array(*[F.lit(w) for w in ENTITY_STOP]))))
 
 

@@ -176,3 +176,62 @@ def prompt_items(lessons: DataFrame, facts: DataFrame, chars: DataFrame, key: st
     rows = both.join(chars, key).withColumn("_cost", F.char_length(scored_line(F.col("confidence"), F.col("content"))) + 1)
     rows = rows.withColumns({"_k": F.when(F.col("kind") == "lesson", 0).otherwise(1), "_c": -F.col("confidence")})
     return ordered.budget_fold(rows, key, ["_k", "_c", "id"], "_cost", "room").where("taken").select(key, "kind", "id")
+
+
+# ---------------------------------------------------------------- prompts
+
+# Fixed values of a prompt's context.
+LEAST_WORDS, LEAST_SCORE, SHARE_OF_BEST, MOST_RESULTS, MOST_CHARS, MOST_DECISIONS = 3, 5.0, 0.5, 3, 400, 10
+SETTLED = ("Requirements the user settled in past Sessions of this project. They still hold: where the task touches what a rule governs, apply it with its exact values, "
+           "even where the current code does not follow it yet. Newest Session first; where two of these conflict, the newer one holds.")
+
+
+def word_count(prompt: Column) -> Column:
+    """Words that hold a letter or a digit."""
+    return F.size(F.filter(F.split(F.coalesce(prompt, F.lit("")), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
+
+
+def prompt_context(prompts: DataFrame, hits: DataFrame, summaries: DataFrame, seen: DataFrame, most: int = MOST_RESULTS) -> DataFrame:
+    """(prompt_id, context, n_units, ids): what past sessions say to each prompt (prompt_id, session_id, text).
+
+    ``hits``: prompt_id, id, session_id, kind (memory or observation), ts, narrative, score, in any order.  ``summaries``: session_id, title,
+    decisions, covered_through, decided_at.  ``seen``: session_id, ref: what a session was given before, ``kind:id`` of records and
+    ``summary:`` with the session of summaries.
+
+    Prompts of fewer than three words get nothing.  Hits of the prompt's own session don't count; of the others those stay that reach 5 and half of
+    the best score, have a narrative and were not given before.  A summary with decisions stands in for the observations that it covers, once for its
+    session; the best ``most`` units stay.  Decisions come first, the newest session first, with memories newer than the oldest of these
+    among them by date; then the other narratives by rank.  Equal scores go by id, equal dates by id.
+    """
+    asked = prompts.where(word_count(F.col("text")) >= LEAST_WORDS).select("prompt_id", F.col("session_id").alias("_own"))
+    rows = hits.join(asked, "prompt_id").where(F.col("_own").isNull() | F.col("session_id").isNull() | (F.col("session_id") != F.col("_own")))
+    best = F.max("score").over(Window.partitionBy("prompt_id"))
+    rows = rows.withColumn("_floor", F.greatest(F.lit(LEAST_SCORE), SHARE_OF_BEST * best)).where((F.col("score") >= F.col("_floor")) & (F.coalesce("narrative", F.lit("")) != ""))
+    given = seen.select(F.col("session_id").alias("_s"), F.col("ref").alias("_ref")).distinct()
+    ref = F.concat_ws(":", F.col("kind"), F.col("id").cast("string"))
+    about = F.concat(F.lit("summary:"), F.coalesce(F.col("session_id").cast("string"), F.lit("")))
+    for mark in (ref, about):
+        rows = rows.withColumn("_k", mark).join(given, (F.col("_own") == F.col("_s")) & (F.col("_k") == F.col("_ref")), "left_anti")
+    told = summaries.where(F.size("decisions") > 0).select(F.col("session_id").alias("_u"), "title", "decisions", "covered_through", "decided_at")
+    rows = rows.join(told, F.col("session_id") == F.col("_u"), "left")
+    covers = F.coalesce((F.col("kind") == "observation") & (F.col("ts") <= F.col("covered_through")), F.lit(False))
+    rows = rows.withColumn("covered", covers).withColumn("unit", F.when(F.col("covered"), F.concat(F.lit("s:"), F.col("session_id").cast("string"))).otherwise(F.concat(F.lit("r:"), ref)))
+    order = Window.partitionBy("prompt_id", "unit").orderBy(F.desc("score"), "id")
+    units = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    units = units.withColumn("place", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("score"), "id"))).where(F.col("place") <= most)
+    oldest = F.min(F.when(F.col("covered"), F.col("decided_at"))).over(Window.partitionBy("prompt_id"))
+    dated = F.col("covered") | F.coalesce((F.col("kind") == "memory") & (F.col("ts") > oldest), F.lit(False))
+    said = F.transform(F.slice("decisions", 1, MOST_DECISIONS), lambda d: F.concat(F.lit("- "), text.xml_escaped(d)))
+    day = F.date_format(F.col("decided_at"), "yyyy-MM-dd")
+    lines = F.when(F.col("covered"), F.array_join(F.concat(F.array(F.concat(F.lit('Session "'), text.xml_escaped(F.col("title")), F.lit('" ('), day, F.lit("):"))), said), "\n"))
+    lines = lines.otherwise(text.xml_escaped(F.left("narrative", F.lit(MOST_CHARS))))
+    at = F.when(F.col("covered"), F.col("decided_at")).otherwise(F.col("ts"))
+    units = units.withColumns({"_dated": dated, "lines": lines, "_at": at})
+    first = Window.partitionBy("prompt_id").orderBy(F.when(F.col("_dated"), 0).otherwise(1), F.when(F.col("_dated"), -F.unix_micros(F.col("_at").cast("timestamp"))).otherwise(F.col("place")), "unit")
+    units = units.withColumn("_line", F.row_number().over(first))
+    opens = F.min(F.when(F.col("covered"), F.col("_line"))).over(Window.partitionBy("prompt_id"))
+    units = units.withColumn("lines", F.when(F.col("_line") == opens, F.concat(F.lit(SETTLED + "\n"), "lines")).otherwise(F.col("lines")))
+    held = F.array_sort(F.collect_list(F.struct("_line", "lines", F.when(F.col("covered"), F.concat(F.lit("summary:"), F.col("session_id").cast("string"))).otherwise(ref).alias("ref"))))
+    out = units.groupBy("prompt_id").agg(held.alias("h"), F.count(F.lit(1)).alias("n_units"))
+    body = F.array_join(F.transform("h", lambda x: x.lines), "\n")
+    return out.select("prompt_id", F.concat(F.lit("<memory-relevant-context>\n"), body, F.lit("\n</memory-relevant-context>")).alias("context"), "n_units", F.transform("h", lambda x: x.ref).alias("ids"))

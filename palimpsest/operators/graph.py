@@ -163,15 +163,18 @@ def related(links: DataFrame, starts: DataFrame, hops: int = 2, least: float = 0
 def merged_file_nodes(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of one file become one, under the path below the longest root (root) that holds it; edges follow.
 
-    ``nodes``: node, type, name.  Of several nodes the smallest stays; an edge whose ends fall
-    together goes, equal ones merge with the largest weight.
+    ``nodes``: node, type, name, and created_at if known.  Of several nodes the one that has the path
+    as its name stays, else the oldest, then the smallest; an edge whose ends fall together goes, equal ones merge with the
+    largest weight.
     """
     clean = F.regexp_replace("name", r"^(\./)+", "")
-    files = nodes.where("type = 'file'").select("node", clean.alias("path"))
+    made = F.col("created_at") if "created_at" in nodes.columns else F.lit(None).cast("timestamp")
+    files = nodes.where("type = 'file'").select("node", clean.alias("path"), "name", made.alias("_made"))
     heads = files.select("node", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split(F.col("path"), "/"), 1, n), "/"))).alias("head"))
     held = heads.join(roots.select(F.regexp_replace("root", "/+$", "").alias("head")).distinct(), "head").groupBy("node").agg(F.max_by("head", F.char_length("head")).alias("root"))
     named = files.join(held, "node", "left").withColumn("rel", F.when(F.col("root").isNull() | (F.col("root") == F.col("path")), F.col("path")).otherwise(F.substr("path", F.char_length("root") + 2)))
-    into = named.join(named.groupBy("rel").agg(F.min("node").alias("into")), "rel").select("node", "into", "rel")
+    first = F.struct((F.col("name") != F.col("rel")).alias("other"), F.col("_made").isNull().alias("unknown"), "_made", "node")
+    into = named.join(named.groupBy("rel").agg(F.min_by("node", first).alias("into")), "rel").select("node", "into", "rel")
     kept = nodes.join(into, "node", "left").where("into IS NULL OR into = node").select("node", "type", F.coalesce("rel", "name").alias("name"))
     a, b = into.select(F.col("node").alias("src"), F.col("into").alias("_a")), into.select(F.col("node").alias("dst"), F.col("into").alias("_b"))
     moved = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("_a", "src").alias("src"), F.coalesce("_b", "dst").alias("dst"), "type", "weight").where("src <> dst")

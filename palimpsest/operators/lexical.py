@@ -47,10 +47,14 @@ class Index:
     """Postings (doc_id, len, term, tf, hits), vocabulary (term, df, stem), number of documents and their average length."""
 
     postings: DataFrame
-    frequency: DataFrame
+    vocabulary: DataFrame
     n: int
     average: float | None
 
+    @property
+    def frequency(self) -> DataFrame:
+        return self.vocabulary.select("term", "df")
+
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -179,7 +183,7 @@ def stemmed_search(index: Index | DataFrame, queries: DataFrame, k: int = 20, do
     wanted = written(query_terms(queries, query_id, query).select("query_id", text.stem_column(F.col("term")).alias("term"), "w").distinct(), "query-stems")
     pairs = spark.createDataFrame(text.synonym_pairs(), "term string, other string")
     stems = wanted.select("term").unionByName(wanted.join(pairs, "term").select(F.col("other").alias("term"))).distinct().withColumnRenamed("term", "stem")
-    words = written(index.frequency.select("term", "stem").join(written(stems, "stems"), "stem"), "words-of-stems")
+    words = written(index.vocabulary.select("term", "stem").join(written(stems, "stems"), "stem"), "words-of-stems")
     posts = written(index.postings.join(words, "term").groupBy("doc_id", "len", "stem").agg(F.sum("tf").alias("tf")).withColumnRenamed("stem", "term"), "stem-postings")
     frequency = document_frequency(posts)
     asked = rarest(wanted, frequency).select("query_id", "term", "w")

@@ -45,13 +45,13 @@ def document_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """
     key = spark.sparkContext.applicationId, files_of(spark, f"{sf_dir}/documents.parquet")
     index = INDEXES.get(key)
-    if index is None or not all(files_of(spark, df.inputFiles()[0]) for df in (index.postings, index.frequency)):
+    if index is None or not all(files_of(spark, df.inputFiles()[0]) for df in (index.postings, index.vocabulary)):
         index = INDEXES[key] = lexical.build_index(table(spark, sf_dir, "documents"))
     return index
 
 
 def doc_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_index(spark, sf_dir).frequency.select("term", "df")
+    return document_index(spark, sf_dir).frequency
 
 
 def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def check(spark, index, live):
     fresh = lexical.build_index(table(spark, sorted(live.items())))
     mine = index.index()
     assert (mine.n, mine.average) == (fresh.n, pytest.approx(fresh.average) if fresh.average is not None else None)
-    words = lambda i: sorted(tuple(r) for r in i.frequency.select("term", "df", "stem").collect())
+    words = lambda i: sorted(tuple(r) for r in i.vocabulary.select("term", "df", "stem").collect())
     assert words(mine) == words(fresh)
     assert found(mine, asked(spark)) == found(fresh, asked(spark))
 
