@@ -111,9 +111,10 @@ def term_share(queries: DataFrame, terms: Column, rows: DataFrame, body: Column,
     if starts:  # a term with punctuation inside is looked for by its leading run, then in the text
         lead = F.regexp_extract("term", r"^[\p{L}\p{N}]+", 0)
         tails = words.select("word").distinct().select("word", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda n: F.left("word", n))).alias("head"))
-        found = asked.withColumn("head", lead).join(tails, "head").join(words, "word").select("query_id", "n_terms", "term", "id").distinct()
-        found = found.join(rows.select("id", F.lower(body).alias("_text")), "id").where(
-            F.expr(r"_text RLIKE concat('(^|[^\\p{L}\\p{N}])\\Q', term, '\\E')")).drop("_text")
+        found = asked.withColumn("head", lead).join(tails, "head").join(words, "word").select("query_id", "n_terms", "term", "id", (F.col("head") == F.col("term")).alias("_plain")).distinct()
+        inner = found.where("NOT _plain").join(rows.select("id", F.lower(body).alias("_text")), "id").where(
+            F.expr(r"_text RLIKE concat('(^|[^\\p{L}\\p{N}])\\Q', replace(term, '\\E', '\\E\\\\E\\Q'), '\\E')")).drop("_text")
+        found = found.where("_plain").unionByName(inner).drop("_plain")
     else:
         tails = words.select("word").distinct().select("word", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda n: F.substring("word", n, F.lit(1 << 20)))).alias("tail"))
         grams = tails.select("word", "tail", F.left("tail", F.lit(2)).alias("head")).where("char_length(tail) >= 2")

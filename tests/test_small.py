@@ -136,3 +136,12 @@ def test_prompt_context(spark, seed, most):
     found = {r.prompt_id: (r.context, r.n_units, r.ids) for r in got.collect()}
     want = {p["prompt_id"]: plain_prompt(p, hits, summaries, seen, most) for p in prompts}
     assert found == {k: v for k, v in want.items() if v} and found
+
+
+def test_terms_with_punctuation_inside(spark):
+    from palimpsest.operators import recall
+
+    asked = spark.createDataFrame([(1, ["v1.2", "see"]), (2, ["a\\Eb"]), (3, ["1.2"])], "query_id int, terms array<string>")
+    texts = spark.createDataFrame([(1, "See v1.2 now"), (2, "v1x2 seen"), (3, "a\\e b")], "id int, t string")
+    got = recall.term_share(asked, F.col("terms"), texts, F.col("t"), starts=True)
+    assert rows(got.select("query_id", "id", "matched")) == [(1, 1, 2), (1, 2, 1)]
