@@ -12,7 +12,9 @@ All costs are laid out once as a table (context, byte) -> cost in each language,
 so scoring is array look-ups.  Bytes that training never saw share one symbol.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
-with nothing to learn from, every text is; ties go to the language first by name.
+with nothing to learn from, every text is; ties go to the language first by name.  Each row
+is scored by itself, also where it repeats another or has no id; texts of any length are scored whole, in
+chunks; an empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 

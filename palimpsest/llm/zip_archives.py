@@ -14,7 +14,8 @@ manifest are read, so a repeated task does no harm.
 Defined results: null html is an empty payload; of rows with one payload that
 with the smallest id is the response (rows repeating that id too, and rows
 without an id where no row of the payload has one); an empty table gives no
-package and no rows; urls with blanks or control characters are percent-encoded.
+package and no rows; urls with blanks or control characters are percent-encoded; a payload of
+any length is one record, whole in one task; other columns are not read.
 """
 from __future__ import annotations
 
