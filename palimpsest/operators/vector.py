@@ -93,3 +93,16 @@ def fill_diff(corpus: DataFrame, vectors: DataFrame, key: str = "id", digest: st
 def replace_family(vectors: DataFrame, added: DataFrame, parent: str = "parent_id") -> DataFrame:
     """Re-adding a parent drops all its old chunks."""
     return vectors.join(added.select(parent).distinct(), parent, "left_anti").unionByName(added)
+
+
+def vision_search(images: DataFrame, asked: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", session: str = "session_id") -> DataFrame:
+    """(query_id, doc_id, score): the best k images (1 to 50) of each query (query_id, embedding, session_id), of its session where it names one.
+
+    The session narrows before the limit: it is a join, and only images of asked sessions meet a query.
+    """
+    k = min(50, max(1, k))
+    own = asked.where(F.col(session).isNotNull()).select("query_id", F.col(column).alias("_asked"), F.col(session).alias("_s"))
+    near = images.select(F.col(key).cast("long").alias("doc_id"), column, session).join(own, F.col(session) == F.col("_s"))
+    near = near.where(F.size(column) == F.size("_asked")).select("query_id", "doc_id", F.round(scoring.cosine(F.col(column), F.col("_asked")), 6).alias("score"))
+    free = vector_search_many(images, asked.where(F.col(session).isNull()).select("query_id", column), k, key, column)
+    return top(near, k).unionByName(free)

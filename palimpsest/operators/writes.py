@@ -262,3 +262,33 @@ def lesson_save(lessons: DataFrame, arrivals: DataFrame, known_projects: DataFra
     actions = done.where("arrival IS NOT NULL").select("arrival", "action", "target").unionByName(
         asked.where("reason IS NOT NULL").select(F.col("id").alias("arrival"), F.col("reason").alias("action"), F.lit(None).cast("string").alias("target")))
     return after, actions
+
+
+# ---------------------------------------------------------------- versions
+
+
+def evolve(memories: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The memories after changes, (source_id, target_id, type, confidence) of their relations, and (id, error) of changes of unknown memories.
+
+    ``changes``: id (of the new version), memory_id, content, title (null: as before), at.  A change makes a version of
+    its memory, which is no longer the latest; it may name a version that another change of the batch makes, so changes
+    are applied in rounds, as many as versions build on each other.  Two changes of one memory both make the next version of it.
+    """
+    clean = changes.select("id", "memory_id", text.scrub(F.col("content")).alias("_content"), text.scrub(F.col("title")).alias("_title"), F.col("at").alias("_at"))
+    todo, now = written(clean, "changes"), written(memories, "memories")
+    found, kinds = [], dict(memories.dtypes)
+    while True:
+        ready = todo.join(now.withColumnRenamed("id", "_old"), F.col("memory_id") == F.col("_old"))
+        made = {"id": F.col("id"), "content": F.col("_content"), "title": F.coalesce(F.nullif("_title", F.lit("")), "title"), "version": F.coalesce("version", F.lit(1)) + 1, "parent_id": F.col("_old"),
+                "supersedes": F.concat(F.array("_old"), F.coalesce("supersedes", F.array().cast("array<string>"))), "is_latest": F.lit(True), "created_at": F.col("_at"), "updated_at": F.col("_at")}
+        new = written(ready.select(*[made.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in memories.columns]), "versions")
+        if new.isEmpty():
+            break
+        found.append(new.select("id", "parent_id"))
+        gone = new.select(F.col("parent_id").alias("_p")).distinct()
+        marked = now.join(gone, F.col("id") == F.col("_p"), "left").withColumn("is_latest", F.when(F.col("_p").isNotNull(), F.lit(False)).otherwise(F.col("is_latest"))).drop("_p")
+        now = written(marked.unionByName(new), "memories")
+        todo = written(todo.join(new.select("id"), "id", "left_anti"), "changes")
+    links = reduce(DataFrame.unionByName, found) if found else memories.select("id", F.col("id").alias("parent_id")).limit(0)
+    relations = links.select(F.col("id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("supersedes").alias("type"), F.lit(1.0).alias("confidence"))
+    return now, relations, todo.select("id", F.lit("memory not found").alias("error"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import clusters, context, facts, images, slots, writes
+from palimpsest.operators import clusters, context, facts, images, slots, vector, writes
 from palimpsest.sources import markdown
 from palimpsest.sources.shared import shared_path
 from palimpsest.sources.tables import table
@@ -250,3 +250,30 @@ def session_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = parts.select(F.col("p_type").alias("project"), F.lit("summary").alias("kind"), F.concat(F.lit("## "), "p_brand", F.lit(" "), F.col("p_partkey").cast("string"), F.lit("\n"), F.expr("repeat(concat(p_name, ' '), p_size)")).alias("content"),
                           F.col("p_retailprice").alias("recency"), F.array(F.col("p_partkey").cast("string")).alias("ids"))
     return context.session_context(blocks, 600, rules=rules).select("project", "n_blocks", "tokens", "context")
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS old,
+ count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) <= 4 AS first FROM orders)
+SELECT o_orderkey::VARCHAR AS id, r::INT AS version, CASE WHEN r > 1 THEN old::VARCHAR END AS parent_id, r = least(n, 4) AS is_latest, (r - 1)::INT AS n_superseded FROM o WHERE first""")
+def evolve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first order of a customer is a memory, the next three each a version of the one before."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").withColumns({"r": F.row_number().over(order), "old": F.lag("o_orderkey").over(order)}).where("r <= 4")
+    at = F.col("o_orderdate").cast("timestamp")
+    none = lambda kind: F.lit(None).cast(kind)
+    memories = rows.where("r = 1").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("content"), F.lit(1).alias("version"), none("string").alias("parent_id"),
+                                          F.array().cast("array<string>").alias("supersedes"), F.lit(True).alias("is_latest"), at.alias("created_at"), at.alias("updated_at"))
+    changes = rows.where("r > 1").select(F.col("o_orderkey").cast("string").alias("id"), F.col("old").cast("string").alias("memory_id"), F.col("o_orderstatus").alias("content"), none("string").alias("title"), at.alias("at"))
+    after, _, _ = writes.evolve(memories, changes)
+    return after.select("id", "version", "parent_id", "is_latest", F.size("supersedes").alias("n_superseded"))
+
+
+@query("""WITH q AS (SELECT b.item_id AS query_id, v.embedding, CASE WHEN v.label < 5 THEN v.label END AS session FROM (SELECT DISTINCT item_id FROM benchmark) b JOIN embeddings v ON v.vec_id = b.item_id),
+s AS (SELECT query_id, e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM q JOIN embeddings e ON q.session IS NULL OR e.label = q.session),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM s) SELECT query_id, doc_id, score FROM r WHERE n <= 10""")
+def vision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images of the session that their label names; items ask in the session of their own vector if it is below 5."""
+    images = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "session_id")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).distinct()
+    asked = images.join(items, "vec_id").select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("session_id") < 5, F.col("session_id")).alias("session_id"))
+    return vector.vision_search(images, asked)

@@ -156,3 +156,16 @@ def test_one_wording_holds_a_third(spark):
     after, done = writes.remember(spark.createDataFrame([], writes.MEMORY), arrivals)
     assert after.count() == 2001 and after.where("strength = 10").count() == 1
     assert done.where("action = 'reinforce'").count() == 999
+
+
+def test_evolve_in_chains_and_forks(spark):
+    kinds = "id string, title string, content string, version int, parent_id string, supersedes array<string>, is_latest boolean, created_at timestamp, updated_at timestamp, strength int"
+    stored = spark.createDataFrame([("m", "t", "old", None, None, None, True, T0, T0, 7), ("n", "u", "other", 3, "x", ["x"], True, T0, T0, 2)], kinds)
+    changes = spark.createDataFrame([("a", "m", "one", None, T0), ("b", "a", "two", "new title", T0), ("c", "a", "fork", "", T0), ("d", "nowhere", "?", None, T0), ("e", "d", "?", None, T0)], "id string, memory_id string, content string, title string, at timestamp")
+    after, relations, errors = writes.evolve(stored, changes)
+    got = {r.id: (r.title, r.content, r.version, r.parent_id, r.supersedes, r.is_latest, r.strength) for r in after.collect()}
+    assert got == {"m": ("t", "old", None, None, None, False, 7), "n": ("u", "other", 3, "x", ["x"], True, 2), "a": ("t", "one", 2, "m", ["m"], False, 7),
+                   "b": ("new title", "two", 3, "a", ["a", "m"], True, 7), "c": ("t", "fork", 3, "a", ["a", "m"], True, 7)}
+    assert sorted(tuple(r)[:2] for r in relations.collect()) == [("a", "m"), ("b", "a"), ("c", "a")] and sorted(r.id for r in errors.collect()) == ["d", "e"]
+    after, relations, _ = writes.evolve(stored, changes.limit(0))
+    assert after.count() == 2 and relations.count() == 0
