@@ -58,12 +58,13 @@ DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-])?(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,200}|(?=[A-Za-z]*[0-9])[A-Za-z0-9]{6,7})(?![A-Za-z0-9+/_=-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 IP = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])")
-IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:.])")
+FULL_IP6 = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}")
+HEX_OR_COLON = set("0123456789abcdefABCDEF:")
 # Country calling codes of one and two digits; all others have three.
 ONE_DIGIT, TWO_DIGITS = "17", set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 PHONE = re.compile(r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
-                   r"|(?<![\w(+])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.+-])[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}(?![0-9-])"
-                   r"|(?<![\w.+/-])0[1-9][0-9]{1,4}[ /-][0-9]{5,9}(?![\w-])")
+                   r"|(?<![\w(+])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.+-])[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}(?![0-9-])")
+NATIONAL = re.compile(r"0[1-9][0-9]{1,4}[ /-][0-9]{5,9}")
 CARD = re.compile(r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 WORD = re.compile(r"[^\W\d_]+")
@@ -82,8 +83,10 @@ GIVEN = {
 }
 LOWER_TITLES = set("monsieur madame mademoiselle señor señora señorita don doña господин госпожа κύριος κύριο κυρία".split())  # written without a capital too
 # Words after which a capitalised run is a person: greetings, farewells and introductions, fixed values.
-CUES = re.compile(r"(?i)(?<![^\W\d_])(?:dear|hi|hello|regards|sincerely|cheers|my name is|i am called|liebe|lieber|grüße|ich heiße|mein name ist|cher|chère|cordialement|je m'appelle|querido|querida|estimado|estimada|saludos|me llamo|mi nombre es)"
-                  r"[ ,\n]{1,3}(?=([^\W\d_]))")
+CUES = ("dear;hi;hello;regards;sincerely;cheers;my name is;i am called;liebe;lieber;grüße;ich heiße;mein name ist;cher;chère;cordialement;je m'appelle;"
+        "querido;querida;estimado;estimada;saludos;me llamo;mi nombre es").split(";")
+# Written small or with a capital; without a look behind, so that a search skips to their first letters.
+CUE = re.compile("(?:" + "|".join(sorted({re.escape(w) for c in CUES for w in (c, c[0].upper() + c[1:])}, reverse=True)) + r")[ ,\n]{1,3}(?=([^\W\d_]))")
 TITLE_OF = {w: g for g, words in TITLES.items() for w in words.split()}
 GIVEN_OF = {w: g for g, words in GIVEN.items() for w in words.split()}
 
@@ -102,11 +105,11 @@ def iban_rest(country: str, check: str, body: str) -> int:
 
 
 def ip_address_6(text: str) -> str:
-    """All eight groups of an address, four digits each; an address that is none stays as it is."""
+    """All eight groups of an address, four digits each; empty if it is none."""
     try:
         return IPv6Address(text).exploded.lower()
     except ValueError:
-        return text.lower()
+        return ""
 
 
 def script_of(word: str) -> str:
@@ -126,19 +129,48 @@ def _emails(text: str) -> Iterator[tuple[int, int, str, str]]:
         at = text.find("@", at + 1)
 
 
+def beside(text: str, start: int, end: int, more: str) -> bool:
+    """Whether a letter, a digit or one of some characters stands right before or behind a stretch."""
+    around = (text[start - 1] if start else " ") + (text[end] if end < len(text) else " ")
+    return around[0].isalnum() or around[1].isalnum() or around[0] in more or around[1] in more.replace(".", "")
+
+
+def _addresses_6(text: str) -> Iterator[tuple[int, int, str, str]]:
+    if text.count(":") < 2:
+        return
+    spots = {m.start() for m in FULL_IP6.finditer(text)} if text.count(":") >= 7 else set()
+    at = text.find("::")
+    while at >= 0:
+        spots.add(at)
+        at = text.find("::", at + 2)
+    done = 0
+    for at in sorted(spots):
+        start = end = at
+        while start > done and text[start - 1] in HEX_OR_COLON and at - start < 40:
+            start -= 1
+        while end < len(text) and text[end] in HEX_OR_COLON and end - at < 40:
+            end += 1
+        found = text[start:end]
+        if sum(map(bool, found.split(":"))) >= 3 and any(c.isdigit() for c in found) and not beside(text, start, end, ":"):
+            value = ip_address_6(found)
+            if value:
+                yield start, end, "ip6", value
+        done = max(done, end)
+
+
 def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in IP.finditer(text):
         if all(int(o) < 256 for o in m.group().split(".")):
             yield *m.span(), "ip", ".".join(str(int(o)) for o in m.group().split("."))
-    for m in IP6.finditer(text):
-        groups = [g for g in m.group().split(":") if g]
-        if len(groups) >= 3 and ("::" in m.group() or len(groups) == 8) and m.group().count("::") < 2:
-            yield *m.span(), "ip6", ip_address_6(m.group())
+    yield from _addresses_6(text)
+    for m in NATIONAL.finditer(text):
+        if not beside(text, *m.span(), "_.+/-") and 8 <= len(digits := re.sub("[^0-9]", "", m.group())) <= 15:
+            yield *m.span(), "phone", f"0|{digits}"
     for m in PHONE.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
         if 8 <= len(digits) <= 15:
             code = 0 if m.group()[0] != "+" else 1 if digits[0] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
-            yield *m.span(), "phone", f"{digits[:code] or ('0' if digits[0] == '0' else '1')}|{digits[code:]}"
+            yield *m.span(), "phone", f"{digits[:code] or '1'}|{digits[code:]}"
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
         if luhn_digit(digits[:-1]) == digits[-1] and digits[0] != "0":
@@ -157,10 +189,15 @@ def usual(name: str) -> str:
     return GIVEN_OF.get(name, "family")
 
 
+def cues_in(text: str) -> set[int]:
+    """Where a capitalised word follows a greeting, a farewell or an introduction."""
+    return {m.end() for m in CUE.finditer(text) if m.group(1).isupper() and not (m.start() and text[m.start() - 1].isalpha())}
+
+
 def _persons(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """One mention for each name: value is "<script>:<name>", with how it is used there (m, f or family)."""
     words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-    cued = {m.end() for m in CUES.finditer(text) if m.group(1).isupper()}
+    cued = cues_in(text)
     known: dict[str, str] = {}
 
     def gap(i: int) -> str:
@@ -204,7 +241,7 @@ def used_mentions(text: str | None) -> list[tuple]:
         found += _numbers(text)
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret", m.group(1)) for m in SECRET.finditer(text)]
-    if PERSON_HINT.search(text) or CUES.search(text):
+    if PERSON_HINT.search(text) or cues_in(text):
         found += _persons(text)
     if len(found) < 2:
         return found
@@ -297,7 +334,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int, use: str | None =
         octets = [s.below(256) if more else least[len(o)] + s.below(most[len(o)] - least[len(o)] + 1) for o in value.split(".")]
         return ".".join(map(str, octets + [attempt] * (more > WIDEN)))
     if kind == "ip6":
-        return ":".join(f"{(0 if int(g, 16) == 0 and not more else s.below(65536)):04x}" for g in value.split(":")) if value.count(":") == 7 and "::" not in value else like(s, value, True) + tail(LOWER)
+        return ":".join(f"{(0 if int(g, 16) == 0 and not more else s.below(65536)):04x}" for g in value.split(":"))
     if kind == "phone":
         code, rest = value.split("|")
         return code + "|" + ("0" if rest[:1] == "0" else "") + s.of("23456789") + "".join(s.of(DIGITS) for _ in rest[2 if rest[:1] == "0" else 1:]) + tail(DIGITS)
@@ -347,10 +384,7 @@ def replaced(kind: str, value: str, mention: str, key: bytes, attempts: dict[tup
 
 def as_written(address: str, mention: str) -> str:
     """An address in full, or short as the mention is, in its case."""
-    try:
-        out = IPv6Address(address).compressed if "::" in mention or len(mention) < 39 else address
-    except ValueError:
-        out = address
+    out = IPv6Address(address).compressed if "::" in mention or len(mention) < 39 else address
     return out.upper() if mention.isupper() else out
 
 
