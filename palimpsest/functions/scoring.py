@@ -18,6 +18,11 @@ def age_days(ts: Column, now: Column) -> Column:
     return (seconds(now) - seconds(ts)) / 86400.0
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """As doubles divide: by zero gives infinity, zero by zero no number."""
+    return F.when(b == 0, F.signum(a) * F.lit(float("inf"))).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
 def bm25(tf: Column, length: Column, df: Column, n: Column, average: Column) -> Column:
     idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
@@ -69,12 +74,13 @@ def reinforced(confidence: Column) -> Column:
 
 
 def core_entry(importance: Column, days: Column, uses: Column) -> Column:
-    return 0.5 * importance / 10 + 0.3 / (1 + 0.1 * days) + 0.2 * F.log2(uses + 1.0) / 10
+    """An access ten days ahead of now scores infinity, as nothing divides it."""
+    return 0.5 * importance / 10 + quotient(F.lit(0.3), 1 + 0.1 * days) + 0.2 * F.log2(uses + 1.0) / 10
 
 
 def aged(confidence: Column, share: Column, days: Column) -> Column:
     """Confidence times the matched share of a query, fading by a hundredth a day."""
-    return confidence * share / (1 + 0.01 * days)
+    return quotient(confidence * share, 1 + 0.01 * days)
 
 
 def edge_cost(weight: Column) -> Column:

@@ -20,6 +20,15 @@ def test_budget_fold_skips_what_does_not_fit(spark):
     assert got == {("a", 1): (True, 5), ("a", 2): (False, 5), ("a", 3): (True, 104), ("a", 4): (True, 109), ("b", 1): (False, 0), ("b", 2): (True, 10), ("b", 3): (False, 10), (None, 1): (True, 1)}
 
 
+def test_entries_accessed_ten_days_ahead_come_first(spark):
+    now = F.lit(datetime.datetime(2024, 1, 1))
+    rows = [("o", "a", "aaa", 9.0, False, 3, T0), ("o", "b", "bbb", 1.0, False, 0, T0 + datetime.timedelta(days=10)), ("o", "c", "ccc", 1.0, True, 0, T0)]
+    core = spark.createDataFrame(rows, "owner string, id string, content string, importance double, pinned boolean, n_access int, accessed_at timestamp")
+    none = spark.createDataFrame([], "owner string, id string, type string, title string, content string, strength double, updated_at timestamp")
+    assert context.working_context(core, none, 100, now).first()["context"] == "## Core Memory\n- ccc\n- bbb\n- aaa"
+    assert [r.id for r in context.paged_out(core, 7, now).orderBy("id").collect()] == ["a"]
+
+
 def prose(rng, n):
     return "".join(rng.choices("abc déf\n", k=n)).strip() or "x"
 

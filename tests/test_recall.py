@@ -115,6 +115,8 @@ def test_scores(spark):
     assert value(scoring.relation_confidence(F.lit(0), F.lit(100), F.lit(200), F.lit("contradicts"))) == pytest.approx(0.35)
     assert value(scoring.core_entry(F.lit(10.0), F.lit(0.0), F.lit(1))) == pytest.approx(0.5 + 0.3 + 0.02)
     assert value(scoring.aged(F.lit(0.8), F.lit(0.5), F.lit(100.0))) == pytest.approx(0.2)
+    assert value(scoring.aged(F.lit(0.8), F.lit(0.5), F.lit(-100.0))) == float("inf")
+    assert value(scoring.core_entry(F.lit(10.0), F.lit(-10.0), F.lit(1))) == float("inf")
     assert value(scoring.reinforced(F.lit(0.5))) == pytest.approx(0.55)
 
 
