@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
+from palimpsest.operators import graph
+from palimpsest.sources.shared import written
 
 
 def contradictions(memories: DataFrame, newest: int = 1000, above: float = 0.9, key: str = "id", body: str = "content", concepts: str = "concepts", order: str = "created_at") -> DataFrame:
@@ -67,6 +69,17 @@ def twins(rows: DataFrame, alike: float = 0.5, key: str = "id", words: str = "wo
     return found.select("id_a", "id_b", score.alias("similarity")).where(F.col("similarity") >= alike)
 
 
+def prefixes(rows: DataFrame, alike: float) -> DataFrame:
+    """(id, size, word, at, n): the first words of each set (id, words) in the order of rarity, of which sets that are alike share one.
+
+    ``at`` counts all words of the set; words of one set only are left out.
+    """
+    each = rows.select("id", F.size("words").alias("size"), F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    placed = each.join(counts, "word").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("n", "word")))
+    return placed.where((F.col("at") <= F.col("size") - F.ceil(alike * F.col("size")) + 1) & (F.col("n") > 1))
+
+
 def shared_counts(rows: DataFrame, alike: float, key: str = "id", words: str = "words") -> DataFrame:
     """(id_a, id_b, shared, total) for pairs of rows that may be alike: sizes of intersection and union.
 
@@ -74,13 +87,46 @@ def shared_counts(rows: DataFrame, alike: float, key: str = "id", words: str = "
     n - ceil(alike * n) + 1 words, so only those are joined.
     """
     rows = rows.select(F.col(key).alias("id"), F.array_distinct(F.col(words)).alias("words"))
-    each = rows.select("id", F.explode("words").alias("word"))
-    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    placed = each.join(counts, "word").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("n", "word")))
-    sizes = rows.select("id", F.size("words").alias("size"))
-    heads = placed.join(sizes, "id").where(F.col("at") <= F.col("size") - F.ceil(alike * F.col("size")) + 1).select("id", "word", "size")
+    heads = prefixes(rows, alike).select("id", "word", "size")
     a, b = heads.select(F.col("id").alias("id_a"), "word", F.col("size").alias("size_a")), heads.select(F.col("id").alias("id_b"), "word", F.col("size").alias("size_b"))
     near = (F.col("id_a") < F.col("id_b")) & (F.least("size_a", "size_b") >= alike * F.greatest("size_a", "size_b"))
-    pairs = a.join(b, "word").where(near).select("id_a", "id_b").distinct()
-    full = pairs.join(rows.toDF("id_a", "words_a"), "id_a").join(rows.toDF("id_b", "words_b"), "id_b")
+    return overlaps(a.join(b, "word").where(near).select("id_a", "id_b").distinct(), rows)
+
+
+def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id_a, id_b, shared, total) of pairs of rows (id, words)."""
+    full = pairs.join(rows.select(F.col("id").alias("id_a"), F.col("words").alias("words_a")), "id_a").join(rows.select(F.col("id").alias("id_b"), F.col("words").alias("words_b")), "id_b")
     return full.select("id_a", "id_b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), F.size(F.array_union("words_a", "words_b")).alias("total"))
+
+
+def ties(rows: DataFrame, alike: float, scope: str) -> DataFrame:
+    """(src, dst): links between rows (id, words, group, scope) that reach what the links of all pairs from ``alike`` on reach.
+
+    Rows meet within a group and a scope; those whose scope is null meet all of the group.  First each row is compared with one other
+    that shares most of its prefixes; pairs that these links join already are compared no more, so a group of many copies that are alike costs
+    a link each instead of one a pair.
+    """
+    rows = written(rows.select("id", "group", F.col(scope).alias("scope"), F.array_distinct("words").alias("words")), "sets")
+    placed = prefixes(rows, alike).join(rows.select("id", "group", "scope"), "id")
+    heads = written(placed.select("id", "group", "scope", "word", "size", "at"), "prefixes")
+    good = lambda pairs: overlaps(pairs, rows).where(F.round(F.col("shared") / F.col("total"), 6) >= alike).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+
+    meeting = ["word", "group", "scope"]
+    firsts = heads.groupBy(*meeting).agg(F.min(F.struct("id", "size")).alias("f"), F.max("id").alias("last")).where("f.id < last")
+    same = [heads[c].eqNullSafe(firsts[c]) for c in meeting]
+    near = F.least("size", "f.size") >= alike * F.greatest("size", "f.size")
+    named = heads.join(firsts, same[0] & same[1] & same[2]).where((F.col("id") != F.col("f.id")) & near).groupBy("id", F.col("f.id").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    stars = written(good(named.groupBy("id").agg(F.max_by("other", F.struct("n", "other")).alias("other")).select(F.col("other").alias("id_a"), F.col("id").alias("id_b"))), "stars")
+
+    parts = written(graph.connected(stars), "parts")
+    heads = heads.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
+    open_words = heads.groupBy("word", "group").agg(F.min("part").alias("_a"), F.max("part").alias("_z")).where("_a < _z").select("word", "group")
+    heads = written(heads.join(open_words, ["word", "group"], "left_semi"), "open-prefixes")
+    a, b = (heads.select("word", "group", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "scope", "size", "at", "part")]) for x in "ab")
+    # the rest after the first word shared bounds what can be shared
+    rest = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    may = (F.col("part_a") != F.col("part_b")) & (F.least("size_a", "size_b") >= alike * F.greatest("size_a", "size_b")) & (rest >= alike / (1 + alike) * (F.col("size_a") + F.col("size_b")) - 1e-3)
+    met = lambda x, y, on: x.join(y, (x["word"] == y["word"]) & (x["group"] == y["group"]) & on).where(may).select("id_a", "id_b")
+    within = met(a, b, F.col("scope_a").eqNullSafe(F.col("scope_b"))).where("id_a < id_b")
+    across = met(a.where("scope_a IS NULL"), b.where("scope_b IS NOT NULL"), F.lit(True))
+    return stars.unionByName(good(written(within.unionByName(across).distinct(), "candidates")))

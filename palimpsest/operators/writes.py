@@ -55,16 +55,12 @@ def grouped_by_likeness(rows: DataFrame, least: float) -> DataFrame:
     firsts = said.groupBy("said").agg(F.min("_node").alias("dst"))
     same = said.join(firsts, "said").select(F.col("_node").alias("src"), "dst")
     sets = nodes.where(F.size("words") > 0).withColumn("_set", F.xxhash64("words"))
-    pairs = similarity.twins(sets.groupBy("_set").agg(F.first("words").alias("words")), least, "_set", "words").select("id_a", "id_b")
-    pairs = written(pairs.unionByName(sets.select(F.col("_set").alias("id_a"), F.col("_set").alias("id_b")).distinct()), "alike")
     # one node stands for a set within a project
     heads = written(sets.groupBy("_set", "project", "global").agg(F.min("_node").alias("head")), "heads")
     mine = sets.join(heads, (sets["_set"] == heads["_set"]) & sets["project"].eqNullSafe(heads["project"]) & (sets["global"] == heads["global"])).select(F.col("_node").alias("src"), F.col("head").alias("dst"))
-    a, b = (heads.select(F.col("_set").alias(f"id_{x}"), F.col("project").alias(f"project_{x}"), F.col("global").alias(f"global_{x}"), F.col("head").alias(f"head_{x}")) for x in "ab")
-    meet = lambda a, b, on: pairs.join(a, "id_a").join(b, on & (F.col("global_a") == F.col("global_b")) & (pairs["id_b"] == b["id_b"]))
-    near = [meet(a, b, F.col("project_a").eqNullSafe(F.col("project_b"))), meet(a.where("project_a IS NULL"), b, F.lit(True)), meet(a, b.where("project_b IS NULL"), F.lit(True))]
-    edges = [e.select(F.col("head_a").alias("src"), F.col("head_b").alias("dst")) for e in near]
-    parts = graph.connected(reduce(DataFrame.unionByName, [same, mine, *edges]).where("src <> dst"))
+    met = heads.select(F.col("head").alias("_node"), F.col("global").alias("group"), "project").join(nodes.select("_node", "words"), "_node").withColumnRenamed("_node", "id")
+    near = similarity.ties(met, least, "project")
+    parts = graph.connected(reduce(DataFrame.unionByName, [same, mine, near]).where("src <> dst"))
     return rows.join(parts, F.col("_node") == F.col("node"), "left").withColumn("component", F.coalesce("component", "_node")).drop("_node", "node")
 
 

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from palimpsest.operators import writes
+from palimpsest.operators import similarity, writes
 
 T0 = datetime.datetime(2024, 1, 1)
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split()
@@ -31,6 +31,18 @@ def dates(t):
     return set(re.findall(r"\b\d{4}-\d{2}-\d{2}\b", t))
 
 
+def test_copies_that_are_alike_cost_a_link_each(spark):
+    rows = [(i, "g", "p", [f"w{j}" for j in range(40)] + [f"own{i}"]) for i in range(40)]
+    rows += [(i, "g", None if i == 50 else "q", [f"v{j}" for j in range(40)] + [f"own{i}"]) for i in range(50, 53)] + [(60, "h", "p", rows[0][3])]
+    links = similarity.ties(spark.createDataFrame(rows, "id long, group string, project string, words array<string>"), 0.7, "project").collect()
+    parts = {i: i for i, *_ in rows}
+    for link in links:
+        old, new = sorted((parts[link.src], parts[link.dst]), reverse=True)
+        parts = {i: new if p == old else p for i, p in parts.items()}
+    assert parts == {i: 0 if i < 40 else 50 if i < 53 else 60 for i in parts}
+    assert len(links) < 60
+
+
 def remember_one_by_one(memories, arrivals):
     """(memories by id, actions) of plain loops over the whole store."""
     store, actions = {m["id"]: dict(m) for m in memories}, {}
