@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, text
 from palimpsest.operators import fusion, similarity
+from palimpsest.sources.shared import written
 
 
 # ---------------------------------------------------------------- joins
@@ -154,6 +155,24 @@ def share_recall(matched: DataFrame, rows: DataFrame, weight: str, days: str | N
     return best(each.select("query_id", "id", F.round(score, 6).alias("score")), k)
 
 
+def share_search(queries: DataFrame, terms: Column, rows: DataFrame, body: Column, weight: str, days: str | None = None, starts: bool = False, k: int = 10) -> DataFrame:
+    """``share_recall`` of ``term_share``: (query_id, id, score) of rows (id, weight, days and what ``body`` uses).
+
+    Queries meet distinct texts.  The k weightiest rows of each text give the kth best score of each query, and only rows
+    that reach it are dealt by query.
+    """
+    rows = rows.select("id", F.col(weight).alias("weight"), *([F.col(days).alias("days")] if days else []), F.lower(body).alias("text"))
+    matched = term_share(queries, terms, rows.select(F.col("text").alias("id")).distinct(), F.col("id"), starts)
+    matched = written(matched.select("query_id", F.col("id").alias("text"), (F.col("matched") / F.col("n_terms")).alias("share")), "matched-texts")
+    score = lambda share: F.col("weight") * share if days is None else scoring.aged(F.col("weight"), share, F.col("days"))
+    first = Window.partitionBy("text").orderBy(score(F.lit(1.0)).desc(), "id")
+    tops = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).join(matched, "text").select("query_id", "id", F.round(score(F.col("share")), 6).alias("score"))
+    least = best(tops, k).groupBy("query_id").agg(F.when(F.count("score") == k, F.min("score")).alias("_least"))
+    asked = written(matched.join(least, "query_id"), "matched-texts")
+    hits = rows.join(asked, "text").select("query_id", "id", F.round(score(F.col("share")), 6).alias("score"), "_least")
+    return best(hits.where(F.col("_least").isNull() | (F.col("score") >= F.col("_least"))).drop("_least"), k)
+
+
 def best(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")

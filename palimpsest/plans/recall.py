@@ -486,8 +486,7 @@ SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query
 def shares(spark: SparkSession, sf_dir: str, longer: int, days: str | None, starts: bool) -> DataFrame:
     rows = record(spark, sf_dir, "lessons")
     terms = recall.semantic_terms(F.col("text")) if starts else recall.split_terms(F.col("text"), longer)
-    matched = recall.term_share(asked_words(spark, sf_dir), terms, rows, F.concat_ws(" ", "content", "context"), starts)
-    return recall.share_recall(matched, rows.select("id", "confidence", "days"), "confidence", days)
+    return recall.share_search(asked_words(spark, sf_dir), terms, rows, F.concat_ws(" ", "content", "context"), "confidence", days, starts)
 
 
 @query(share_sql(1, "confidence", " / (1 + 0.01 * days)", "contains(body, x)"))

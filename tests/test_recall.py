@@ -1,5 +1,6 @@
 """Hand-made cases of text pieces, scopes and recalls."""
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,16 @@ def test_uncovered(spark):
 
     rows = spark.createDataFrame([("s", 1), ("s", 2), ("t", 1)], "session_id string, id long")
     assert sorted(tuple(r) for r in marks.uncovered(rows, rows.where("id = 2"), "session_id", "id").collect()) == [("s", 1), ("t", 1)]
+
+
+def test_share_search_equals_scores_of_all_rows(spark):
+    rng = random.Random(3)
+    said = ["red fox", "red dog runs", "old fox and dog", "nothing", "fox"]
+    rows = spark.createDataFrame([(i, rng.choice(said), rng.choice([0.2, 0.5, 0.5000001, 0.9, None]), float(rng.choice([0, 10, 500, -100]))) for i in range(300)], "id int, body string, weight double, days double")
+    asked = spark.createDataFrame([("a", "red fox"), ("b", "dog"), ("c", "fox runs old"), ("d", "absent")], "query_id string, text string")
+    for days in (None, "days"):
+        terms = recall.split_terms(F.col("text"), 2)
+        want = recall.share_recall(recall.term_share(asked, terms, rows, F.col("body")), rows, "weight", days, 7)
+        got = recall.share_search(asked, terms, rows, F.col("body"), "weight", days, k=7)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert got.count() == 21
