@@ -91,6 +91,19 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def term_frequency(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
+    """(term, df) of documents as ``build_index`` has it, without an index: each term is counted once a document before it is dealt.
+
+    Rows that share an id are one document if they have as many tokens, as in the postings.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(column).alias("text"))
+    twice = written(rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "repeated-ids")
+    same, tokens = rows["doc_id"].eqNullSafe(twice["_id"]), text.tokens(F.col("text"))
+    once = rows.join(twice, same, "left_anti").select(F.explode(F.array_distinct(tokens)).alias("term"))
+    more = rows.join(twice, same, "left_semi").select("doc_id", F.size(tokens).alias("len"), F.explode(tokens).alias("term")).distinct().select("term")
+    return document_frequency(once.unionByName(more))
+
+
 def vocabulary(frequency: DataFrame) -> DataFrame:
     """(term, df, stem): the stemmer sees every distinct word once."""
     return frequency.select("term", "df", text.stem_column(F.col("term")).alias("stem"))

@@ -105,3 +105,10 @@ def test_the_index_of_a_directory_follows_its_files(spark, tmp_path):
     table(spark, [(1, "alpha"), (2, "beta")]).write.mode("overwrite").parquet(f"{path}/documents.parquet")
     assert retrieval.document_index(spark, path).n == 2
     assert retrieval.document_index(spark, path) is retrieval.document_index(spark, path)
+
+
+def test_frequencies_without_an_index(spark, monkeypatch):
+    rows = [(1, "alpha beta alpha"), (2, "beta"), (3, None), (4, "alpha beta"), (4, "beta alpha"), (4, "beta"), (None, "gamma"), (None, "gamma")]
+    want = lexical.build_index(table(spark, rows)).frequency.collect()
+    monkeypatch.setattr(lexical, "postings", None)
+    assert sorted(map(tuple, lexical.term_frequency(table(spark, rows)).collect())) == sorted(map(tuple, want)) == [("alpha", 2), ("beta", 4), ("gamma", 1)]
