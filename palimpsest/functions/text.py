@@ -103,9 +103,7 @@ NOT_TOKEN = r"[^\p{L}\p{N}/.\\\]^_]+"
 
 def tokens(text: Column) -> Column:
     """Lower-case search tokens of two characters or more; hyphens split, ``/ . \\ ] ^ _`` stay. Null: none."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_TOKEN, " ")
-    longer = F.regexp_replace(spaced, "(?<![^ ])[^ ](?![^ ])", "")  # tokens of one character go
-    return F.array_remove(F.split(longer, " +"), "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_TOKEN), lambda t: F.char_length(t) >= 2)
 
 
 def cjk_tokens(text: Column) -> Column:

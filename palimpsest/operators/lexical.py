@@ -1,12 +1,12 @@
 """Field-weighted BM25 over documents, for any number of queries in one job.
 
-An index is written once: postings laid out by term, the frequency and stem of every
-term, and the corpus statistics, which always cover all documents.  Terms are counted
-inside each document before they are dealt, and every term is spread over ``SPREAD``
-places, so that common terms don't gather in one task.
+An index is written once: postings in buckets by document, the frequency of every
+term, and the corpus statistics, which always cover all documents.  A bucket holds a bounded
+number of documents with all their terms, so common terms don't gather in one task.
 
 A search writes the terms it asks for, whose size is then known: while they are small
-enough for Spark to broadcast, neither postings nor vocabulary are shuffled, only hits.
+enough for Spark to broadcast, neither postings nor vocabulary are shuffled, and hits are
+summed up and ranked in the bucket of their document; only the best are exchanged.
 
 ``MutableIndex`` keeps segments of postings under a folder and takes batches of
 additions, replacements and removals.
@@ -25,7 +25,7 @@ from palimpsest.functions import scoring, text
 from palimpsest.sources.shared import shared_path, written
 
 RAREST = 25
-SPREAD = 16
+BUCKET = 8192
 
 
 def weighted_tokens(fields: dict[str, float | Column], tokens=text.tokens) -> Column:
@@ -60,17 +60,18 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def postings(docs: DataFrame, doc_id: str, fields: dict[str, float | Column], dates: str | None = None, cjk: bool = False) -> DataFrame:
+def postings(docs: DataFrame, doc_id: str, fields: dict[str, float | Column], dates: str | None = None, cjk: bool = False, parts: int | None = None) -> DataFrame:
     """(doc_id, len, term, tf, hits): weights scale tf only, len and hits count tokens.
 
-    Documents are dealt before they are cut into tokens, so one exchange of whole texts serves the counts.
+    Documents are dealt before they are cut into tokens, so one exchange of whole texts serves the counts; with ``parts``
+    into that many.  ``explode_outer`` keeps Spark from testing for tokens, and so cutting every text, before the exchange as well.
     With ``dates``, the terms of a document's day are added with tf 1 and no hits; ``cjk`` cuts runs of
     Han, Kana and Hangul into pairs.
     """
     names = list(dict.fromkeys([*fields, *([dates] if dates else [])]))
     weights = {f"_w{i}": w for i, w in enumerate(fields.values()) if isinstance(w, Column)}
     rows = docs.select(F.col(doc_id).alias("_id"), *[F.col(c) for c in names], *[w.alias(c) for c, w in weights.items()])
-    rows = rows.repartition(width(docs.sparkSession), "_id")
+    rows = rows.repartition(parts or width(docs.sparkSession), "_id")
     dealt = {name: F.col(f"_w{i}") if isinstance(w, Column) else w for i, (name, w) in enumerate(fields.items())}
     tokens = weighted_tokens(dealt, text.cjk_tokens if cjk else text.tokens)
     all_terms = F.transform(tokens, lambda t: F.struct(t.term.alias("term"), t.w.alias("w"), F.lit(1).alias("hit")))
@@ -78,13 +79,21 @@ def postings(docs: DataFrame, doc_id: str, fields: dict[str, float | Column], da
         days = F.transform(text.date_terms(F.col(dates)), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w"), F.lit(0).alias("hit")))
         all_terms = F.concat(all_terms, days)
     rows = rows.select(F.col("_id").alias("doc_id"), all_terms.alias("t"))
-    rows = rows.select("doc_id", F.size(F.filter("t", lambda t: t.hit == 1)).alias("len") if dates else F.size("t").alias("len"), F.explode("t").alias("t"))
+    rows = rows.select("doc_id", F.size(F.filter("t", lambda t: t.hit == 1)).alias("len") if dates else F.size("t").alias("len"), F.explode_outer("t").alias("t")).where("t IS NOT NULL")
     return rows.groupBy("doc_id", "len", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"), F.sum(F.col("t.hit").cast("long")).alias("hits"))
 
 
-def laid_out(posts: DataFrame) -> DataFrame:
-    """Postings ordered by term in every file, each term over at most ``SPREAD`` of them, so that a reader can skip most row groups."""
-    return posts.repartition(width(posts.sparkSession), F.col("term"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("term")
+def buckets(spark: SparkSession, n: int) -> int:
+    """Buckets for n documents: a bounded number of documents each, and work for every core."""
+    return max(width(spark), -(-n // BUCKET))
+
+
+def bucketed(posts: DataFrame, name: str, parts: int) -> DataFrame:
+    """Postings written in buckets by document, so what is summed up for a document meets without an exchange."""
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = shared_path(posts.sparkSession, name)
+    posts.write.bucketBy(parts, "doc_id").option("path", path).format("parquet").saveAsTable(table)
+    return posts.sparkSession.table(table)
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -105,16 +114,17 @@ def term_frequency(docs: DataFrame, doc_id: str = "doc_id", column: str = "text"
 
 
 def vocabulary(frequency: DataFrame) -> DataFrame:
-    """(term, df, stem): the stemmer sees every distinct word once."""
+    """(term, df, stem): the stemmer sees every distinct word once, and none where stems are not asked for."""
     return frequency.select("term", "df", text.stem_column(F.col("term")).alias("stem"))
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", fields: dict[str, float | Column] | None = None, dates: str | None = None, cjk: bool = False) -> Index:
     """Writes the index of all documents."""
-    posts = written(laid_out(postings(docs, doc_id, fields or {"text": 1.0}, dates, cjk)), "postings")
     n = docs.count()
+    parts = buckets(docs.sparkSession, n)
+    posts = bucketed(postings(docs, doc_id, fields or {"text": 1.0}, dates, cjk, parts), "postings", parts)
     total = posts.agg(F.sum("hits")).first()[0] or 0
-    return Index(posts, written(vocabulary(document_frequency(posts)), "vocabulary"), n, total / n if n else None)
+    return Index(posts, vocabulary(written(document_frequency(posts), "vocabulary")), n, total / n if n else None)
 
 
 def query_terms(queries: DataFrame, query_id: str, query: str, cjk: bool = False) -> DataFrame:
@@ -136,14 +146,13 @@ def rarest(terms: DataFrame, frequency: DataFrame, most: int = RAREST) -> DataFr
 
 
 def prefix_expansions(terms: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(query_id, query_term, w, term, df): vocabulary that strictly extends a query term.
+    """(query_term, term, df): vocabulary that strictly extends a term asked for.
 
     The vocabulary lists its own proper prefixes, so this is an equi-join.
     """
     longer = frequency.where(F.char_length("term") > 2).select("term", "df", F.explode(F.transform(
         F.sequence(F.lit(2), F.char_length("term") - 1), lambda n: F.left(F.col("term"), n))).alias("query_term"))
-    asked = terms.select("query_id", F.col("term").alias("query_term"), "w")
-    return asked.join(longer, "query_term")
+    return longer.join(terms.select(F.col("term").alias("query_term")).distinct(), "query_term")
 
 
 def search(index: Index | DataFrame, queries: DataFrame, k: int | None = 20, doc_id: str = "doc_id", fields: dict[str, float | Column] | None = None,
@@ -169,11 +178,12 @@ def search(index: Index | DataFrame, queries: DataFrame, k: int | None = 20, doc
     found = index.postings.join(weighted, "term").withColumn("score", scoring.bm25(F.col("tf"), F.col("len"), F.col("df"), n, average) * F.col("w"))
     found = found.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     if prefix:
+        # what extends a term is scored once a document, however many queries ask for the term
         longer = written(prefix_expansions(asked, index.frequency), "prefix-terms")
-        hits = index.postings.join(longer, "term")
-        hits = hits.withColumn("score", 0.5 * scoring.bm25(F.col("tf"), F.col("len"), F.col("df"), n, average) * F.col("w"))
-        hits = hits.groupBy("query_id", "doc_id", "query_term").agg(F.max("score").alias("score"))
-        found = found.unionByName(hits.select("query_id", "doc_id", "score")).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+        hits = index.postings.join(longer, "term").withColumn("score", scoring.bm25(F.col("tf"), F.col("len"), F.col("df"), n, average))
+        best = hits.groupBy("doc_id", "query_term").agg(F.max("score").alias("score"))
+        best = best.join(asked.select("query_id", F.col("term").alias("query_term"), "w"), "query_term")
+        found = found.unionByName(best.select("query_id", "doc_id", (0.5 * F.col("score") * F.col("w")).alias("score"))).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return top(found.withColumn("score", F.round("score", 6)), k)
 
 
@@ -197,11 +207,13 @@ def stemmed_search(index: Index | DataFrame, queries: DataFrame, k: int = 20, do
     pairs = spark.createDataFrame(text.synonym_pairs(), "term string, other string")
     stems = wanted.select("term").unionByName(wanted.join(pairs, "term").select(F.col("other").alias("term"))).distinct().withColumnRenamed("term", "stem")
     words = written(index.vocabulary.select("term", "stem").join(written(stems, "stems"), "stem"), "words-of-stems")
-    posts = written(index.postings.join(words, "term").groupBy("doc_id", "len", "stem").agg(F.sum("tf").alias("tf")).withColumnRenamed("stem", "term"), "stem-postings")
-    frequency = document_frequency(posts)
+    posts = index.postings.join(words, "term").groupBy("doc_id", "len", "stem").agg(F.sum("tf").alias("tf")).withColumnRenamed("stem", "term")
+    posts = bucketed(posts, "stem-postings", buckets(spark, index.n))
+    frequency = written(document_frequency(posts), "stem-frequency")
     asked = rarest(wanted, frequency).select("query_id", "term", "w")
     alike = asked.join(pairs, "term").select("query_id", F.col("other").alias("term"), F.lit(synonym_weight).alias("w"))
-    weighted = asked.unionByName(alike).groupBy("query_id", "term").agg(F.max("w").alias("w")).join(frequency, "term")
+    weighted = asked.unionByName(alike).groupBy("query_id", "term").agg(F.max("w").alias("w"))
+    weighted = written(weighted.join(known(weighted, frequency), "term"), "weighted-stems")
     hits = posts.join(weighted, "term").withColumn("score", scoring.bm25(F.col("tf"), F.col("len"), F.col("df"), F.lit(index.n), F.lit(index.average)) * F.col("w"))
     return top(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")), k)
 
@@ -252,46 +264,62 @@ class MutableIndex:
 
     def _dead(self) -> DataFrame | None:
         """(segment, doc_id, len, terms) of dead documents of live segments."""
+        return self._gone("dead")
+
+    def _gone(self, part: str = "gone") -> DataFrame | None:
+        """(segment, doc_id, ...) of dead documents of live segments; without their terms, so that Spark knows how small it is."""
         ids = [s["id"] for s in self.segments]
-        parts = [self.spark.read.parquet(f"{self.path}/dead-{d['id']}") for d in self.dead]
+        parts = [self.spark.read.parquet(f"{self.path}/{part}-{d['id']}") for d in self.dead]
         return reduce(DataFrame.unionByName, parts).where(F.col("segment").isin(ids)) if parts else None
 
     def _live(self, part: str, segments: list[dict] | None = None) -> DataFrame:
         """(segment, ...) of all segments, or some, without what belongs to dead documents."""
         rows = reduce(DataFrame.unionByName, [self._read(s, part).withColumn("segment", F.lit(s["id"])) for s in segments or self.segments])
-        dead = self._dead()
-        return rows if dead is None else rows.join(dead.select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
+        dead = self._gone()
+        return rows if dead is None else rows.join(dead, ["segment", "doc_id"], "left_anti")
 
     def _retire(self, ids: DataFrame) -> None:
         """Records the live documents of a list of ids as dead in their segments."""
         if not self.segments:
             return
         number = self._number()
-        found = self._live("documents").join(ids.select("doc_id"), "doc_id", "left_semi").select("segment", "doc_id", "len", "terms")
-        found.write.parquet(f"{self.path}/dead-{number}")
+        self._live("documents").select("segment", "doc_id").join(ids.select("doc_id"), "doc_id", "left_semi").select("segment", "doc_id").write.parquet(f"{self.path}/gone-{number}")
+        found = self._live("documents").join(self.spark.read.parquet(f"{self.path}/gone-{number}"), ["segment", "doc_id"], "left_semi")
+        found.select("segment", "doc_id", "len", "terms").write.parquet(f"{self.path}/dead-{number}")
         gone = {r["segment"]: r for r in self.spark.read.parquet(f"{self.path}/dead-{number}").groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len")).collect()}
         if gone:
             self.segments = [s | {"n": s["n"] - gone[s["id"]]["n"], "len": s["len"] - gone[s["id"]]["len"]} if s["id"] in gone else s for s in self.segments]
             self.dead = [*self.dead, {"id": number, "of": list(gone)}]
 
-    def _segment(self, number: str, posts: DataFrame, ids: DataFrame, level: int) -> dict:
-        """Writes postings, documents and vocabulary of a segment; ``ids`` (doc_id) has documents without a term as well."""
+    def _segment(self, posts: DataFrame, docs: DataFrame, frequency: DataFrame | None, level: int) -> dict:
+        """Writes postings, documents (doc_id, len, terms) and frequencies (term, df) of a segment; without ``frequency`` those of the documents."""
+        number = self._number()
         posts.write.parquet(f"{self.path}/postings-{number}")
-        posts = self.spark.read.parquet(f"{self.path}/postings-{number}")
-        terms = posts.groupBy("doc_id").agg(F.max("len").cast("long").alias("len"), F.collect_list("term").alias("terms"))
-        docs = ids.select("doc_id").join(terms, "doc_id", "left").select("doc_id", F.coalesce("len", F.lit(0)).cast("long").alias("len"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
         docs.write.parquet(f"{self.path}/documents-{number}")
-        vocabulary(document_frequency(posts)).write.parquet(f"{self.path}/vocabulary-{number}")
-        n, length = self.spark.read.parquet(f"{self.path}/documents-{number}").agg(F.count(F.lit(1)), F.sum("len")).first()
+        docs = self.spark.read.parquet(f"{self.path}/documents-{number}")
+        frequency = document_frequency(docs.select(F.explode("terms").alias("term"))) if frequency is None else frequency
+        frequency.write.parquet(f"{self.path}/vocabulary-{number}")
+        n, length = docs.agg(F.count(F.lit(1)), F.sum("len")).first()
         return {"id": number, "level": level, "n": n, "all": n, "len": length or 0}
 
+    def _frequency(self, segments: list[dict]) -> DataFrame:
+        """(term, df) of the live documents of segments: what the segments hold less what is dead in them."""
+        df = reduce(DataFrame.unionByName, [self._read(s, "vocabulary") for s in segments])
+        dead = self._dead()
+        if dead is not None:
+            gone = dead.where(F.col("segment").isin([s["id"] for s in segments])).select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("df"))
+            df = df.unionByName(gone)
+        return df if len(segments) == 1 and dead is None else df.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
     def add(self, docs: DataFrame, doc_id: str = "doc_id") -> None:
         """Adds documents, or puts them in the place of those with their ids."""
         names = list(self.fields)
         one = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.struct(*names)).alias("_v"))
         batch = written(one.select("doc_id", "_v.*"), "batch")
         self._retire(batch)
-        self.segments = [*self.segments, self._segment(self._number(), laid_out(postings(batch, "doc_id", self.fields)), batch, 0)]
+        tokens = batch.select("doc_id", weighted_tokens(self.fields).alias("t"))
+        terms = tokens.select("doc_id", F.size("t").cast("long").alias("len"), F.array_distinct(F.col("t.term")).alias("terms"))
+        self.segments = [*self.segments, self._segment(postings(batch, "doc_id", self.fields), terms, None, 0)]
         self._merge()
         self._commit()
 
@@ -315,8 +343,7 @@ class MutableIndex:
                 return
             rest = [s for s in self.segments if s not in some]
             if any(s["n"] for s in some):
-                posts = laid_out(self._live("postings", some).drop("segment"))
-                rest.append(self._segment(self._number(), posts, self._live("documents", some), max(s["level"] for s in some) + (1 if full else 0)))
+                rest.append(self._segment(self._live("postings", some).drop("segment"), self._live("documents", some).drop("segment"), self._frequency(some), max(s["level"] for s in some) + (1 if full else 0)))
             self.segments = rest
 
     def index(self) -> Index:
@@ -324,15 +351,8 @@ class MutableIndex:
         if not self.segments:
             none = self.spark.createDataFrame([], "doc_id long, len int, term string, tf double, hits long")
             return Index(none, vocabulary(document_frequency(none)), 0, None)
-        df = reduce(DataFrame.unionByName, [self._read(s, "vocabulary") for s in self.segments])
-        dead = self._dead()
-        if dead is not None:
-            gone = dead.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("df"), F.lit(None).cast("string").alias("stem"))
-            df = df.unionByName(gone)
-        if len(self.segments) > 1 or dead is not None:
-            df = df.groupBy("term").agg(F.sum("df").alias("df"), F.max("stem").alias("stem")).where("df > 0")
         n = sum(s["n"] for s in self.segments)
-        return Index(self._live("postings").drop("segment"), df, n, sum(s["len"] for s in self.segments) / n if n else None)
+        return Index(self._live("postings").drop("segment"), vocabulary(self._frequency(self.segments)), n, sum(s["len"] for s in self.segments) / n if n else None)
 
     def documents(self) -> DataFrame:
         """(doc_id, len) of the live documents."""

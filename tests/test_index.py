@@ -112,3 +112,40 @@ def test_frequencies_without_an_index(spark, monkeypatch):
     want = lexical.build_index(table(spark, rows)).frequency.collect()
     monkeypatch.setattr(lexical, "postings", None)
     assert sorted(map(tuple, lexical.term_frequency(table(spark, rows)).collect())) == sorted(map(tuple, want)) == [("alpha", 2), ("beta", 4), ("gamma", 1)]
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_meet_in_the_bucket_of_their_document(spark):
+    """No exchange by query and document: only the best hits of each bucket are dealt."""
+    index = lexical.build_index(table(spark, [(i, "alpha theta " + WORDS[i % 10] + "x") for i in range(40)]))
+    plan = executed(lexical.search(index, asked(spark), 10))
+    assert "hashpartitioning(query_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning" in x and "doc_id" in x]
+
+
+def test_texts_are_dealt_before_they_are_cut(spark):
+    plan = executed(lexical.postings(table(spark, [(1, "alpha beta")]), "doc_id", {"text": 1.0}))
+    assert "split(" in plan and "split(" not in plan[plan.rindex("Exchange hashpartitioning"):]
+
+
+def test_prefix_terms_come_once_however_many_queries_ask(spark):
+    terms = spark.createDataFrame([(q, "al", 1.0, 1) for q in range(5)], "query_id long, term string, w double, df long")
+    frequency = spark.createDataFrame([("al", 3), ("alpha", 2), ("beta", 1)], "term string, df long")
+    assert [r.asDict() for r in lexical.prefix_expansions(terms, frequency).collect()] == [{"query_term": "al", "term": "alpha", "df": 2}]
+
+
+def test_dead_documents_are_dropped_by_their_ids_alone(spark):
+    """The postings of live documents need no exchange while the ids of dead ones are small, however long their texts were."""
+    index = lexical.MutableIndex(spark)
+    index.add(table(spark, [(i, " ".join(f"word{i}x{k}" for k in range(400))) for i in range(60)]))
+    index.remove(spark.createDataFrame([(i,) for i in range(20)], "doc_id long"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16384")
+    try:
+        live = index._live("postings")
+        assert "SortMergeJoin" not in executed(live) and "BroadcastHashJoin" in executed(live)
+        assert live.select("doc_id").distinct().count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
