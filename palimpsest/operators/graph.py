@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
+from palimpsest.operators import mining
 from palimpsest.sources.shared import written
 
 
@@ -202,9 +203,11 @@ def heuristic_edges(rows: DataFrame, observation: str, concept: str, file: str,
     Concepts and files are limited per observation before they are paired, so
     an observation of any size gives a bounded number of rows.
     """
+    parts = mining.parts_of(rows.sparkSession, rows.count())
+
     def some(column: str) -> DataFrame:
-        values = rows.select(F.col(observation).alias("o"), F.col(column).cast("string").alias("v")).where("v IS NOT NULL").distinct()
-        return values.withColumn("_r", F.row_number().over(Window.partitionBy("o").orderBy("v"))).where(F.col("_r") <= budget).drop("_r")
+        values = rows.select(F.col(observation).alias("o"), F.col(column).cast("string").alias("v")).where("v IS NOT NULL")
+        return mining.first_distinct(values, "o", "v", budget, parts)
 
     pairs = some(concept).withColumnRenamed("v", "src").join(some(file).withColumnRenamed("v", "dst"), "o")
     pairs = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("o").orderBy("src", "dst"))).where(F.col("_r") <= budget)
