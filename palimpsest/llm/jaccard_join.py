@@ -13,7 +13,9 @@ Two classes fail to share a signature of a part only if the part has two differi
 features at least, or one if all that a class holds of it is in one subpart (then the
 subset that leaves this one out is empty and not signed), or none if the class holds
 nothing of it.  So a class whose parts bear, by this count, more differences than a
-partner may have shares a signature with every partner.  The few classes that do not
+partner may have shares a signature with every partner.  Parts have an order, and those
+before the first that gives two partners a common signature bear no more than they differ
+in, so no class signs parts after those that bear more.  The few classes that bear too little
 sign once more with all their features, and if these are still too few, their empty
 subsets as well; two such classes then share a signature in one of all n parts, as
 2n is more than they may differ in.
@@ -61,45 +63,87 @@ UPPER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 CHUNK_FEATURES = 1 << 19
+BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 20, 1 << 16
 BLOCK = 1024
 NEAREST = 4
 SUBPARTS = 3
+SIGNATURE = np.uint64((1 << 48) - 1)  # what is kept of a signature; equal ones of different content cost a comparison
 COMMON_LEAST, COMMON_SHARE = 1_000, 2_500
 CENTRE = 1_000  # pairs that share one copy of their first document's text
 SALTS = 16
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-        return h
-
-
-HASH = WordHash()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * M2
     x = (x ^ (x >> np.uint64(27))) * M3
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's five-word shingles."""
-    words = text.translate(UPPER).split() if text else []
-    n = len(words)
-    if not n:
+# A word's hash is the sum of a random number for each byte and its place in the word, cases alike.
+PLACES = 64
+BYTES = mix(np.arange(PLACES * 256, dtype=np.uint64) * M1 + M2).reshape(PLACES, 256)
+BYTES[:, 0x41:0x5B] = BYTES[:, 0x61:0x7B]
+BYTES = BYTES.ravel()
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of ``data``."""
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), WORDS_AT_ONCE):  # bounds memory
+        first, size = starts[a : a + WORDS_AT_ONCE], ends[a : a + WORDS_AT_ONCE] - starts[a : a + WORDS_AT_ONCE]
+        n = np.minimum(size, PLACES)
+        at = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(at, n)
+        out[a : a + WORDS_AT_ONCE] = np.add.reduceat(BYTES[(place << 8) + data[place + np.repeat(first, n)]], at)
+        for k in np.flatnonzero(size > PLACES):
+            word = data[first[k] : first[k] + size[k]].tobytes().translate(UPPER)
+            out[a + k] = xxhash.xxh3_64_intdigest(word)
+    return out
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the five-word shingles of each text."""
+    texts = pc.fill_null(pc.cast(pc.cast(texts, pa.binary()), pa.large_binary()), b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BYTES_AT_ONCE, "right")) - 1)
+        bounds = offsets[at : end + 1] - offsets[at]
+        at, low = end, offsets[at]
+        if not bounds[-1]:
+            yield from (np.empty(0, np.uint64) for _ in bounds[1:])
+            continue
+        data = np.frombuffer(texts.buffers()[2], np.uint8, bounds[-1], low)
+        held = ~BLANK[data]
+        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)  # is a byte of the same text, and no blank, next to it?
+        before[1:], after[:-1] = held[:-1], held[1:]
+        before[bounds[:-1][bounds[:-1] < len(data)]] = False
+        after[bounds[1:][bounds[1:] > 0] - 1] = False
+        starts, ends = np.flatnonzero(held & ~before), np.flatnonzero(held & ~after) + 1
+        words, of = word_hashes(data, starts, ends), np.searchsorted(starts, bounds)
+        wide = _shingles(words, WORDS)
+        for a, b in zip(of[:-1].tolist(), of[1:].tolist()):
+            h = np.sort(wide[a : b - WORDS + 1] if b - a >= WORDS else _shingles(words[a:b], b - a))
+            fresh = np.ones(len(h), bool)
+            np.not_equal(h[1:], h[:-1], out=fresh[1:])
+            yield h[fresh]
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    n = len(words) - width + 1
+    if n <= 0 or not width:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(HASH.__getitem__, words), np.int64, n).view(np.uint64)
-    width = min(WORDS, n)
-    h = np.full(n - width + 1, np.uint64(width))
+    h = np.full(n, np.uint64(width))
     for k in range(width):
-        h = h * M1 + w[k : n - width + 1 + k]
-    return np.unique(mix(h))
+        h = h * M1 + words[k : n + k]
+    return mix(h)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The shingles of one text."""
+    return next(shingle_sets(pa.array([text], pa.binary())))
 
 
 def set_class(features: np.ndarray) -> int:
@@ -263,10 +307,14 @@ def _signed(jobs: list[tuple[np.ndarray, int, int, int]], salt: np.uint64, with_
     total, n = content.sum(1, dtype=np.uint64), held.sum(1)
     borne = np.where((n[:, None] > held).all(1), 2, 1)
     short = np.flatnonzero(np.bincount(owner, borne, len(jobs)) <= most)
+    # Parts after those that bear more differences than a partner may have are not signed.
+    upto = np.cumsum(borne) - borne
+    begins = np.searchsorted(owner, np.arange(len(jobs)))
+    needed = upto - np.append(upto, 0)[begins][owner] <= most[owner]
     where = (bands[owner] << np.uint64(40)) + place * np.uint64(SUBPARTS) + salt
     out, who = [], []
     for q in range(SUBPARTS):
-        full = n > held[:, q]
+        full = (n > held[:, q]) & (with_empty | needed)
         out.append(mix((total[full] - content[full, q]) ^ mix(where[full] + np.uint64(q))))
         who.append(number[owner[full]])
     for i in short if with_empty else ():
@@ -291,13 +339,12 @@ def document_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t) for t in _texts(batch.column(1))]
+            sets = list(shingle_sets(batch.column(1)))
             often: list = [None] * len(sets)
             if sets:
                 often[0] = frequent_features(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                                                pa.array([sketch(s) for s in sets], pa.binary()), pa.array(often, pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))], names=["doc_id", "class", "n_shingles", "sketch", "often"])
-        HASH.clear()  # workers live on after their task
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, class long, n_shingles long, sketch binary, often array<struct<f:long,n:long>>")
 
@@ -330,15 +377,14 @@ def class_signatures(docs: DataFrame, doc_id: str, text: str, common: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(sets, ids):
             sig, who = signatures(sets, shared.value)
-            return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.array(ids, np.int64)[who])], names=["sig", "class"])
+            return pa.RecordBatch.from_arrays([pa.array((sig & SIGNATURE).view(np.int64)), pa.array(np.array(ids, np.int64)[who])], names=["sig", "class"])
 
         seen: set[int] = set()
         for batch in batches:
             if len(seen) > 2_000_000:
                 seen.clear()
             sets, ids, total = [], [], 0
-            for t in _texts(batch.column(0)):
-                s = shingle_set(t)
+            for s in shingle_sets(batch.column(0)):
                 if len(s) and (c := set_class(s)) not in seen:
                     seen.add(c)
                     sets.append(s)
@@ -349,7 +395,6 @@ def class_signatures(docs: DataFrame, doc_id: str, text: str, common: np.ndarray
                         sets, ids, total = [], [], 0
             if sets:
                 yield packed(sets, ids)
-        HASH.clear()
 
     return docs.where(F.col(doc_id).isNotNull()).select(text).mapInArrow(run, "sig long, class long")
 
@@ -406,41 +451,32 @@ def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b", "ra", "rb"]).take(pa.array(keep, pa.int64()))
 
 
-def candidate_texts(found: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (_id, _text) of the documents that stand for a candidate class, written once for all comparisons."""
-    classes = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ids = written(reps.join(classes, "class", "left_semi").select(F.col("rep").alias("_need")), "candidate-ids")
-    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return written(texts.join(ids, F.col("_id") == F.col("_need"), "left_semi"), "texts")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b, ra, rb), classes with the id of a document of each, those that link."""
+def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Of pairs (a, b, ra, rb), classes with the id of a document of each, those that link; only their texts are fetched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[int, np.ndarray] = {}
         for batch in batches:
             keep = []
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = _texts(batch.column(4)), _texts(batch.column(5))
-            for i in range(len(a)):
-                sets = []
-                for c, t in ((a[i], ta[i]), (b[i], tb[i])):
-                    s = memo.get(c)
-                    if s is None:
-                        s = shingle_set(t)
-                        if not len(s) or set_class(s) != c:  # another row with this id
-                            s = None
-                        else:
-                            if len(memo) > 300:
-                                memo.clear()
-                            memo[c] = s
-                    sets.append(s)
-                if sets[0] is not None and sets[1] is not None and similar(*sets):
+            ta = _texts(batch.column(4))
+            for i, sb in enumerate(shingle_sets(batch.column(5))):
+                if not len(sb) or set_class(sb) != b[i]:  # another row with this id
+                    continue
+                sa = memo.get(a[i])
+                if sa is None:
+                    sa = shingle_set(ta[i])
+                    if not len(sa) or set_class(sa) != a[i]:
+                        continue
+                    if len(memo) > 300:
+                        memo.clear()
+                    memo[a[i]] = sa
+                if similar(sa, sb):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     ids = written(pairs.select(F.explode(F.array("ra", "rb")).alias("_need")).distinct(), "compared-ids")
+    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     texts = written(texts.join(ids, F.col("_id") == F.col("_need"), "left_semi"), "compared-texts")
     # A document with very many pairs gets a copy of its text for every CENTRE of them.
     blocks = pairs.groupBy(F.col("ra").alias("_ra")).agg(F.ceil(F.count(F.lit(1)) / CENTRE).cast("int").alias("_n")).where("_n > 1")
@@ -465,11 +501,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ra = reps.select(F.col("class").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     rb = reps.select(F.col("class").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     stars = written(found.join(ra, "a").join(rb, "b").where(SIZES).mapInArrow(possible, "a long, b long, ra long, rb long"), "stars")
-    texts = candidate_texts(found, reps, docs, doc_id, text)
-    links = written(verified(stars, texts), "links")
+    links = written(verified(stars, docs, doc_id, text), "links")
     parts = written(components(links), "parts")
     for nearest in (NEAREST, None):
-        more = written(verified(written(_across(found, parts, reps, nearest), "across"), texts), "links")
+        more = written(verified(written(_across(found, parts, reps, nearest), "across"), docs, doc_id, text), "links")
         if not more.isEmpty():
             held = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
             parts = written(components(held.unionByName(more)), "parts")
