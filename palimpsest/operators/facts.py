@@ -16,6 +16,8 @@ MOST_SOURCES = 50
 FACT = ("id string, fact string, confidence double, project string, subject string, relation string, object string, strength double, n_access int, source_session_ids array<string>, "
         "is_latest boolean, superseded_by string, created_at timestamp, updated_at timestamp, accessed_at timestamp")
 
+NAMES = [f.split()[0] for f in FACT.split(", ")]
+
 
 class Merging:
     """Decides arriving facts against the live facts that share a text or a key with them."""
@@ -24,7 +26,7 @@ class Merging:
         self.most, self.live, self.changed, self.projects = most_sources, {}, set(), {}
 
     def take(self, row: dict) -> Iterator[dict]:
-        self.projects.update((c["session"], c["project"]) for c in row.pop("cited") or ())
+        self.projects.update(zip(row.pop("cited") or (), row.pop("cited_of") or ()))
         if row["stored"]:
             self.live[row["id"]] = row
             return
@@ -56,7 +58,7 @@ class Merging:
         yield {"arrival": row["id"], "action": action, "target": target["id"]}
 
     def written(self, m: dict) -> dict:
-        return {"fact": {f.split()[0]: m[f.split()[0]] for f in FACT.split(", ")}}
+        return {"fact": {c: m[c] for c in NAMES}}
 
     def end(self) -> Iterator[dict]:
         for m in self.live.values():
@@ -74,7 +76,8 @@ def merge_facts(facts: DataFrame, arrivals: DataFrame, sessions: DataFrame, most
     again, so a batch that runs twice changes nothing.  Facts without a project meet arrivals by text only.
     """
     part = lambda c: F.nullif(F.lower(trimmed(F.coalesce(F.col(c), F.lit("")))), F.lit(""))
-    new = arrivals.join(facts.select("id"), "id", "left_anti").select(
+    known = written(facts.select("id"), "known-facts")  # as files of known size they may be broadcast, and arrivals stay where they are
+    new = arrivals.join(known, "id", "left_anti").select(
         F.lit(False).alias("stored"), "id", trimmed(F.col("fact")).alias("fact"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), "project",
         *[part(c).alias(c) for c in ("subject", "relation", "object")], "source_session_ids", F.col("at").cast("timestamp").alias("at"))
     old = facts.where("coalesce(is_latest, true)").select(F.lit(True).alias("stored"), *[f.split()[0] for f in FACT.split(", ")], F.lit(None).cast("timestamp").alias("at"))
@@ -83,14 +86,14 @@ def merge_facts(facts: DataFrame, arrivals: DataFrame, sessions: DataFrame, most
     cited = both.select("stored", "id", F.explode(F.array_distinct("source_session_ids")).alias("session")).join(named, "session")
     cited = cited.groupBy(F.col("stored").alias("_s"), F.col("id").alias("_i")).agg(F.collect_list(F.struct("session", "project")).alias("cited"))
     both = both.join(cited, (F.col("stored") == F.col("_s")) & (F.col("id") == F.col("_i")), "left").drop("_s", "_i")
-    rows = both.withColumns({"low": F.lower("fact"), "_late": ~F.col("stored")})
+    rows = both.withColumns({"low": F.lower("fact"), "_late": ~F.col("stored"), "cited": F.col("cited.session"), "cited_of": F.col("cited.project")})
     # a row is tied to its text and, if it has one, to its key
     tie = lambda *c: F.xxhash64(*c)
     rows = written(rows.withColumns({"_text": tie(F.lit("text"), "low"), "_key": F.when(F.col("subject").isNotNull() & F.col("relation").isNotNull() & F.col("object").isNotNull(),
                                                                                          tie(F.lit("key"), "project", "subject", "relation"))}), "facts")
     parts = graph.connected(rows.where("_key IS NOT NULL").select(F.col("_text").alias("src"), F.col("_key").alias("dst")).distinct())
     rows = rows.join(parts, F.col("_text") == F.col("node"), "left").withColumn("component", F.coalesce("component", "_text"))
-    columns = ["stored", *[f.split()[0] for f in FACT.split(", ")], "cited", "at", "low", "_late"]
+    columns = ["stored", *[f.split()[0] for f in FACT.split(", ")], "cited", "cited_of", "at", "low", "_late"]
     done = folded(rows, ["_late", "at", "id"], columns, lambda: Merging(most_sources), f"arrival string, action string, target string, fact struct<{FACT}>")
     changed = done.where("fact IS NOT NULL").select("fact.*")
     more = [c for c in facts.columns if c not in changed.columns]

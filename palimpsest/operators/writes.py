@@ -25,8 +25,12 @@ from palimpsest.sources.shared import written
 KINDS = ("pattern", "preference", "architecture", "bug", "workflow", "fact", "rule")
 
 
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    """Without the white space of Unicode at both ends."""
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def wording(content: Column) -> Column:
@@ -64,14 +68,27 @@ def grouped_by_likeness(rows: DataFrame, least: float) -> DataFrame:
     return rows.join(parts, F.col("_node") == F.col("node"), "left").withColumn("component", F.coalesce("component", "_node")).drop("_node", "node")
 
 
+def numbers(kind: pa.DataType) -> pa.DataType:
+    """The type with integers for times, also inside a struct."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, numbers(f.type)) for f in kind])
+    return pa.int64() if pa.types.is_timestamp(kind) else kind
+
+
 def folded(rows: DataFrame, order: list[str], columns: list[str], decider: Callable[[], object], schema: str) -> DataFrame:
-    """Rows that ``decider()`` objects give for each component: ``take(row)`` for its rows in order, then ``end()``."""
+    """Rows that ``decider()`` objects give for each component: ``take(row)`` for its rows in order, then ``end()``.
+
+    Times are numbers of microseconds for the decider, which only passes them on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[dict]:
             for batch in batches:
+                names = batch.schema.names
                 for at in range(0, batch.num_rows, 500):
-                    yield from batch.slice(at, 500).to_pylist()
+                    values = [c.cast(numbers(c.type)).to_pylist() for c in batch.slice(at, 500).columns]
+                    for row in zip(*values):
+                        yield dict(zip(names, row))
 
         def out() -> Iterator[tuple]:
             for _, group in groupby(stream(), key=lambda r: r["component"]):
@@ -84,10 +101,13 @@ def folded(rows: DataFrame, order: list[str], columns: list[str], decider: Calla
         for row in out():
             held.append(row)
             if len(held) >= 1000:
-                yield pa.RecordBatch.from_pylist(held, schema=kinds)
+                yield packed(held)
                 held = []
         if held:
-            yield pa.RecordBatch.from_pylist(held, schema=kinds)
+            yield packed(held)
+
+    def packed(held: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in held], numbers(f.type)).cast(f.type) for f in kinds], schema=kinds)
 
     kinds = to_arrow_schema(StructType.fromDDL(schema))
     dealt = rows.select("component", *columns).repartition("component").sortWithinPartitions("component", *order)

@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from palimpsest.operators import similarity, writes
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -181,3 +183,24 @@ def test_evolve_in_chains_and_forks(spark):
     assert sorted(tuple(r)[:2] for r in relations.collect()) == [("a", "m"), ("b", "a"), ("c", "a")] and sorted(r.id for r in errors.collect()) == ["d", "e"]
     after, relations, _ = writes.evolve(stored, changes.limit(0))
     assert after.count() == 2 and relations.count() == 0
+
+
+def test_trimmed_takes_what_the_expression_of_white_space_takes(spark):
+    rows = [(f"{chr(c)}a{chr(c)}b{chr(c)}{chr(c)}",) for c in [*range(0x3100), 0xFEFF] if chr(c).isprintable() or c < 0x100 or 0x2000 <= c < 0x2070 or c in (0x1680, 0x180E, 0x3000)] + [("",), (" \n",), (None,), ("x \n",), ("\r\ny \n",)]
+    df = spark.createDataFrame(rows, "v string")
+    assert df.where(~writes.trimmed(F.col("v")).eqNullSafe(F.regexp_replace("v", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_times_reach_the_fold_as_numbers_and_come_back_as_times(spark):
+    class Passing:
+        def take(self, row):
+            assert row["at"] is None or isinstance(row["at"], int)
+            yield {"id": row["id"], "of": {"at": row["at"], "id": row["id"]}}
+
+        def end(self):
+            yield {"id": "end", "of": None}
+
+    df = spark.sql("SELECT 1L AS component, cast(id AS string) AS id, if(id = 2, null, timestamp_micros(id * 1000001 - 3)) AS at FROM range(4)")
+    got = writes.folded(df, ["id"], ["id", "at"], Passing, "id string, of struct<at timestamp, id string>")
+    assert sorted((r.id, r.us) for r in got.where("of IS NOT NULL").selectExpr("id", "unix_micros(of.at) AS us").collect()) == [("0", -3), ("1", 999998), ("2", None), ("3", 3000000)]
+    assert got.where("id = 'end' AND of IS NULL").count() == 1
