@@ -1,13 +1,16 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.sources.shared import shared_path, written
 from palimpsest.sources.tables import table
 
-__all__ = ["components", "fold_bucket", "shared_path", "shuffle_width", "table", "written"]
+__all__ = ["components", "fold_bucket", "sent", "shared_path", "shuffle_width", "table", "values", "written"]
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -19,6 +22,18 @@ def fold_bucket(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def sent(docs: DataFrame, keep: list[str] | tuple[str, ...], text: str) -> tuple[DataFrame, int]:
+    """The columns that tasks get, ``keep`` first and the text once, and the place of the text."""
+    names = list(keep)
+    return (docs.select(*names), names.index(text)) if text in names else (docs.select(*names, docs[text].alias("_text")), len(names))
+
+
+def values(column: pa.Array, rows: int = 500) -> Iterator:
+    """The values of a column as Python objects, of which ``rows`` are held at once."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph: rows (node, component), the smallest node of each.
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sent, table, values, written
 
 WIDTH = 10
 SENT_WINDOWS, SENT_WORDS = 200_000, 2_000_000
@@ -44,8 +44,8 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
-def _as_binary(column: pa.Array) -> list[bytes | None]:
-    return pc.cast(column, pa.binary()).to_pylist()
+def _as_binary(column: pa.Array) -> Iterator[bytes | None]:
+    return values(pc.cast(column, pa.binary()))
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -113,14 +113,14 @@ def _scan(docs: DataFrame, block: list[tuple[bytes, tuple[str, ...]]], counts: d
     windows = [tuple(w.split(b" ")) for w, _ in block]
     owner = [items for _, items in block]
     model = docs.sparkSession.sparkContext.broadcast((prefix_index(windows, counts), windows, owner))
-    kept = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    rows, place = sent(docs, keep, text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, wins, items_of = model.value
         for batch in batches:
             n_words, spans, items = [], [], []
-            for value in _as_binary(batch.column(batch.num_columns - 1)):
+            for value in _as_binary(batch.column(place)):
                 doc = value.translate(FOLD).split() if value else []
                 hits = find_hits(doc, index, wins)
                 n_words.append(len(doc))
@@ -134,10 +134,10 @@ def _scan(docs: DataFrame, block: list[tuple[bytes, tuple[str, ...]]], counts: d
                 spans.append(runs)
                 items.append(sorted({x for _, n in hits for x in items_of[n]}))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
+                [*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
                 names=[*keep, "n_words", "spans", "items"])
 
-    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, schema + ", n_words long, spans array<array<int>>, items array<string>")
+    return rows.mapInArrow(run, schema + ", n_words long, spans array<array<int>>, items array<string>")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",

@@ -205,6 +205,11 @@ class MergeCodec:
                 out += ids
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.atoms.clear()
+        pa.default_memory_pool().release_unused()
+
     def normalised(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
@@ -238,20 +243,28 @@ def codec(model_file: str, remembered: int = REMEMBERED) -> MergeCodec:
 
 
 def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), texts: bool = False,
-                     remembered: int = REMEMBERED) -> DataFrame:
+                     remembered: int = REMEMBERED, held: bool = True) -> DataFrame:
     """``keep`` columns with n_tokens and the digests of the ids and of the decoded text; with ``texts`` the ids and that text too.
 
-    ``remembered`` bounds a worker's cache of parts: memory against time, same results.
+    ``remembered`` bounds a worker's cache of parts: memory against time, same results.  Unless it is ``held``, the cache
+    goes at the end of each task, so that a worker has that memory for other stages.
     """
     extra = "token_ids array<int>, decoded string, " if texts else ""
     kept = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {extra}n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model_file, remembered)
+        try:
+            yield from encoded(c, batches)
+        finally:
+            if not held:
+                c.forget()
+
+    def encoded(c: MergeCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow.compute as pc
 
-        c = codec(model_file, remembered)
         for whole in batches:
             sizes = np.asarray(pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0))
             place = np.cumsum(sizes, dtype=np.int64) // SLICE  # results of about SLICE bytes of text are held at once

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, table
+from .common import fold_bucket, sent, table, values
 
 WORD = re.compile(r"[^\W\d_]+").findall
 STEMS = (6, 5, 4)  # letters of a word's beginning that count as a token, longest first
@@ -226,6 +226,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 def score_documents(docs: DataFrame, model: ToxicModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with score and the significant passages (first and last token, score)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, place = sent(docs, keep, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double, passages array<struct<first:int,last:int,score:double>>"
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
@@ -233,13 +234,13 @@ def score_documents(docs: DataFrame, model: ToxicModel, text: str = "text", keep
         m = shared.value
         for batch in batches:
             scores, passages = [], []
-            for value in batch.column(batch.num_columns - 1).to_pylist():
+            for value in values(batch.column(place)):
                 n, segs = m.segments(value)
                 scores.append(m.score(n, segs))
                 passages.append([{"first": a, "last": b, "score": s} for a, b, s in m.significant(n, segs)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*keep, "score", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*keep, "score", "passages"])
 
-    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def trained_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicModel:

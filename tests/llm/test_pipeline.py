@@ -110,3 +110,23 @@ def test_stages_on_odd_rows(spark, tmp_path):
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
     assert cp.run(spark, sf_dir).count() > 50
+
+
+def test_workers_hold_no_words_and_texts_travel_once(spark):
+    """Python workers go on to other stages, whose memory they share."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(50)], "doc_id long, text string").repartition(4)
+    assert cp.to_pieces(spark, docs, SF).count() == 50
+
+    def left(batches):
+        import gc
+
+        from palimpsest.llm.sentencepieces import MergeCodec
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(x.known) + len(x.atoms) for x in gc.get_objects() if isinstance(x, MergeCodec))])], names=["n"])
+
+    assert docs.mapInArrow(left, "n long").groupBy().max("n").first()[0] == 0
+    for out in (cp.drop_toxic(spark, docs, SF), cp.drop_contaminated(spark, docs, SF)):
+        assert "_text" not in out._jdf.queryExecution().optimizedPlan().toString()
