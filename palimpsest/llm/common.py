@@ -1,7 +1,8 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.sources.shared import shared_path, written
 from palimpsest.sources.tables import table
 
-__all__ = ["components", "fold_bucket", "sent", "shared_path", "shuffle_width", "table", "values", "written"]
+__all__ = ["components", "fold_bucket", "sent", "shared_path", "shuffle_width", "table", "tidy", "values", "written"]
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -34,6 +35,26 @@ def values(column: pa.Array, rows: int = 500) -> Iterator:
         yield from column.slice(at, rows).to_pylist()
 
 
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the system; workers stay, and share an executor's memory with what comes next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with ``give_back`` before and after it."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph: rows (node, component), the smallest node of each.
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sent, table, values, written
+from .common import sent, table, tidy, values, written
 
 WIDTH = 10
 SENT_WINDOWS, SENT_WORDS = 200_000, 2_000_000
@@ -137,7 +137,7 @@ def _scan(docs: DataFrame, block: list[tuple[bytes, tuple[str, ...]]], counts: d
                 [*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
                 names=[*keep, "n_words", "spans", "items"])
 
-    return rows.mapInArrow(run, schema + ", n_words long, spans array<array<int>>, items array<string>")
+    return rows.mapInArrow(tidy(run), schema + ", n_words long, spans array<array<int>>, items array<string>")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",

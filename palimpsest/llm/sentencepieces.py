@@ -25,7 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 
 SPACE = "▁"
 SLICE = 2 << 20
@@ -208,7 +208,6 @@ class MergeCodec:
     def forget(self) -> None:
         self.known.clear()
         self.atoms.clear()
-        pa.default_memory_pool().release_unused()
 
     def normalised(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -292,7 +291,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())],
                                                  names=[*keep, *names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run if held else tidy(run), schema)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

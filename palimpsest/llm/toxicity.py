@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, sent, table, values
+from .common import fold_bucket, sent, table, tidy, values
 
 WORD = re.compile(r"[^\W\d_]+").findall
 STEMS = (6, 5, 4)  # letters of a word's beginning that count as a token, longest first
@@ -240,7 +240,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, text: str = "text", keep
                 passages.append([{"first": a, "last": b, "score": s} for a, b, s in m.significant(n, segs)])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*keep, "score", "passages"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def trained_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicModel:
