@@ -1,12 +1,22 @@
 """Joins by similarity of token sets: contradictions, supersession, shadowing."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.operators import graph
-from palimpsest.sources.shared import written
+from palimpsest.sources.shared import freed, written
+
+SEEN = 1 << 20
+MASKS = 500_000
+LOT = 10_000
+FEW = 16
 
 
 def contradictions(memories: DataFrame, newest: int = 1000, above: float = 0.9, key: str = "id", body: str = "content", concepts: str = "concepts", order: str = "created_at") -> DataFrame:
@@ -99,34 +109,135 @@ def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return full.select("id_a", "id_b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), F.size(F.array_union("words_a", "words_b")).alias("total"))
 
 
-def ties(rows: DataFrame, alike: float, scope: str) -> DataFrame:
-    """(src, dst): links between rows (id, words, group, scope) that reach what the links of all pairs from ``alike`` on reach.
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose number ``id`` is among ``ids``.
+
+    64 numbers in a row are one mask, and up to ``MASKS`` masks go to every task, so that long rows stay where they are; more are joined by a shuffle.
+    """
+    place, bit = F.shiftright("id", 6), lambda: F.expr("shiftleft(1L, CAST(id & 63 AS INT))")
+    masks = written(ids.select("id").groupBy(place.alias("_place")).agg(F.bit_or(bit()).alias("_mask")), "masks")
+    masks = F.broadcast(masks) if masks.count() <= MASKS else masks
+    return rows.join(masks, place == F.col("_place")).where(F.col("_mask").bitwiseAND(bit()) != 0).drop("_place", "_mask")
+
+
+def tallied(sets: DataFrame) -> np.ndarray:
+    """Upper bounds of the numbers of sets that hold a hash: two tables of counts by different bits, of which the smaller count holds."""
+    size = SEEN
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(2 * size, np.int64)
+        for words in (batch.column("words").slice(i, 2000) for batch in batches for i in range(0, batch.num_rows, 2000)):
+            for at in places(words.flatten().to_numpy(zero_copy_only=False), size):
+                n += np.bincount(at, minlength=2 * size)
+        found = np.flatnonzero(n)
+        for i in range(0, len(found), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[i:i + 100_000], pa.int32()), pa.array(n[found[i:i + 100_000]])], names=["at", "n"])
 
-    Rows meet within a group and a scope; those whose scope is null meet all of the group.  First each row is compared with one other
-    that shares most of its prefixes; pairs that these links join already are compared no more, so a group of many copies that are alike costs
-    a link each instead of one a pair.
+    found = sets.select("words").mapInArrow(tally, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(2 * size, np.uint32)
+    n[found["at"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
+    return n
+
+
+def places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in two tables of ``size`` counts, a power of two, that lie one behind the other."""
+    return hashes & (size - 1), ((hashes >> 24) & (size - 1)) + size
+
+
+def first_words(sets: DataFrame, alike: float) -> DataFrame:
+    """(id, scope, size, before, words): hashes of the first words of each set in the order of rarity, of which sets that are alike share one.
+
+    Rarity is a bound of ``tallied``: any order serves that is the same for all sets.  Words of one set only are left out, ``before`` counts them.
+    """
+    seen = tallied(sets)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
+            lists = batch.column("words")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes, of = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+            a, b = places(hashes, len(seen) // 2)
+            n = np.minimum(seen[a], seen[b])
+            order = np.lexsort((hashes, n, of))
+            hashes, n = hashes[order], n[order]
+            rank = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            heads = rank < np.repeat(sizes - np.ceil(alike * sizes) + 1, sizes)
+            kept = heads & (n > 1)
+            counts = np.bincount(of[kept], minlength=len(sizes))
+            words = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]), pa.array(hashes[kept])).cast(pa.list_(pa.int64()))
+            before = pa.array(np.bincount(of[n <= 1], minlength=len(sizes)), pa.int32())
+            out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("scope"), batch.column("size"), before, words], names=["id", "scope", "size", "before", "words"])
+            yield out.filter(pa.array(counts > 0))
+
+    return sets.mapInArrow(cut, "id long, scope long, size int, before int, words array<long>")
+
+
+def lots(n: int) -> int:
+    """Four lots, one after the other, where more than ``LOT`` rows are exchanged, so a quarter of them lies on disk at a time."""
+    return 4 if n > LOT else 1
+
+
+def ties(rows: DataFrame, alike: float, scope: str, only: DataFrame | None = None, words: Column | None = None) -> DataFrame:
+    """(src, dst): links between rows (id, words or what ``words`` makes, group, scope) that reach what the links of all pairs from ``alike`` on reach.
+
+    Rows meet within a group and a scope; those whose scope is null meet all of the group; with ``only`` (id) just those rows.  First each
+    row is compared with one other that shares most of a few of its first words; pairs that these links join already are compared no more, so a
+    group of many copies that are alike costs a link each instead of one a pair.  Words travel as hashes of the first ones; whole sets do for pairs only.
     """
-    rows = written(rows.select("id", "group", F.col(scope).alias("scope"), F.array_distinct("words").alias("words")), "sets")
-    placed = prefixes(rows, alike).join(rows.select("id", "group", "scope"), "id")
-    heads = written(placed.select("id", "group", "scope", "word", "size", "at"), "prefixes")
-    good = lambda pairs: overlaps(pairs, rows).where(F.round(F.col("shared") / F.col("total"), 6) >= alike).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-
-    meeting = ["word", "group", "scope"]
-    firsts = heads.groupBy(*meeting).agg(F.min(F.struct("id", "size")).alias("f"), F.max("id").alias("last")).where("f.id < last")
-    same = [heads[c].eqNullSafe(firsts[c]) for c in meeting]
-    near = F.least("size", "f.size") >= alike * F.greatest("size", "f.size")
-    named = heads.join(firsts, same[0] & same[1] & same[2]).where((F.col("id") != F.col("f.id")) & near).groupBy("id", F.col("f.id").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    stars = written(good(named.groupBy("id").agg(F.max_by("other", F.struct("n", "other")).alias("other")).select(F.col("other").alias("id_a"), F.col("id").alias("id_b"))), "stars")
+    loose = alike - 1e-6
+    words = F.array_distinct(F.col("words") if words is None else words)
+    hashes = F.transform(words, lambda w: F.xxhash64(w, F.col("group")))
+    some = rows if only is None else picked(rows, only)
+    sets = some.select("id", F.when(F.col(scope).isNotNull(), F.xxhash64(scope)).alias("scope"), hashes.alias("words")).withColumn("size", F.size("words"))
+    heads = written(first_words(sets, loose), "prefixes")
+
+    def joined(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """Pairs with the columns of both their rows."""
+        mine = picked(of, pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")))
+        a, b = (mine.select(*[F.col(c).alias(f"{c}_{x}") for c in of.columns]) for x in "ab")
+        return pairs.join(a, "id_a").join(b, "id_b")
+
+    def likely(pairs: DataFrame, heads: DataFrame = heads) -> DataFrame:
+        """Pairs whose first words agree enough: what two sets share beyond those of both is in the rest of the one whose first words end earlier."""
+        both = joined(pairs, heads.select("id", "size", "words"))
+        shared = F.size(F.array_intersect("words_a", "words_b")) + F.size("words_a") - F.size(F.array_distinct("words_a"))  # words of one hash count as shared
+        most = shared + F.greatest(F.ceil(loose * F.col("size_a")), F.ceil(loose * F.col("size_b"))) - 1
+        return both.where(most >= loose / (1 + loose) * (F.col("size_a") + F.col("size_b")) - 1e-3).select("id_a", "id_b")
+
+    def alike_words(pairs: DataFrame) -> DataFrame:
+        both = overlaps(pairs, picked(rows, pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))).select("id", words.alias("words")))
+        return both.where(F.round(F.col("shared") / F.col("total"), 6) >= alike).select("id_a", "id_b")
+
+    def good(pairs: DataFrame) -> DataFrame:
+        for check in (likely, alike_words):
+            k = lots(pairs.count())
+            pairs = reduce(DataFrame.unionByName, [freed(written(check(pairs.where(F.pmod(F.xxhash64("id_b"), F.lit(k)) == lot)), check.__name__)) for lot in range(k)])
+        return pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+
+    few = heads.select("id", "scope", "size", F.explode(F.slice(F.sort_array("words"), 1, FEW)).alias("word"))
+    firsts = few.groupBy("word", "scope").agg(F.min(F.struct("id", "size")).alias("f"), F.max("id").alias("last")).where("f.id < last")
+    near = F.least("size", "f.size") >= loose * F.greatest("size", "f.size")
+    same = (few["word"] == firsts["word"]) & few["scope"].eqNullSafe(firsts["scope"])
+    named = few.join(firsts, same).where((F.col("id") != F.col("f.id")) & near).groupBy("id", F.col("f.id").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    named = named.groupBy("id").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
+    stars = good(freed(written(named.select(F.col("other").alias("id_a"), F.col("id").alias("id_b")), "named")))
 
     parts = written(graph.connected(stars), "parts")
-    heads = heads.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
-    open_words = heads.groupBy("word", "group").agg(F.min("part").alias("_a"), F.max("part").alias("_z")).where("_a < _z").select("word", "group")
-    heads = written(heads.join(open_words, ["word", "group"], "left_semi"), "open-prefixes")
-    a, b = (heads.select("word", "group", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "scope", "size", "at", "part")]) for x in "ab")
-    # the rest after the first word shared bounds what can be shared
-    rest = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    may = (F.col("part_a") != F.col("part_b")) & (F.least("size_a", "size_b") >= alike * F.greatest("size_a", "size_b")) & (rest >= alike / (1 + alike) * (F.col("size_a") + F.col("size_b")) - 1e-3)
-    met = lambda x, y, on: x.join(y, (x["word"] == y["word"]) & (x["group"] == y["group"]) & on).where(may).select("id_a", "id_b")
-    within = met(a, b, F.col("scope_a").eqNullSafe(F.col("scope_b"))).where("id_a < id_b")
-    across = met(a.where("scope_a IS NULL"), b.where("scope_b IS NOT NULL"), F.lit(True))
-    return stars.unionByName(good(written(within.unionByName(across).distinct(), "candidates")))
+    heads = freed(written(heads.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component"), "prefixes"))
+    size = heads.agg(F.sum(F.size("words")), F.count_if(F.col("scope").isNull()), F.count("scope")).first()
+    k, mixed, found = lots((size[0] or 0) // 100), bool(size[1] and size[2]), []
+    for lot in range(k):
+        each = heads.select("id", "scope", "size", "part", "before", F.posexplode("words").alias("at", "word")).where(F.pmod("word", F.lit(k)) == lot)
+        each = each.withColumn("at", F.col("before") + F.col("at") + 1).drop("before")
+        open_words = each.groupBy("word").agg(F.min("part").alias("_a"), F.max("part").alias("_z")).where("_a < _z").select("word")
+        each = freed(written(each.join(open_words, "word", "left_semi"), "open-prefixes"))
+        a, b = (each.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "scope", "size", "at", "part")]) for x in "ab")
+        # the rest after the first word shared bounds what can be shared
+        rest = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+        may = (F.col("part_a") != F.col("part_b")) & (F.least("size_a", "size_b") >= loose * F.greatest("size_a", "size_b")) & (rest >= loose / (1 + loose) * (F.col("size_a") + F.col("size_b")) - 1e-3)
+        met = lambda x, y, on: x.join(y, (x["word"] == y["word"]) & on).where(may).select("id_a", "id_b")  # noqa: E731, B023
+        pairs = met(a, b, F.col("scope_a").eqNullSafe(F.col("scope_b"))).where("id_a < id_b")
+        if mixed:
+            pairs = pairs.unionByName(met(a.where("scope_a IS NULL"), b.where("scope_b IS NOT NULL"), F.lit(True)))
+        found.append(freed(written(pairs.distinct(), "candidates")))
+    return stars.unionByName(good(freed(written(reduce(DataFrame.unionByName, found).distinct(), "candidates"))))

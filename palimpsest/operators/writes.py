@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from palimpsest.functions import text
 from palimpsest.operators import graph, similarity
-from palimpsest.sources.shared import written
+from palimpsest.sources.shared import freed, written
 
 KINDS = ("pattern", "preference", "architecture", "bug", "workflow", "fact", "rule")
 
@@ -46,26 +46,34 @@ def alike(words: set, content: str, other_words: set, other: str) -> float:
     return shared / (len(words) + len(other_words) - shared)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows (content, project, global) written with a number ``_row``, their wording, and hashes of what makes a node and of the word set."""
+    rows = rows.withColumns({"wording": wording(F.col("content")), "_words": F.sort_array(text.word_set(F.col("content"))), "_row": F.monotonically_increasing_id()})
+    return written(rows.withColumns({"_key": F.xxhash64("wording", "project", "global"), "_set": F.when(F.size("_words") > 0, F.xxhash64("_words"))}).drop("_words"), "rows")
+
+
 def grouped_by_likeness(rows: DataFrame, least: float) -> DataFrame:
-    """Adds ``component``: rows (wording, former, project, global, words) that can meet have the same.
+    """(_row, component, alone): numbered rows (wording, former, project, global, content) that can meet have the same component; ``alone``: no other has it.
 
     Nodes are distinct wordings in a project.  Edges join equal wordings (``former`` is another one that a row answers to),
     equal word sets, and word sets whose likeness is ``least`` at least, of one project or where one has none.
+    Only keys of rows are exchanged here.
     """
-    rows = rows.withColumn("_node", F.xxhash64("wording", "project", "global"))
-    nodes = rows.groupBy("_node").agg(*[F.first(c).alias(c) for c in ("wording", "project", "global", "words")], F.collect_set("former").alias("formers"))
-    nodes = written(nodes.withColumn("words", F.array_sort("words")), "wordings")
+    nodes = rows.groupBy("_key").agg(F.min("_row").alias("_node"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("wording", "project", "global", "_set")], F.collect_set("former").alias("formers"))
+    nodes = freed(written(nodes, "wordings"))
     said = nodes.select("_node", F.explode(F.array_distinct(F.concat(F.array("wording"), "formers"))).alias("said"))
     firsts = said.groupBy("said").agg(F.min("_node").alias("dst"))
     same = said.join(firsts, "said").select(F.col("_node").alias("src"), "dst")
-    sets = nodes.where(F.size("words") > 0).withColumn("_set", F.xxhash64("words"))
+    sets = nodes.where("_set IS NOT NULL")
     # one node stands for a set within a project
     heads = written(sets.groupBy("_set", "project", "global").agg(F.min("_node").alias("head")), "heads")
     mine = sets.join(heads, (sets["_set"] == heads["_set"]) & sets["project"].eqNullSafe(heads["project"]) & (sets["global"] == heads["global"])).select(F.col("_node").alias("src"), F.col("head").alias("dst"))
-    met = heads.select(F.col("head").alias("_node"), F.col("global").alias("group"), "project").join(nodes.select("_node", "words"), "_node").withColumnRenamed("_node", "id")
-    near = similarity.ties(met, least, "project")
-    parts = graph.connected(reduce(DataFrame.unionByName, [same, mine, near]).where("src <> dst"))
-    return rows.join(parts, F.col("_node") == F.col("node"), "left").withColumn("component", F.coalesce("component", "_node")).drop("_node", "node")
+    met = rows.select(F.col("_row").alias("id"), F.col("global").alias("group"), "project", "content")
+    near = similarity.ties(met, least, "project", heads.select(F.col("head").alias("id")), text.word_set(F.col("content")))
+    parts = written(graph.connected(reduce(DataFrame.unionByName, [same, mine, near]).where("src <> dst")), "parts")
+    placed = nodes.select("_key", "_node", "n").join(parts, F.col("_node") == F.col("node"), "left")
+    placed = placed.select("_key", F.coalesce("component", "_node").alias("component"), (F.col("component").isNull() & (F.col("n") == 1)).alias("alone"))
+    return freed(written(rows.select("_row", "_key").join(placed, "_key").select("_row", "component", "alone"), "components"))
 
 
 def numbers(kind: pa.DataType) -> pa.DataType:
@@ -75,10 +83,10 @@ def numbers(kind: pa.DataType) -> pa.DataType:
     return pa.int64() if pa.types.is_timestamp(kind) else kind
 
 
-def folded(rows: DataFrame, order: list[str], columns: list[str], decider: Callable[[], object], schema: str) -> DataFrame:
+def folded(rows: DataFrame, order: list[str], columns: list[str], decider: Callable[[], object], schema: str, late: dict[str, Column] | None = None) -> DataFrame:
     """Rows that ``decider()`` objects give for each component: ``take(row)`` for its rows in order, then ``end()``.
 
-    Times are numbers of microseconds for the decider, which only passes them on.
+    Times are numbers of microseconds for the decider, which only passes them on.  Columns of ``late`` are made after the rows are dealt.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +119,17 @@ def folded(rows: DataFrame, order: list[str], columns: list[str], decider: Calla
 
     kinds = to_arrow_schema(StructType.fromDDL(schema))
     dealt = rows.select("component", *columns).repartition("component").sortWithinPartitions("component", *order)
-    return written(dealt.mapInArrow(run, schema), "decided")
+    return written(dealt.withColumns(late or {}).mapInArrow(run, schema), "decided")
+
+
+def folded_in_lots(rows: DataFrame, components: DataFrame, order: list[str], columns: list[str], decider: Callable[[], object], schema: str, late: dict[str, Column]) -> DataFrame:
+    """``folded`` for the numbered rows of ``components`` (_row, component), lot by lot."""
+    done, k = [], similarity.lots(components.count())
+    for lot in range(k):
+        some = components.where(F.pmod(F.xxhash64("component"), F.lit(k)) == lot).select(F.col("_row").alias("id"), "component")
+        mine = similarity.picked(rows.select(F.struct(*columns).alias("_r"), F.col("_row").alias("id")), some).join(some, "id").select("component", "_r.*")
+        done.append(freed(folded(mine, order, columns, decider, schema, late)))
+    return reduce(DataFrame.unionByName, done)
 
 
 # ---------------------------------------------------------------- memories
@@ -151,7 +169,7 @@ class Remembering:
         yield {"arrival": row["id"], "action": "supersede" if best else "insert", "target": best[1] if best else None}
 
     def written(self, m: dict) -> dict:
-        names = ("id", "content", "type", "project", "global", "strength", "version", "parent_id", "is_latest", "created_at", "updated_at")
+        names = ("_row", "type", "strength", "version", "parent_id", "is_latest", "created_at", "updated_at")
         return {"memory": {k: m[k] for k in names}}
 
     def end(self) -> Iterator[dict]:
@@ -178,21 +196,31 @@ def remember(memories: DataFrame, arrivals: DataFrame, above: float = 0.7) -> tu
                             F.coalesce("global", F.lit(False)).alias("global"), F.col("at").cast("timestamp").alias("at"))
     reason = (F.when(F.coalesce(trimmed(F.col("content")), F.lit("")) == "", "reject: content is required")
               .when(text.has_leaked_arguments(F.col("content")), "reject: content has tool markup").when(F.col("global") & F.col("project").isNotNull(), "reject: project and global"))
-    asked = written(asked.withColumn("reason", reason), "arrivals")
+    asked = asked.withColumn("reason", reason)
     stored = memories.where("is_latest").select(
         F.lit(True).alias("stored"), "id", "content", "type", "project", F.coalesce("global", F.lit(False)).alias("global"), F.lit(None).cast("timestamp").alias("at"),
         F.col("strength").cast("int").alias("strength"), F.col("version").cast("int").alias("version"), "parent_id", "is_latest", "created_at", "updated_at")
-    rows = stored.unionByName(asked.where("reason IS NULL").select(F.lit(False).alias("stored"), "id", "content", "type", "project", "global", "at"), allowMissingColumns=True)
-    rows = rows.withColumns({"wording": wording(F.col("content")), "words": text.word_set(F.col("content")), "dates": text.iso_dates(F.col("content")), "former": F.lit(None).cast("string")})
-    rows = grouped_by_likeness(written(rows, "rows"), above).withColumn("_late", ~F.col("stored"))
-    columns = ["stored", "id", "content", "type", "project", "global", "at", "strength", "version", "parent_id", "is_latest", "created_at", "updated_at", "wording", "words", "dates", "_late"]
-    done = folded(rows, ["_late", "at", "id"], columns, lambda: Remembering(above), f"arrival string, action string, target string, memory struct<{MEMORY}>")
-    changed = done.where("memory IS NOT NULL").select("memory.*")
+    every = numbered(stored.unionByName(asked.withColumn("stored", F.lit(False)), allowMissingColumns=True).withColumn("former", F.lit(None).cast("string")))
+    rows = every.where("reason IS NULL").withColumn("_late", ~F.col("stored"))
+    components = grouped_by_likeness(rows, above)
+    columns = ["_row", "stored", "id", "content", "type", "project", "global", "at", "strength", "version", "parent_id", "is_latest", "created_at", "updated_at", "wording", "_late"]
+    words = text.word_set(F.col("content"))
+    late = {"words": words, "dates": text.iso_dates(F.col("content")), "content": F.when(F.size(words) == 0, F.col("content"))}  # the decider compares contents without words only
+    state = "_row long, type string, strength int, version int, parent_id string, is_latest boolean, created_at timestamp, updated_at timestamp"
+    done = folded_in_lots(rows, components.where("NOT alone"), ["_late", "at", "id"], columns, lambda: Remembering(above), f"arrival string, action string, target string, memory struct<{state}>", late)
+    same = rows.select("_row", "id", "content", "project", "global")
+    met = same.join(done.where("memory IS NOT NULL").select("memory.*"), "_row")
+    alone = rows.where("NOT stored").join(components.where("alone").select("_row"), "_row")
+    kind = F.when(F.col("type").isin(*KINDS), F.col("type")).otherwise("fact")
+    new = alone.select("_row", "id", "content", "project", "global", kind.alias("type"), F.lit(7).alias("strength"), F.lit(1).alias("version"), F.lit(None).cast("string").alias("parent_id"),
+                       F.lit(True).alias("is_latest"), F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
+    changed = met.unionByName(new).drop("_row")
     more = [c for c in memories.columns if c not in changed.columns]
     changed = changed.join(memories.select("id", *more), "id", "left") if more else changed
     after = memories.join(changed.select("id"), "id", "left_anti").unionByName(changed.select(*[F.col(c).cast(t).alias(c) for c, t in memories.dtypes]))
-    actions = done.where("arrival IS NOT NULL").select("arrival", "action", "target").unionByName(
-        asked.where("reason IS NOT NULL").select(F.col("id").alias("arrival"), F.col("reason").alias("action"), F.lit(None).cast("string").alias("target")))
+    none = F.lit(None).cast("string").alias("target")
+    actions = done.where("arrival IS NOT NULL").select("arrival", "action", "target").unionByName(alone.select(F.col("id").alias("arrival"), F.lit("insert").alias("action"), none)).unionByName(
+        every.where("reason IS NOT NULL").select(F.col("id").alias("arrival"), F.col("reason").alias("action"), none))
     return after, actions
 
 
@@ -267,10 +295,10 @@ def lesson_save(lessons: DataFrame, arrivals: DataFrame, known_projects: DataFra
         F.lit(True).alias("stored"), "id", "content", "context", "confidence", "project", "tags", F.lit(None).cast("timestamp").alias("at"), "reinforcements", F.lit(False).alias("deleted"),
         "created_at", "last_reinforced_at", "updated_at", F.col("id").alias("former"))
     new = asked.where("reason IS NULL").select(F.lit(False).alias("stored"), "id", "content", "context", "confidence", "project", "tags", "at")
-    rows = stored.unionByName(new, allowMissingColumns=True).withColumns({"wording": wording(F.col("content")), "words": text.word_set(F.col("content")), "global": F.lit(False)})
-    rows = grouped_by_likeness(written(rows, "rows"), least).withColumn("_late", ~F.col("stored"))
-    columns = ["stored", "id", "content", "context", "confidence", "project", "tags", "at", "reinforcements", "deleted", "created_at", "last_reinforced_at", "updated_at", "wording", "words", "_late"]
-    done = folded(rows, ["_late", "at", "id"], columns, lambda: Saving(least), f"arrival string, action string, target string, lesson struct<{LESSON}>")
+    rows = numbered(stored.unionByName(new, allowMissingColumns=True).withColumn("global", F.lit(False))).withColumn("_late", ~F.col("stored"))
+    columns = ["stored", "id", "content", "context", "confidence", "project", "tags", "at", "reinforcements", "deleted", "created_at", "last_reinforced_at", "updated_at", "wording", "_late"]
+    done = folded_in_lots(rows, grouped_by_likeness(rows, least), ["_late", "at", "id"], columns, lambda: Saving(least), f"arrival string, action string, target string, lesson struct<{LESSON}>",
+                          {"words": text.word_set(F.col("content"))})
     changed = done.where("lesson IS NOT NULL").select("lesson.*")
     more = [c for c in lessons.columns if c not in changed.columns]
     changed = changed.join(lessons.select("id", *more), "id", "left") if more else changed

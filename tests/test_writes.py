@@ -45,6 +45,52 @@ def test_copies_that_are_alike_cost_a_link_each(spark):
     assert len(links) < 60
 
 
+@pytest.mark.parametrize("masks, seen, lot, few", [(500_000, 1 << 20, 10, 16), (0, 8, 10**6, 1)])
+def test_links_reach_what_all_pairs_reach(spark, monkeypatch, masks, seen, lot, few):
+    """Whatever counts of words, masks and lots are used; scopes p, q and null, two groups, and rows beyond ``only``."""
+    for name, value in (("MASKS", masks), ("SEEN", seen), ("LOT", lot), ("FEW", few)):
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(8)
+    bases = [rng.sample(range(400), rng.choice([6, 10, 30])) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        own = list(rng.choice(bases))
+        for _ in range(rng.randint(0, len(own) // 3)):
+            own[rng.randrange(len(own))] = rng.randrange(400)
+        rows.append((i * 37, rng.choice("gh"), rng.choice(["p", "q", None]), [f"w{w}" for w in set(own)]))
+    asked = rows[:140]
+    df = spark.createDataFrame(rows, "id long, group string, project string, words array<string>")
+    links = similarity.ties(df, 0.7, "project", spark.createDataFrame([(r[0],) for r in asked], "id long")).collect()
+
+    def reached(pairs):
+        parts = {r[0]: r[0] for r in asked}
+        for a, b in pairs:
+            old, new = sorted((parts[a], parts[b]), reverse=True)
+            parts = {i: new if p == old else p for i, p in parts.items()}
+        return parts
+
+    likeness = lambda a, b: len(set(a[3]) & set(b[3])) / len(set(a[3]) | set(b[3]))
+    good = {(a[0], b[0]) for a in asked for b in asked if a[0] < b[0] and a[1] == b[1] and (a[2] == b[2] or None in (a[2], b[2])) and likeness(a, b) >= 0.7}
+    assert {tuple(sorted((x.src, x.dst))) for x in links} <= good
+    assert reached(good) == reached([(x.src, x.dst) for x in links]) and len(set(reached(good).values())) < 120
+
+
+def test_remember_writes_texts_once(spark, monkeypatch, tmp_path):
+    """What lies in the shared folder afterwards is at most 1.6 times the Parquet of the arrivals: texts, and keys and hashes beside them."""
+    from palimpsest.sources import shared
+
+    monkeypatch.setattr(shared, "shared_path", lambda spark, name: f"file://{tmp_path}/{name}-{random.random()}")
+    rng = random.Random(9)
+    texts = [" ".join(hashlib.sha256(f"{rng.randrange(40_000)}".encode()).hexdigest()[:12] for _ in range(500)) for _ in range(400)]
+    rows = [(f"a{i:03}", t, "fact", "p", False, T0 + datetime.timedelta(seconds=i)) for i, t in enumerate(texts)]
+    arrivals = spark.createDataFrame(rows, "id string, content string, type string, project string, global boolean, at timestamp").coalesce(1)
+    arrivals.write.parquet(f"{tmp_path}-arrivals")
+    after, _ = writes.remember(spark.createDataFrame([], writes.MEMORY), arrivals)
+    assert after.count() == 400
+    size = lambda top: sum(f.stat().st_size for f in top.rglob("*.parquet"))
+    assert size(tmp_path) < 1.6 * size(tmp_path.with_name(f"{tmp_path.name}-arrivals"))
+
+
 def remember_one_by_one(memories, arrivals):
     """(memories by id, actions) of plain loops over the whole store."""
     store, actions = {m["id"]: dict(m) for m in memories}, {}
