@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.operators import graph
-from palimpsest.sources.shared import freed, written
+from palimpsest.sources.shared import freed, removed, written
 
 SEEN = 1 << 20
 MASKS = 500_000
 LOT = 10_000
 FEW = 16
+SHARED = 8
 
 
 def contradictions(memories: DataFrame, newest: int = 1000, above: float = 0.9, key: str = "id", body: str = "content", concepts: str = "concepts", order: str = "created_at") -> DataFrame:
@@ -197,7 +198,7 @@ def ties(rows: DataFrame, alike: float, scope: str, only: DataFrame | None = Non
         a, b = (mine.select(*[F.col(c).alias(f"{c}_{x}") for c in of.columns]) for x in "ab")
         return pairs.join(a, "id_a").join(b, "id_b")
 
-    def likely(pairs: DataFrame, heads: DataFrame = heads) -> DataFrame:
+    def likely(pairs: DataFrame) -> DataFrame:
         """Pairs whose first words agree enough: what two sets share beyond those of both is in the rest of the one whose first words end earlier."""
         both = joined(pairs, heads.select("id", "size", "words"))
         shared = F.size(F.array_intersect("words_a", "words_b")) + F.size("words_a") - F.size(F.array_distinct("words_a"))  # words of one hash count as shared
@@ -214,16 +215,18 @@ def ties(rows: DataFrame, alike: float, scope: str, only: DataFrame | None = Non
             pairs = reduce(DataFrame.unionByName, [freed(written(check(pairs.where(F.pmod(F.xxhash64("id_b"), F.lit(k)) == lot)), check.__name__)) for lot in range(k)])
         return pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
 
-    few = heads.select("id", "scope", "size", F.explode(F.slice(F.sort_array("words"), 1, FEW)).alias("word"))
+    few = heads.select("id", "scope", "size", F.least(F.lit(FEW), F.size("words")).alias("held"), F.explode(F.slice(F.sort_array("words"), 1, FEW)).alias("word"))
     firsts = few.groupBy("word", "scope").agg(F.min(F.struct("id", "size")).alias("f"), F.max("id").alias("last")).where("f.id < last")
     near = F.least("size", "f.size") >= loose * F.greatest("size", "f.size")
     same = (few["word"] == firsts["word"]) & few["scope"].eqNullSafe(firsts["scope"])
-    named = few.join(firsts, same).where((F.col("id") != F.col("f.id")) & near).groupBy("id", F.col("f.id").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    named = few.join(firsts, same).where((F.col("id") != F.col("f.id")) & near).groupBy("id", "held", F.col("f.id").alias("other")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 4 >= F.col("held"))
     named = named.groupBy("id").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
     stars = good(freed(written(named.select(F.col("other").alias("id_a"), F.col("id").alias("id_b")), "named")))
 
     parts = written(graph.connected(stars), "parts")
-    heads = freed(written(heads.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component"), "prefixes"))
+    bare = heads
+    heads = freed(written(bare.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component"), "prefixes"))
+    removed(bare)
     size = heads.agg(F.sum(F.size("words")), F.count_if(F.col("scope").isNull()), F.count("scope")).first()
     k, mixed, found = lots((size[0] or 0) // 100), bool(size[1] and size[2]), []
     for lot in range(k):
@@ -232,12 +235,17 @@ def ties(rows: DataFrame, alike: float, scope: str, only: DataFrame | None = Non
         open_words = each.groupBy("word").agg(F.min("part").alias("_a"), F.max("part").alias("_z")).where("_a < _z").select("word")
         each = freed(written(each.join(open_words, "word", "left_semi"), "open-prefixes"))
         a, b = (each.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "scope", "size", "at", "part")]) for x in "ab")
-        # the rest after the first word shared bounds what can be shared
-        rest = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-        may = (F.col("part_a") != F.col("part_b")) & (F.least("size_a", "size_b") >= loose * F.greatest("size_a", "size_b")) & (rest >= loose / (1 + loose) * (F.col("size_a") + F.col("size_b")) - 1e-3)
-        met = lambda x, y, on: x.join(y, (x["word"] == y["word"]) & on).where(may).select("id_a", "id_b")  # noqa: E731, B023
+        # sets that are alike share ``least`` words at least before the place from which the rest cannot hold all others that they must share
+        must = loose / (1 + loose) * (F.col("size_a") + F.col("size_b"))
+        least = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(must - F.ceil(loose * F.greatest("size_a", "size_b")) + 1))).cast("int")
+        may = (F.col("part_a") != F.col("part_b")) & (F.least("size_a", "size_b") >= loose * F.greatest("size_a", "size_b")) & (least + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= must - 1e-3)
+        met = lambda x, y, on: x.join(y, (x["word"] == y["word"]) & on).where(may).select("id_a", "id_b", least.alias("least"))  # noqa: E731, B023
         pairs = met(a, b, F.col("scope_a").eqNullSafe(F.col("scope_b"))).where("id_a < id_b")
         if mixed:
             pairs = pairs.unionByName(met(a.where("scope_a IS NULL"), b.where("scope_b IS NOT NULL"), F.lit(True)))
-        found.append(freed(written(pairs.distinct(), "candidates")))
-    return stars.unionByName(good(freed(written(reduce(DataFrame.unionByName, found).distinct(), "candidates"))))
+        found.append(freed(written(pairs.groupBy("id_a", "id_b", "least").agg(F.count(F.lit(1)).alias("n")), "candidates")))
+        removed(each)
+    pairs = reduce(DataFrame.unionByName, found).groupBy("id_a", "id_b", "least").agg(F.sum("n").alias("n")).where("n >= least").select("id_a", "id_b")
+    more = good(freed(written(pairs, "candidates")))
+    removed(heads)
+    return stars.unionByName(more)
