@@ -179,14 +179,14 @@ def lots(n: int) -> int:
 
 
 def ties(rows: DataFrame, alike: float, scope: str, only: DataFrame | None = None, words: Column | None = None) -> DataFrame:
-    """(src, dst): links between rows (id, words or what ``words`` makes, group, scope) that reach what the links of all pairs from ``alike`` on reach.
+    """(src, dst): links between rows (id, words or what ``words`` makes without repeats, group, scope) that reach what the links of all pairs from ``alike`` on reach.
 
     Rows meet within a group and a scope; those whose scope is null meet all of the group; with ``only`` (id) just those rows.  First each
     row is compared with one other that shares most of a few of its first words; pairs that these links join already are compared no more, so a
     group of many copies that are alike costs a link each instead of one a pair.  Words travel as hashes of the first ones; whole sets do for pairs only.
     """
     loose = alike - 1e-6
-    words = F.array_distinct(F.col("words") if words is None else words)
+    words = F.array_distinct("words") if words is None else words
     hashes = F.transform(words, lambda w: F.xxhash64(w, F.col("group")))
     some = rows if only is None else picked(rows, only)
     sets = some.select("id", F.when(F.col(scope).isNotNull(), F.xxhash64(scope)).alias("scope"), hashes.alias("words")).withColumn("size", F.size("words"))
@@ -243,9 +243,10 @@ def ties(rows: DataFrame, alike: float, scope: str, only: DataFrame | None = Non
         pairs = met(a, b, F.col("scope_a").eqNullSafe(F.col("scope_b"))).where("id_a < id_b")
         if mixed:
             pairs = pairs.unionByName(met(a.where("scope_a IS NULL"), b.where("scope_b IS NOT NULL"), F.lit(True)))
-        found.append(freed(written(pairs.groupBy("id_a", "id_b", "least").agg(F.count(F.lit(1)).alias("n")), "candidates")))
+        # words lie in one lot each, so what shares ``least`` shares a k-th of that in one lot
+        pairs = pairs.groupBy("id_a", "id_b", "least").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * k >= F.col("least"))
+        found.append(freed(written(pairs.select("id_a", "id_b"), "candidates")))
         removed(each)
-    pairs = reduce(DataFrame.unionByName, found).groupBy("id_a", "id_b", "least").agg(F.sum("n").alias("n")).where("n >= least").select("id_a", "id_b")
-    more = good(freed(written(pairs, "candidates")))
+    more = good(freed(written(reduce(DataFrame.unionByName, found).distinct(), "candidates")))
     removed(heads)
     return stars.unionByName(more)
